@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casewright.llm import decontaminate, linkrank, pieces, repeats, rules
+from casewright.llm import decontaminate, jaccardjoin, linkrank, pieces, repeats, rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,3 +55,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_substring_dedup"] = op5_substring_dedup
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccardjoin.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_jaccard_join"] = op6_jaccard_join
