@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm import wordhash
-from casewright.llm.packing import SENT, blobs, exchange, pack
+from casewright.llm.packing import SENT, blobs, exchange, lean, pack
 from casewright.llm.repeats import _by_target, _runs, _targets
 from casewright.llm.shared import cut, partitions
 
@@ -39,7 +39,7 @@ U = np.uint64
 #: Classes of a signature that are paired; more are listed under one class.
 SMALL = 8
 #: Signatures gathered by a task before it sends.
-SEND_AT = 4_000_000
+SEND_AT = 1_000_000
 #: Shingles of one block of a cluster that is verified in several tasks.
 BLOCK_TOKENS = 2_000_000
 #: Mean shingles of a segment in the middle of a band; see ``segments``.
@@ -151,22 +151,23 @@ def _send_signatures(n_words: int, sim: Similarity, n: int):
         return blobs(to, data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held, seen = [], 0, set()
-        for batch in batches:
-            for part in wordhash.slices(batch, 0):
-                for s in shingle_sets(part.column(0), n_words):
-                    if not len(s) or (key := set_key(s)) in seen:
-                        continue
-                    seen.add(key)
-                    for band in _bands(len(s), sim):
-                        exact, more, filled = _signatures(s, band, sim)
-                        rows.append((key, len(s), band, filled, exact, more))
-                        held += len(exact) + len(more)
-                if held >= SEND_AT:
-                    yield flush(rows)
-                    rows, held, seen = [], 0, set()
-        if rows:
-            yield flush(rows)
+        with lean():
+            rows, held, seen = [], 0, set()
+            for batch in batches:
+                for part in wordhash.slices(batch, 0):
+                    for s in shingle_sets(part.column(0), n_words):
+                        if not len(s) or (key := set_key(s)) in seen:
+                            continue
+                        seen.add(key)
+                        for band in _bands(len(s), sim):
+                            exact, more, filled = _signatures(s, band, sim)
+                            rows.append((key, len(s), band, filled, exact, more))
+                            held += len(exact) + len(more)
+                    if held >= SEND_AT:
+                        yield flush(rows)
+                        rows, held, seen = [], 0, set()
+            if rows:
+                yield flush(rows)
 
     return run
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casewright.llm import decontaminate, jaccardjoin, linkrank, pieces, repeats, rules
+from casewright.llm import chat, compressive, decontaminate, jaccardjoin, linkrank, pieces, repeats, rules, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,3 +62,29 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_jaccard_join"] = op6_jaccard_join
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, prior = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, prior)
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, share = compressive.fit(docs, table(spark, sf_dir, "labels"))
+    return compressive.score(docs, model, share)
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    return chat.digests(turns.unionByName(extra))
+
+
+QUERIES.update({f.__name__: f for f in (op7_toxicity, op8_quality_classifier, op1_warc, op2_chat_formatting)})

@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm import wordhash
-from casewright.llm.packing import SENT, blobs, exchange, pack
+from casewright.llm.packing import SENT, blobs, exchange, lean, pack
 from casewright.llm.shared import cut, partitions
 
 U = np.uint64
 #: Rolling windows gathered by a task before it sends.
-SEND_AT = 6_000_000
+SEND_AT = 1_000_000
 
 
 def _targets(h: np.ndarray, n: int) -> np.ndarray:
@@ -72,24 +72,25 @@ def _send_windows(block: int, n: int):
         return blobs(to, data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, starts, hashes, held = [], [], [], 0
-        for batch in batches:
-            for part in wordhash.slices(batch, 1):
-                w = wordhash.read(part.column(1))
-                h = w.windows(block)
-                keys = np.asarray(part.column(0).to_numpy(zero_copy_only=False), np.int64)
-                own = np.repeat(np.arange(len(keys)), np.diff(w.first))[: len(h)]
-                start = np.arange(len(h)) - w.first[own]
-                whole = np.arange(len(h)) + block <= w.first[own + 1]
-                ids.append(keys[own[whole]])
-                starts.append(start[whole])
-                hashes.append(h[whole])
-                held += int(whole.sum())
-                if held >= SEND_AT:
-                    yield flush(ids, starts, hashes)
-                    ids, starts, hashes, held = [], [], [], 0
-        if held:
-            yield flush(ids, starts, hashes)
+        with lean():
+            ids, starts, hashes, held = [], [], [], 0
+            for batch in batches:
+                for part in wordhash.slices(batch, 1):
+                    w = wordhash.read(part.column(1))
+                    h = w.windows(block)
+                    keys = np.asarray(part.column(0).to_numpy(zero_copy_only=False), np.int64)
+                    own = np.repeat(np.arange(len(keys)), np.diff(w.first))[: len(h)]
+                    start = np.arange(len(h)) - w.first[own]
+                    whole = np.arange(len(h)) + block <= w.first[own + 1]
+                    ids.append(keys[own[whole]])
+                    starts.append(start[whole])
+                    hashes.append(h[whole])
+                    held += int(whole.sum())
+                    if held >= SEND_AT:
+                        yield flush(ids, starts, hashes)
+                        ids, starts, hashes, held = [], [], [], 0
+            if held:
+                yield flush(ids, starts, hashes)
 
     return run
 

@@ -75,14 +75,31 @@ class Words:
             return mix((total[n:] - total[:-n]) * down[: len(h) - n + 1])
 
 
-def read(column: pa.Array, lower: bool = False) -> Words:
+#: Gaps for classifiers: every ASCII byte but letters.
+NO_LETTER = np.array([c < 128 and not chr(c).isalpha() for c in range(256)])
+
+
+def prefixes(w: Words, k: int) -> np.ndarray:
+    """A hash of the first ``k`` bytes, lower-cased, of every word; 0 for words that are not longer."""
+    out = np.zeros(len(w.starts), U)
+    long = np.flatnonzero(w.ends - w.starts > k)
+    up, _ = powers(_byte_powers, _BYTE_BASE, BLOCK)
+    with np.errstate(over="ignore"):
+        total = np.full(len(long), U(k * 0x9E3779B1), U)
+        for j in range(k):
+            total += _LOWERED[w.data[w.starts[long] + j]] * up[j]
+    out[long] = mix(total)
+    return out
+
+
+def read(column: pa.Array, lower: bool = False, gap: np.ndarray = _GAP) -> Words:
     """The words of a column with their hashes; with ``lower``, A-Z count as a-z."""
-    w = words_only(column)
+    w = words_only(column, gap)
     w.hash = _hashes(w.data, w.starts, w.ends, lower)
     return w
 
 
-def words_only(column: pa.Array) -> Words:
+def words_only(column: pa.Array, gap: np.ndarray = _GAP) -> Words:
     """The words of a column without hashes."""
     column = column.fill_null("")
     wide = pa.types.is_large_string(column.type)
@@ -93,7 +110,7 @@ def words_only(column: pa.Array) -> Words:
     offsets = offsets - base
     if not len(data):
         return Words(data, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(column) + 1, np.int64), np.zeros(0, U))
-    inside = ~_GAP[data]
+    inside = ~gap[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     begins = inside.copy()
