@@ -50,7 +50,8 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
     least_of_band = index.groupBy("band").agg(F.min("least").alias("band_least"))
     index = broadcast_checked(index.join(least_of_band, "band"), broadcast_rows)
     held = shingled(docs, doc_id, text, "doc_id", n)
-    probes = held.select("doc_id", F.size("_sh").alias("n_doc"), F.explode("_sh").alias("shingle"))
+    # the outer form keeps Spark from testing each array for rows in a filter that would compute it twice
+    probes = held.select("doc_id", F.size("_sh").alias("n_doc"), F.explode_outer("_sh").alias("shingle"))
     # a document with fewer shingles than a size partition needs is not probed against it
     hits = probes.join(index, (probes["shingle"] == index["shingle"]) & (probes["n_doc"] >= index["band_least"])).select("item_id", "doc_id", index["shingle"], "n_item", "least", "in_sketch")
     pairs = hits.groupBy("item_id", "doc_id").agg(F.max("in_sketch").alias("candidate"), F.first("n_item").alias("n_item"), F.first("least").alias("least"), F.count_distinct("shingle").alias("n_shared"))

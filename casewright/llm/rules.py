@@ -31,45 +31,58 @@ class Rule:
     rejects: object
 
 
-def measures(docs: DataFrame, text: str = "text") -> dict[str, Column]:
-    """Expressions of each measure over the helper columns that ``with_words`` adds."""
-    t, w, tri = F.col("_t"), F.col("_w"), F.col("_tri")
-    n_lines = F.size(F.col("_lines"))
-    pairs = F.transform(tri, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+def measures(t: Column, w: Column, tri: Column, lines: Column) -> dict[str, Column]:
+    """Expressions of each measure over a text, its words, its 3-word windows and its lines with words."""
 
-    def repeated(s: Column) -> Column:
-        hit = F.filter(s, lambda x, k: (x.h == F.get(s, k - 1).h).eqNullSafe(F.lit(True)) | (x.h == F.get(s, k + 1).h).eqNullSafe(F.lit(True)))
-        return F.sort_array(F.transform(hit, lambda x: x.i))
+    def repeated(tri: Column) -> Column:
+        by_hash = F.sort_array(F.transform(tri, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(tri)) == F.size(tri), F.lit(0)).otherwise(textsql.let(textsql.let(by_hash, places), covered))
+
+    def places(s: Column) -> Column:
+        near = lambda x, k: F.coalesce(x.h == F.get(s, k - 1).h, F.lit(False)) | F.coalesce(x.h == F.get(s, k + 1).h, F.lit(False))
+        return F.sort_array(F.transform(F.filter(s, near), lambda x: x.i))
 
     def covered(p: Column) -> Column:
-        gaps = F.zip_with(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), lambda b, a: F.least(F.lit(3), b - a))
+        rest = F.greatest(F.size(p) - 1, F.lit(0))
+        gaps = F.zip_with(F.slice(p, 2, rest), F.slice(p, 1, rest), lambda b, a: F.least(F.lit(3), b - a))
         return F.when(F.size(p) == 0, F.lit(0)).otherwise(F.aggregate(gaps, F.lit(3), lambda s, x: s + x))
 
-    # one-element arrays bind an intermediate array to a name, so that it is computed once
-    by_hash = F.transform(F.array(F.sort_array(pairs)), repeated)
-    repeat = F.when(F.size(F.array_distinct(tri)) == F.size(tri), F.lit(0)).otherwise(F.get(F.transform(by_hash, covered), F.lit(0)))
     return {
         "n_words": F.size(w).cast("long"),
         "word_chars": F.length(F.array_join(w, "")).cast("long"),
         "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
         "n_upper": F.regexp_count(t, F.lit("[A-Z]")).cast("long"),
-        "n_lines": n_lines.cast("long"),
-        "n_dup_lines": (n_lines - F.size(F.array_distinct(F.col("_lines")))).cast("long"),
-        "n_repeat_words": repeat.cast("long"),
+        "n_lines": F.size(lines).cast("long"),
+        "n_dup_lines": textsql.let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "n_repeat_words": textsql.let(tri, repeated).cast("long"),
     }
 
 
-def with_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    out = docs.withColumn("_t", t).withColumn("_w", textsql.words(F.col("_t")))
-    lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: x.rlike(textsql.LETTER))
-    return out.withColumn("_tri", textsql.windows(F.col("_w"), 3)).withColumn("_lines", lines)
+def lines_of(t: Column) -> Column:
+    return F.filter(F.split(t, "\n"), lambda x: x.rlike(textsql.LETTER))
+
+
+def lazy_measures(text: Column) -> dict[str, Column]:
+    """Measures straight from the text, each computed only where a CASE asks for it."""
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    w = textsql.words(t)
+    return measures(t, w, textsql.windows(w, 3), lines_of(t))
 
 
-HELPERS = ("_t", "_w", "_tri", "_lines")
+def with_measures(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and all measures of ``doc_id, text``; words and windows are computed once for a row."""
+    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    frame = docs.select("doc_id", t.alias("_t")).withColumn("_w", textsql.words(F.col("_t"))).withColumn("_tri", textsql.windows(F.col("_w"), 3)).withColumn("_lines", lines_of(F.col("_t")))
+    m = measures(*[F.col(c) for c in ("_t", "_w", "_tri", "_lines")])
+    return frame.select("doc_id", *[m[k].alias(k) for k in m])
 
-#: The base rule comes first by definition; the others are the method's own.
-BASE = Rule("base", ("n_words", "n_repeat_words"), lambda m: (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"]))
+
+#: The base: what makes ``base_failed``.
+BASE = (
+    Rule("few_words", ("n_words",), lambda m: m["n_words"] < 50),
+    Rule("repeated_words", ("n_repeat_words", "n_words"), lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
+)
+#: The method's own rules.
 RULES = (
     Rule("symbols", ("n_symbols", "n_words"), lambda m: 100 * m["n_symbols"] > 20 * m["n_words"]),
     Rule("word_length", ("word_chars", "n_words"), lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 20 * m["n_words"])),
@@ -78,7 +91,7 @@ RULES = (
 )
 
 
-def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = 500) -> list[Rule]:
+def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = BASE + RULES, text: str = "text", sample_rows: int = 500) -> list[Rule]:
     """``rules`` by rejection per cost, estimated over at most ``sample_rows`` rows. An empty sample keeps the order."""
     sample = docs.select(F.col(text).alias("text")).limit(sample_rows).cache()
     try:
@@ -87,9 +100,9 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "t
             return list(rules)
         rated = []
         for k, rule in enumerate(rules):
-            frame = with_words(sample)
             began = time.perf_counter()
-            hits = frame.select(rule.rejects(measures(frame)).alias("r")).agg(F.sum(F.col("r").cast("long"))).first()[0] or 0
+            rejected = rule.rejects(lazy_measures(F.col("text"))).cast("long")
+            hits = sample.agg(F.sum(rejected)).first()[0] or 0
             rated.append((-(hits + 0.5) / n / max(time.perf_counter() - began, 1e-4), k, rule))
     finally:
         sample.unpersist()
@@ -97,28 +110,23 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "t
 
 
 def verdict(m: dict[str, Column], ordered: list[Rule]) -> Column:
-    """True for documents that no rule rejects; later rules are evaluated only where earlier ones pass."""
-    kept: Column | None = None
+    """True for documents that no rule rejects; a rule is evaluated only where those before it pass."""
+    kept = F
     for rule in ordered:
-        no = F.when(rule.rejects(m), F.lit(False)) if kept is None else kept.when(rule.rejects(m), F.lit(False))
-        kept = no
-    return kept.otherwise(F.lit(True)) if kept is not None else F.lit(True)
+        kept = kept.when(rule.rejects(m), F.lit(False))
+    return kept.otherwise(F.lit(True)) if ordered else F.lit(True)
 
 
 def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ordered: list[Rule] | None = None) -> DataFrame:
     """doc_id, the measures, ``base_failed`` and ``kept`` for every document."""
     ordered = order_rules(docs, text=text) if ordered is None else ordered
-    frame = with_words(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    m = measures(frame)
-    out = frame.select("doc_id", *[m[k].alias(k) for k in m])
-    held = {k: F.col(k) for k in m}
-    return out.withColumn("base_failed", BASE.rejects(held)).withColumn("kept", verdict(held, [BASE, *ordered]))
+    out = with_measures(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    held = {k: F.col(k) for k in out.columns if k != "doc_id"}
+    failed = BASE[0].rejects(held) | BASE[1].rejects(held)
+    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(held, ordered))
 
 
 def filter_documents(docs: DataFrame, text: str = "text", ordered: list[Rule] | None = None) -> DataFrame:
     """The documents that pass, with all their columns; measures are computed only as far as the cascade needs them."""
     ordered = order_rules(docs, text=text) if ordered is None else ordered
-    names = docs.columns
-    frame = with_words(docs.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(names)], F.col(f"`{text}`").alias("text")))
-    passed = frame.where(verdict(measures(frame), [BASE, *ordered]))
-    return passed.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(names)])
+    return docs.where(verdict(lazy_measures(docs[text]), ordered))

@@ -16,14 +16,20 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once for a row, also where filters are moved and columns put into one another."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def windows(words_: Column, n: int) -> Column:
-    """A 64-bit hash of each ``n`` consecutive words, in order; an empty array for fewer words.
+    """A 64-bit hash of each ``n`` consecutive words, in order; an empty array for fewer words."""
+
+    def hashes(w: Column) -> Column:
+        size = F.size(w)
+        starts = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
 
-    ``words_`` has to be a plain column, as it is read ``n`` times for each window.
-    """
-    size = F.size(words_)
-    starts = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(*[F.get(words_, i + k) for k in range(n)]))
+    return let(words_, hashes)
 
 
 def ascii_lower(text: Column) -> Column:
