@@ -21,11 +21,10 @@ shingle of all its words. Null and empty texts have an empty set and link with n
 each. Repeated rows and equal texts are one class. Extra columns are ignored; an empty table gives an empty table.
 """
 
-from __future__ import annotations
-
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -268,9 +267,8 @@ def candidates(docs: DataFrame, text: str, n_words: int, sim: Similarity) -> Dat
 
 def _verify(n_words: int, sim: Similarity):
     """Links of one tile of a cluster, as a star for each component of the tile."""
-    import pandas as pd
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("set_key").sort_values("set_key").reset_index(drop=True)
         sets = []
         for lo in range(0, len(frame), 64):
@@ -354,6 +352,6 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that are the smallest doc_id of their component, with all their columns."""
+    """The documents that are the smallest doc_id of their component, with all their columns; those without id stay."""
     kept = jaccard_components(docs, doc_id, text, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[doc_id] == kept["_kept"], "left_semi")
+    return docs.join(kept, docs[doc_id] == kept["_kept"], "left_semi").unionByName(docs.where(F.col(doc_id).isNull()))

@@ -224,8 +224,8 @@ def _removed(found: list[bytes], n_words: int, length: int) -> np.ndarray:
 
 
 def _with_found(docs: DataFrame, doc_id: str, text: str, length: int) -> DataFrame:
-    found = repeated_windows(docs, doc_id, text, length).withColumnRenamed("doc_id", "_id")
-    return docs.join(found, docs[doc_id] == found["_id"], "left").drop("_id")
+    found = repeated_windows(docs, doc_id, text, length).withColumnsRenamed({"doc_id": "_repeats_id", "found": "_repeats_found"})
+    return docs.join(found, docs[doc_id] == found["_repeats_id"], "left").drop("_repeats_id")
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 20) -> DataFrame:

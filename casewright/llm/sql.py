@@ -1,3 +1,97 @@
-"""DuckDB SQL for the operators that SQL can express."""
+"""DuckDB SQL for the operators that SQL can express, over the same tables."""
 
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+     d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+     l AS (SELECT h, n, max(page_id) AS lead FROM d GROUP BY h, n),
+     c AS (SELECT d.page_id, d.n, d.h, CASE WHEN d.page_id <> l.lead THEN l.lead END AS lead FROM d JOIN l USING (h, n))
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       translate(upper(array_to_string([to_base(CAST('0x' || substr(h, k, 10) AS BIGINT), 32, 8) FOR k IN [1, 11, 21, 31]], '')),
+                 '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN lead IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CAST(lead AS BIGINT) AS refers_to
+FROM c
+"""
+
+_MARKS = ["\\", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "<s>", "</s>", "<role:", ">", "</role>"]
+_escapes = " + ".join(f"(length({{0}}) - length(replace({{0}}, '{m}', ''))) // {len(m)}" for m in _MARKS)
+_follows = "CASE coalesce(before, '') WHEN '' THEN ['system', 'user'] WHEN 'system' THEN ['user'] WHEN 'user' THEN ['assistant'] WHEN 'assistant' THEN ['user'] ELSE [] END"
+
+OP2 = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+n AS (SELECT *, row_number() OVER w - 1 AS k, lag(role) OVER w AS before FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+s AS (SELECT *, NOT list_contains({_follows}, role) AS wrong,
+        length(text) + {_escapes.format("text")} + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 14 + length(role) + {_escapes.format("role")} END AS chars FROM n),
+g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        sum(chars) AS formatted_chars, min(k) FILTER (wrong) AS first_wrong, max_by(role, k) AS last_role FROM s GROUP BY conv_id)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, turns_sha256, CAST(loss_chars AS BIGINT) AS loss_chars, loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars,
+       first_wrong IS NULL AND last_role = 'assistant' AS valid,
+       CAST(coalesce(first_wrong, CASE WHEN last_role <> 'assistant' THEN n_turns END) AS BIGINT) AS first_invalid
+FROM g
+"""
+
+OP4 = f"""
+WITH w AS (SELECT 0 AS kind, doc_id AS id, {WORDS.format(LOWER.format("text"))} AS ws FROM documents
+           UNION ALL SELECT 1, item_id, {WORDS.format(LOWER.format("text"))} FROM benchmark),
+s AS (SELECT DISTINCT kind, id, ws[i : i + 4] AS sh FROM (SELECT kind, id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+q AS (SELECT id AS item_id, sh, count(*) OVER (PARTITION BY id) AS n_item FROM s WHERE kind = 1),
+h AS (SELECT q.item_id, s.id AS doc_id, any_value(n_item) AS n_item, count(*) AS n_shared FROM q JOIN s ON s.kind = 0 AND s.sh = q.sh GROUP BY 1, 2)
+SELECT item_id, doc_id, CAST(n_item AS BIGINT) AS n_item, CAST(n_shared AS BIGINT) AS n_shared, round(n_shared / n_item, 6) AS containment
+FROM h WHERE 100 * n_shared >= 75 * n_item
+"""
+
+OP5 = f"""
+WITH w AS (SELECT doc_id, {WORDS.format("text")} AS ws FROM documents),
+v AS (SELECT doc_id, i, array_to_string(ws[i : i + 19], ' ') AS x FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS n FROM v) WHERE n > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM r),
+f AS (SELECT doc_id, list(k) AS ks FROM c GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ks), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN ks IS NULL THEN ws ELSE list_filter(ws, lambda x, k: NOT list_contains(ks, k)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN f ON f.doc_id = w.doc_id
+"""
+
+OP6 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(LOWER.format("text"))} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (
+        SELECT doc_id, ws[i : i + 4] AS sh FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)
+        UNION ALL SELECT doc_id, ws FROM w WHERE len(ws) BETWEEN 1 AND 4)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(r.c) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY d.doc_id, n.n
+"""
+
+OP9 = f"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS.format("text")} AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
+v AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i : i + 2]) AS n FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM v WHERE n > 1) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+        len(regexp_extract_all(t, '[A-Z]')) AS n_upper, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+      FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT (base_failed OR 100 * n_symbols > 20 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+            OR 100 * n_dup_lines > 30 * n_lines OR 100 * n_upper > 50 * word_chars) AS kept
+FROM b
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_warc": OP1,
+    "op2_chat_formatting": OP2,
+    "op4_decontamination": OP4,
+    "op5_substring_dedup": OP5,
+    "op6_jaccard_join": OP6,
+    "op9_quality_rules": OP9,
+}

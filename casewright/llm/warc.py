@@ -10,7 +10,7 @@ the others become revisit records that refer to it and hold no payload. Payloads
 
 A file's name holds the partition and a fresh number, so a task that runs again writes a new file and only the
 index rows of the attempt that counted point to it. A null payload counts as empty, a null url is written as an
-empty target. Very large payloads are one record each and end a file. Repeated rows (equal ids) are records of
+empty target; a record without id is a response of its own. Very large payloads are one record each and end a file. Repeated rows (equal ids) are records of
 their own; the one that sorts first is the response. Extra columns are ignored; an empty table gives an empty
 index and no file.
 """
@@ -189,8 +189,9 @@ def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     return rows.mapInArrow(run, RECORD)
 
 
-def _page(urn: str) -> int:
-    return int(urn.removeprefix("<urn:page:").removesuffix(">"))
+def _page(urn: str) -> int | None:
+    name = urn.removeprefix("<urn:page:").removesuffix(">")
+    return None if name == "None" else int(name)
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
