@@ -11,7 +11,7 @@ def frame_times(duration: Column, n: int = 8) -> Column:
     """``n`` evenly spaced times inside margins of at most 0.4 s; distinct, rounded to milliseconds."""
     margin = F.when(duration > 2, F.least(F.lit(0.4), duration * 0.03)).otherwise(F.lit(0.0))
     step = (duration - 2 * margin) / F.lit(max(1, n - 1))
-    times = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.round(margin + step * k, 3))
+    times = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.floor((margin + step * k) * 1000 + 0.5) / 1000)
     return F.when(F.coalesce(duration, F.lit(0.0)) <= 0, F.array(F.lit(0.0))).otherwise(F.array_distinct(times))
 
 

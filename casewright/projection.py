@@ -36,7 +36,7 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> Graph:
     lines = t("lineitem").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     ends = [F.concat(F.lit("C"), F.col("o_custkey").cast("string")), F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))]
     evidence = lines.select(
-        F.concat_ws("-", F.lit("E"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("evidence_id"),
+        F.concat_ws("-", F.lit("E"), *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("evidence_id"),
         F.concat_ws("|", *ends).alias("rel_id"), F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("doc_id"),
         F.col("l_linenumber").cast("int").alias("page"), F.col("l_shipdate").alias("event_time"), F.concat_ws("/", "l_returnflag", "l_linestatus").alias("span_text"),
         *[e.alias(c) for e, c in zip(ends, ("source_entity", "target_entity"), strict=True)], F.col("l_quantity").alias("quantity"),
