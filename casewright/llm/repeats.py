@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from casewright.llm import wordhash
 from casewright.llm.packing import SENT, blobs, exchange, lean, pack
-from casewright.llm.shared import cut, partitions
+from casewright.llm.shared import cut, fresh, partitions
 
 U = np.uint64
 #: Rolling windows gathered by a task before it sends.
@@ -224,8 +224,10 @@ def _removed(found: list[bytes], n_words: int, length: int) -> np.ndarray:
 
 
 def _with_found(docs: DataFrame, doc_id: str, text: str, length: int) -> DataFrame:
-    found = repeated_windows(docs, doc_id, text, length).withColumnsRenamed({"doc_id": "_repeats_id", "found": "_repeats_found"})
-    return docs.join(found, docs[doc_id] == found["_repeats_id"], "left").drop("_repeats_id")
+    """``docs`` and, as the last column, the packed starts of each document's repeated windows."""
+    key, held = fresh("repeats_id", docs.columns), fresh("repeats_found", docs.columns)
+    found = repeated_windows(docs, doc_id, text, length).withColumnsRenamed({"doc_id": key, "found": held})
+    return docs.join(found, docs[doc_id] == found[key], "left").drop(key)
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 20) -> DataFrame:

@@ -46,3 +46,11 @@ def broadcast_checked(df: DataFrame, most_rows: int) -> DataFrame:
     if df.count() <= most_rows:
         return F.broadcast(df)
     return df
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores until no column has it."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
