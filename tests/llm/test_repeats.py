@@ -50,7 +50,7 @@ def test_repeated_rows_and_null_ids(spark):
 
 def test_strip_keeps_columns_and_spacing(spark):
     t = " ".join(f"w{i}" for i in range(30))
-    docs = spark.createDataFrame([(1, f"start\n{t} end", "x", 5, b"b"), (2, f"other  start {t}\nlast\tword", "y", 6, b"c"), (3, "plain \n text ", None, None, None), (4, None, "z", 1, b"")], "doc_id long, text string, found string, target int, repeats_found binary")
+    docs = spark.createDataFrame([(1, f"begin\n{t} end", "x", 5, b"b"), (2, f"other  start {t}\nlast\tword", "y", 6, b"c"), (3, "plain \n text ", None, None, None), (4, None, "z", 1, b"")], "doc_id long, text string, found string, target int, repeats_found binary")
     out = {r.doc_id: r for r in repeats.strip_repeats(docs).collect()}
     assert out[1].text == docs.first().text
     assert out[2].text == "other  start last\tword" and out[2].found == "y" and out[2]["repeats_found"] == b"c"
