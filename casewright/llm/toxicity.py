@@ -81,6 +81,9 @@ def train(positive: list[bytes], unlabelled: list[bytes], prior: float, rounds:
     bucket, value, row = (x[used[bucket]] for x in (bucket, value, row))
     names, column = np.unique(bucket, return_inverse=True)
     k = len(names)
+    # steps fit values of about one; shares of a whole text would be a hundred times that
+    size = max(1.0, float(np.sqrt(np.mean(value.astype(np.float64) ** 2)))) if len(value) else 1.0
+    value = value / size
     w, m, v = (np.zeros(k + 1) for _ in range(3))
     w[-1] = np.log(prior / (1 - prior))
     for t in range(1, rounds + 1):
@@ -99,9 +102,9 @@ def train(positive: list[bytes], unlabelled: list[bytes], prior: float, rounds:
         grad[:-1] += decay * w[:-1]
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w -= rate * (1 - t / (rounds + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     held = np.zeros(2**BITS, np.float32)
-    held[names] = w[:-1]
+    held[names] = w[:-1] / size
     return Model(held, float(w[-1]))
 
 
