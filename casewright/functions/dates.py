@@ -14,8 +14,8 @@ DATE = (
     r"(?:[T,\s]+(?:\d{1,2}:\d{2}(?::\d{2})?(?:\s*[APap][Mm])?))?\b"
 )
 TIME = r"(?i)\b(\d{1,2}:\d{2}(?::\d{2})?(?:\s*[ap]m)?)\b"
-DAYS = ["yyyy-M-d", "yyyy/M/d", "d/M/yyyy", "d-M-yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy"]
-FORMATS = [f"{d}{t}" for d in DAYS for t in (" H:m:s", " H:m", "")]
+#: A date's shape and the formats of its day; each may be followed by a time.
+SHAPES = [(r"^\d{4}-", ["yyyy-M-d"]), (r"^\d{4}/", ["yyyy/M/d"]), (r"^\d{1,2}/", ["d/M/yyyy"]), (r"^\d{1,2}-", ["d-M-yyyy"]), (r"^\d{1,2} [A-Za-z]{4,} ", ["d MMMM yyyy"]), (r"^\d{1,2} [A-Za-z]{3} ", ["d MMM yyyy", "d MMMM yyyy"]), (r"^[A-Za-z]{4,} ", ["MMMM d, yyyy"]), (r"^[A-Za-z]{3} ", ["MMM d, yyyy", "MMMM d, yyyy"])]
 MAIL = ["d MMM yyyy H:m:s", "d MMM yyyy H:m", "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "d/M/yyyy H:m", "yyyy-M-d"]
 
 
@@ -39,7 +39,16 @@ def tidy(text: Column) -> Column:
 def parse(text: Column, formats: list[str] | None = None) -> Column:
     """The first format that reads the whole text, as a timestamp without zone; null if none does."""
     t = tidy(text)
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in (formats or FORMATS)]).cast("timestamp_ntz")
+    if formats is not None:
+        return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+    # a text's shape leaves one or two formats to try; a format that fails costs far more than a pattern
+    out = F.lit(None).cast("timestamp")
+    clock = [(r":\d{1,2}:\d{1,2}$", " H:m:s"), (r":\d{1,2}$", " H:m")]
+    for shape, days in SHAPES:
+        read = lambda end: F.coalesce(*[F.try_to_timestamp(t, F.lit(d + end)) for d in days])  # noqa: E731, B023
+        one = F.when(t.rlike(clock[0][0]), read(clock[0][1])).when(t.rlike(clock[1][0]), read(clock[1][1])).otherwise(read(""))
+        out = F.when(t.rlike(shape), one).otherwise(out)
+    return out.cast("timestamp_ntz")
 
 
 def mail_timestamp(text: Column) -> Column:
