@@ -4,7 +4,7 @@ Method: fixed-block anchors. With blocks of half the window's length, ``block =
 holds a whole block that starts at a multiple of ``block`` in the earlier document. All non-overlapping blocks of
 all documents are the index; every rolling window of ``block`` words is a probe. Both go, packed, to the partition
 of their hash. There, probes whose words occur once end; the others are hits, each with the first place (doc_id,
-start) where its words occur and a mark if an indexed block, an anchor, has these words. Back at their document,
+start) where its words occur and a mark if an indexed block, an anchor, has these words. Back with their documents,
 runs of hits around an anchor are extended to maximal exact repeats: a window of ``length`` words is the hits at its
 start and its middle, so if both have their first places in one earlier stretch the window is a repeat. Where the two halves were first seen in different
 places the pair of first places names the window exactly, and a second exchange finds that window's first start.
@@ -15,7 +15,8 @@ have 32 bits and the partition's number as the filter; a pair of them names a wi
 Null and empty texts have no words. Texts with fewer words than a window lose nothing. Very long texts are
 packed piece by piece. Rows that repeat a doc_id are seen as copies of one document's windows at the same
 starts, so neither removes the other. Ties cannot occur beyond that. Extra columns pass through ``strip_repeats``.
-Rows with a null doc_id pass unchanged. All numbers travel packed (about six bytes a word).
+Rows with a null doc_id pass unchanged. All numbers travel packed (about six bytes a word). A window that a third
+of all documents share costs each send of about a million windows one entry, in both exchanges.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,22 +60,48 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _send_windows(block: int, n: int):
-    """Rolling windows of ``block`` words to the partition of their hash: hashes, documents, counts, starts."""
+    """Rolling windows of ``block`` words, each once for a send, to the partition of their hash.
 
-    def flush(ids: list, starts: list, hashes: list) -> pa.RecordBatch:
+    A send holds whole documents. Of windows that occur several times in it the first place goes out, with marks for
+    "several times" and "an indexed block"; the other places go, as links to that first place, to the partition
+    where the send's answers will meet (its home), so a frequent window costs each send one entry.
+    """
+
+    def flush(ids: list, starts: list, hashes: list, home: int) -> pa.RecordBatch:
         doc, start, h = np.concatenate(ids), np.concatenate(starts), np.concatenate(hashes)
+        order = np.argsort(doc, kind="stable")
+        doc, start, h = doc[order], start[order], h[order]
+        order = np.argsort(h, kind="stable")
+        at, count = _runs(h[order])
+        first = order[at]
+        marks = (count > 1).astype(np.uint8) | np.logical_or.reduceat(start[order] % block == 0, at).astype(np.uint8) << 1
+        lead = np.repeat(first, count)
+        other = np.ones(len(order), bool)
+        other[at] = False
+        again, lead = order[other], lead[other]
+        order = np.argsort(first)
+        first, marks = first[order], marks[order]
         to, data = [], []
-        for k, pick in _by_target(_targets(h, n), n):
-            at, count = _runs(doc[pick])
-            step = np.diff(start[pick], prepend=np.int64(0))
-            step[at] = start[pick][at]
+        for k, pick in _by_target(_targets(h[first], n), n):
+            i = first[pick]
+            run, count = _runs(doc[i])
+            step = np.diff(start[i], prepend=np.int64(0))
+            step[run] = start[i][run]
             to.append(k)
-            data.append(pack((h[pick] & U(0xFFFFFFFF)).astype(np.uint32), doc[pick][at], count.astype(np.uint32), step.astype(np.uint32)))
+            data.append(pack(_mark(WINDOWS, home), (h[i] & U(0xFFFFFFFF)).astype(np.uint32), doc[i][run], count.astype(np.uint32), step.astype(np.uint32), marks[pick]))
+        if len(again):
+            order = np.argsort(again)
+            i, j = again[order], lead[order]
+            run, count = _runs(doc[i])
+            to.append(home)
+            data.append(pack(_mark(LINKS, home), doc[i][run], count.astype(np.uint32), start[i].astype(np.uint32), doc[j], start[j].astype(np.uint32)))
         return blobs(to, data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with lean():
             ids, starts, hashes, held = [], [], [], 0
+            # neighbouring tasks begin at different homes, so that all homes get as many sends
+            home = TaskContext.get().partitionId() * 7919
             for batch in batches:
                 for part in wordhash.slices(batch, 1):
                     w = wordhash.read(part.column(1))
@@ -87,55 +115,94 @@ def _send_windows(block: int, n: int):
                     hashes.append(h[whole])
                     held += int(whole.sum())
                     if held >= SEND_AT:
-                        yield flush(ids, starts, hashes)
+                        yield flush(ids, starts, hashes, home % n)
                         ids, starts, hashes, held = [], [], [], 0
+                        home += 1
             if held:
-                yield flush(ids, starts, hashes)
+                yield flush(ids, starts, hashes, home % n)
 
     return run
 
 
-def _expand(got: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    h = np.concatenate([g[0] for g in got])
-    doc = np.concatenate([np.repeat(g[1], g[2]) for g in got])
+WINDOWS, LINKS = 0, 1
+
+
+def _mark(kind: int, home: int) -> np.ndarray:
+    return np.array([kind, home], np.uint32)
+
+
+def _expand(got: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+    h = np.concatenate([g[1] for g in got])
+    doc = np.concatenate([np.repeat(g[2], g[3]) for g in got])
+    home = np.concatenate([np.full(len(g[1]), g[0][1], np.int32) for g in got])
+    marks = np.concatenate([g[5] for g in got])
     start = []
     for g in got:
-        first = np.cumsum(g[2].astype(np.int64)) - g[2]
-        total = np.cumsum(g[3].astype(np.int64))
-        base = total[first] - g[3][first]
-        start.append(total - np.repeat(base, g[2]))
-    return h, doc, np.concatenate(start)
+        first = np.cumsum(g[3].astype(np.int64)) - g[3]
+        total = np.cumsum(g[4].astype(np.int64))
+        base = total[first] - g[4][first]
+        start.append(total - np.repeat(base, g[3]))
+    return h, doc, np.concatenate(start), home, marks
 
 
 def _find_hits(block: int, n: int):
-    """In a hash's partition: hits with their first place, to the partition of their document."""
+    """In a hash's partition: windows that occur again, with their first place, to the homes of their sends."""
 
     def work(got: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        h, doc, start = _expand(got)
+        for g in got:
+            if g[0][0] == LINKS:
+                yield blobs([int(g[0][1])], [pack(*g)])
+        got[:] = [g for g in got if g[0][0] == WINDOWS]
+        if not got:
+            return
+        h, doc, start, home, marks = _expand(got)
         got.clear()
         order = np.argsort(h)
         at, count = _runs(h[order])
-        many = np.repeat(count > 1, count)
+        many = np.repeat((count > 1) | (marks[order][at] & 1 > 0), count)
         order = order[many]
-        h, doc, start = h[order], doc[order], start[order]
+        h, doc, start, home, marks = (x[order] for x in (h, doc, start, home, marks))
         order = np.lexsort((start, doc, h))
-        h, doc, start = h[order], doc[order], start[order]
+        h, doc, start, home, marks = (x[order] for x in (h, doc, start, home, marks))
         at, count = _runs(h)
-        anchored = np.logical_or.reduceat(start % block == 0, at) if len(at) else np.zeros(0, bool)
+        if not len(at):
+            return
+        anchor = np.repeat(np.bitwise_or.reduceat(marks, at) >> 1, count)
         first = np.repeat(at, count)
-        fdoc, fstart, anchor = doc[first], start[first], np.repeat(anchored, count)
+        fdoc, fstart = doc[first], start[first]
         to, data = [], []
-        for k, pick in _by_target(_targets(wordhash.mix(doc.view(U)), n), n):
+        for k, pick in _by_target(home, n):
             pick = pick[np.lexsort((start[pick], doc[pick]))]
             at, count = _runs(doc[pick])
             to.append(k)
-            data.append(pack(doc[pick][at], count.astype(np.uint32), start[pick].astype(np.uint32), fdoc[pick], fstart[pick].astype(np.uint32), anchor[pick].astype(np.uint8)))
-        if to:
-            yield blobs(to, data)
+            data.append(pack(_mark(WINDOWS, k), doc[pick][at], count.astype(np.uint32), start[pick].astype(np.uint32), fdoc[pick], fstart[pick].astype(np.uint32), anchor[pick].astype(np.uint8)))
+        yield blobs(to, data)
 
     return work
 
 
+def _gathered(got: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """Places in order with first place and anchor mark; links take those of the place that they link to."""
+    ends = {}
+    for kind in (WINDOWS, LINKS):
+        mine = [g for g in got if g[0][0] == kind]
+        empty = [np.zeros(0, np.int64)] * 5
+        ends[kind] = [np.concatenate([np.repeat(g[1], g[2]) for g in mine]), *[np.concatenate([g[k] for g in mine]).astype(np.int64) for k in (3, 4, 5)], np.concatenate([g[6] for g in mine]).astype(np.int64) if kind == WINDOWS else None] if mine else empty
+    got.clear()
+    doc, start, fdoc, fstart, anchor = ends[WINDOWS]
+    ldoc, lstart, adoc, astart, _ = ends[LINKS]
+    if len(ldoc):
+        ids = np.unique(np.concatenate([doc, adoc]))
+        key = np.searchsorted(ids, doc).astype(np.int64) << 32 | start
+        order = np.argsort(key)
+        at = order[np.searchsorted(key[order], np.searchsorted(ids, adoc).astype(np.int64) << 32 | astart)]
+        doc, start, fdoc, fstart, anchor = (np.concatenate([x, y]) for x, y in ((doc, ldoc), (start, lstart), (fdoc, fdoc[at]), (fstart, fstart[at]), (anchor, anchor[at])))
+    order = np.lexsort((start, doc))
+    doc, start, fdoc, fstart, anchor = (x[order] for x in (doc, start, fdoc, fstart, anchor))
+    keep = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])]) if len(doc) else np.zeros(0, bool)
+    return doc[keep], start[keep], fdoc[keep], fstart[keep], anchor[keep] > 0
+
+
 EXTENDED = "kind int, target int, doc_id long, blob binary"
 
 
@@ -144,17 +211,13 @@ def _rows(kind: list[int], target: list[int], doc: list[int], data: list[bytes])
 
 
 def _extend(length: int, block: int, n: int):
-    """In a document's partition: kind 0, starts of repeated windows by document; kind 1, windows still to decide."""
+    """At a send's home: kind 0, starts of repeated windows by document; kind 1, windows still to decide, each once."""
     gap = length - block
 
     def work(got: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        doc = np.concatenate([np.repeat(g[0], g[1]) for g in got])
-        start, fdoc, fstart, anchor = (np.concatenate([g[k] for g in got]) for k in (2, 3, 4, 5))
-        got.clear()
-        order = np.lexsort((start, doc))
-        doc, start, fdoc, fstart, anchor = doc[order], start[order].astype(np.int64), fdoc[order], fstart[order].astype(np.int64), anchor[order] > 0
-        keep = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])])
-        doc, start, fdoc, fstart, anchor = doc[keep], start[keep], fdoc[keep], fstart[keep], anchor[keep]
+        doc, start, fdoc, fstart, anchor = _gathered(got)
+        if not len(doc):
+            return
         at, count = _runs(doc)
         place = start + np.repeat(np.concatenate([[0], np.cumsum(np.maximum.reduceat(start, at) + 2 * length)[:-1]]), count)
         other = np.searchsorted(place, place + gap)
@@ -164,20 +227,30 @@ def _extend(length: int, block: int, n: int):
         same = both & (fdoc[safe] == fdoc) & (fstart[safe] == fstart + gap)
         # a place is no repeat of itself, also where a doc_id occurs twice
         one = same & ((fdoc != doc) | (fstart != start))
-        for a, c in zip(at, count, strict=True):
-            found = start[a : a + c][one[a : a + c]]
-            if len(found):
-                yield _rows([0], [0], [int(doc[a])], [pack(found.astype(np.uint32))])
         open_ = np.flatnonzero(both & ~same)
         if len(open_):
-            a, b = open_, safe[open_]
-            key = wordhash.mix(wordhash.mix(fdoc[a].view(U) + fstart[a].view(U) * U(0x9E3779B97F4A7C15)) + fdoc[b].view(U) * U(0xC2B2AE3D27D4EB4F) + fstart[b].view(U))
+            # of windows that are here several times the later ones are repeats already
+            i, j = open_, safe[open_]
+            order = np.lexsort((start[i], doc[i], fstart[j], fdoc[j], fstart[i], fdoc[i]))
+            i, j = i[order], j[order]
+            new = np.concatenate([[True], (fdoc[i][1:] != fdoc[i][:-1]) | (fstart[i][1:] != fstart[i][:-1]) | (fdoc[j][1:] != fdoc[j][:-1]) | (fstart[j][1:] != fstart[j][:-1])])
+            one[i[~new]] = True
+            i, j = i[new], j[new]
+            key = wordhash.mix(wordhash.mix(fdoc[i].view(U) + fstart[i].view(U) * U(0x9E3779B97F4A7C15)) + fdoc[j].view(U) * U(0xC2B2AE3D27D4EB4F) + fstart[j].view(U))
             to, data = [], []
             for k, pick in _by_target(_targets(key, n), n):
-                i, j = a[pick], b[pick]
+                a, b = i[pick], j[pick]
                 to.append(k)
-                data.append(pack(fdoc[i], fstart[i].astype(np.uint32), fdoc[j], fstart[j].astype(np.uint32), doc[i], start[i].astype(np.uint32)))
+                data.append(pack(fdoc[a], fstart[a].astype(np.uint32), fdoc[b], fstart[b].astype(np.uint32), doc[a], start[a].astype(np.uint32)))
             yield _rows([1] * len(to), to, [0] * len(to), data)
+        names, packed = [], []
+        for a, c in zip(at, count, strict=True):
+            found = start[a : a + c][one[a : a + c]]
+            if len(found):
+                names.append(int(doc[a]))
+                packed.append(pack(found.astype(np.uint32)))
+        if names:
+            yield _rows([0] * len(names), [0] * len(names), names, packed)
 
     return work
 
@@ -194,8 +267,9 @@ def _settle(got: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
     doc, start = doc[later], start[later]
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order]
-    for a, c in zip(*_runs(doc), strict=True):
-        yield _rows([0], [0], [int(doc[a])], [pack(start[a : a + c])])
+    found = [(int(doc[a]), pack(start[a : a + c])) for a, c in zip(*_runs(doc), strict=True)]
+    if found:
+        yield _rows([0] * len(found), [0] * len(found), [d for d, _ in found], [p for _, p in found])
 
 
 def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 20) -> DataFrame:
