@@ -40,7 +40,7 @@ SMALL = 8
 #: Signatures gathered by a task before it sends.
 SEND_AT = 1_000_000
 #: Shingles of one block of a cluster that is verified in several tasks.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 500_000
 #: Mean shingles of a segment in the middle of a band; see ``segments``.
 FILL = 1.5
 
@@ -269,7 +269,7 @@ def _verify(n_words: int, sim: Similarity):
     """Links of one tile of a cluster, as a star for each component of the tile."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("set_key").sort_values("set_key").reset_index(drop=True)
+        frame = frame.sort_values(["set_key", "probe"], ascending=[True, False]).drop_duplicates("set_key").reset_index(drop=True)
         sets = []
         for lo in range(0, len(frame), 64):
             sets += list(shingle_sets(pa.array(frame["text"][lo : lo + 64], pa.string()), n_words))
@@ -281,9 +281,8 @@ def _verify(n_words: int, sim: Similarity):
         postings, first = owner[order], np.searchsorted(token[order], np.arange(len(tokens) + 1))
         begin = np.concatenate([[0], np.cumsum(size)])
         root = np.arange(n)
-        left = np.ones(n, bool) if key[1] == key[2] else (frame["block"] == key[1]).to_numpy()
         components = n
-        for r in np.flatnonzero(left):
+        for r in np.flatnonzero(frame["probe"].to_numpy()):
             if components == 1:
                 break
             mine = token[begin[r] : begin[r + 1]]
@@ -303,18 +302,39 @@ def _verify(n_words: int, sim: Similarity):
 
 
 def links(docs: DataFrame, held: DataFrame, doc_id: str, text: str, n_words: int, sim: Similarity) -> DataFrame:
-    """``a, b``: links between classes that span every component of linked classes."""
+    """``a, b``: links between classes that span every component of linked classes.
+
+    A cluster with many shingles is dealt into blocks. First every block is compared with itself and with block 0,
+    which joins nearly all of a group of near copies at a cost in proportion to its size. Then only classes outside
+    the cluster's main component are compared with all others; two classes inside it need no further link.
+    """
     found = cut(candidates(docs, text, n_words, sim))
+    blocks = lambda tokens: F.greatest(F.lit(1), F.ceil(tokens / F.lit(BLOCK_TOKENS)).cast("int"))
     per = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("tokens")).where("members > 1")
-    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(BLOCK_TOKENS)).cast("int"))
-    placed = found.join(per.select("cluster", n_blocks.alias("n_blocks")), "cluster").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("n_blocks")).cast("int"))
-    tiles = placed.select("cluster", "set_key", "block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
-    tiles = tiles.select("cluster", "set_key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    placed = found.join(per.select("cluster", blocks(F.col("tokens")).alias("n_blocks")), "cluster").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("n_blocks")).cast("int"))
+    placed = cut(placed)
     member = held.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
-    wanted = tiles.join(member, "set_key")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = texts.join(wanted, "doc_id").select("cluster", "i", "j", "block", "set_key", "text")
-    return rows.groupBy("cluster", "i", "j").applyInPandas(_verify(n_words, sim), "a long, b long")
+
+    def compared(tiles: DataFrame) -> DataFrame:
+        rows = texts.join(tiles.join(member, "set_key"), "doc_id").select("cluster", "i", "j", "probe", "set_key", "text")
+        return cut(rows.groupBy("cluster", "i", "j").applyInPandas(_verify(n_words, sim), "a long, b long"))
+
+    with_first = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array(F.lit(0), F.col("block")))
+    tiles = placed.select("cluster", "set_key", "block", F.explode(with_first).alias("other"))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    first = compared(tiles.select("cluster", "set_key", low.alias("i"), high.alias("j"), (F.col("block") == low).alias("probe")))
+    large = placed.where("n_blocks > 1")
+    if large.limit(1).count() == 0:
+        return first
+    label = components(first)
+    state = cut(large.join(label, large["set_key"] == label["node"], "left").withColumn("component", F.coalesce("component", "set_key")).drop("node"))
+    main = state.groupBy("cluster", "component").agg(F.sum("size").alias("tokens")).groupBy("cluster").agg(F.max_by("component", F.struct("tokens", "component")).alias("main"))
+    left = state.join(main, "cluster").where("component != main")
+    count = left.groupBy("cluster").agg(blocks(F.sum("size")).alias("n_left"))
+    probes = left.join(count, "cluster").select("cluster", "set_key", F.pmod(F.xxhash64("set_key"), F.col("n_left")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("j"), F.lit(True).alias("probe"))
+    others = state.join(count, "cluster").select("cluster", "set_key", F.explode(F.sequence(F.lit(0), F.col("n_left") - 1)).alias("i"), F.col("block").alias("j"), F.lit(False).alias("probe"))
+    return first.unionByName(compared(probes.unionByName(others)))
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:

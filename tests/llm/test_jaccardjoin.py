@@ -44,7 +44,7 @@ def test_equals_brute_force(spark, seed):
 def test_tiles_of_a_large_cluster(spark, monkeypatch):
     monkeypatch.setattr(J, "BLOCK_TOKENS", 3000)
     monkeypatch.setattr(J, "SMALL", 3)
-    rows = corpus(4, 200)
+    rows = corpus(4, 250)
     assert run(spark, rows) == brute.components(rows)
 
 
