@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from casewright import config, projection
 from casewright.functions import dates, normalise, text
-from casewright.operators import analytics, claims, edges, extract, media, resolve, retrieve, store, tools, walk
+from casewright.operators import analytics, claims, edges, enrich, extract, inventory, media, resolve, retrieve, store, tools, walk
 from casewright.projection import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -627,3 +627,107 @@ def page_quality_score(spark, sf_dir):
     p = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_quantity") * 2.5 - 10).alias("c"))
     score, review = ocr_quality(F.col("c"))
     return p.select("l_orderkey", F.round(score, 6).alias("score"), review.alias("needs_review"))
+
+
+# --- more of inventories, look-ups and enrichment ---
+
+
+@query(f"WITH {GRAPH}, m AS (SELECT t AS entity_id, span_text AS alias_text, doc_id FROM ev) SELECT entity_id, canonical_name, count(*) AS mention_count, count(DISTINCT doc_id) AS doc_count, string_agg(DISTINCT alias_text, ', ' ORDER BY alias_text) AS aliases FROM m JOIN ent USING (entity_id) WHERE entity_type = 'ORGANISATION' GROUP BY 1, 2 ORDER BY mention_count DESC, doc_count DESC, canonical_name, entity_id LIMIT 40")
+def inventory_by_type(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    m = g.evidence.select(F.element_at(F.split("rel_id", r"\|"), 2).alias("entity_id"), F.col("span_text").alias("alias_text"), "doc_id")
+    return inventory.inventory(g.entities, m, "ORGANISATION")
+
+
+@query("SELECT n_name AS name, length(trim(n_name)) >= 4 AND NOT starts_with(lower(trim(n_name)), 'to ') AS place, length(regexp_replace(c_phone, '[^0-9]', '', 'g')) BETWEEN 10 AND 15 AS phone, c_custkey FROM (SELECT *, '0' || (7700000000 + c_custkey) AS c_phone FROM customer) JOIN nation ON n_nationkey = c_nationkey")
+def inventory_name_filters(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    phone = F.concat(F.lit("0"), (F.lit(7700000000) + F.col("c_custkey")).cast("string"))
+    return c.select(F.col("n_name").alias("name"), inventory.plausible_name(F.col("n_name"), "LOCATION").alias("place"), inventory.plausible_name(phone, "PHONE").alias("phone"), "c_custkey")
+
+
+@query(f"WITH {GRAPH}, adj AS (SELECT rel_id, source_entity AS node, target_entity AS other, relation_type, confidence FROM rel UNION ALL SELECT rel_id, target_entity, source_entity, relation_type, confidence FROM rel), x AS (SELECT adj.*, doc_id, page, row_number() OVER (PARTITION BY node ORDER BY confidence DESC, adj.rel_id, evidence_id NULLS LAST, doc_id, page) AS r FROM adj LEFT JOIN ev ON ev.rel_id = adj.rel_id WHERE node IN (SELECT entity_id FROM ent WHERE entity_type = 'ORGANISATION')) SELECT node, other, relation_type, max(confidence) AS confidence, CAST(count(DISTINCT CASE WHEN doc_id IS NOT NULL THEN doc_id || ':' || page END) AS BIGINT) AS citations FROM x WHERE r <= 12 GROUP BY 1, 2, 3")
+def association_inventory(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    out = inventory.associations(g.relationships, g.evidence, g.entities, g.entities.where("entity_type = 'ORGANISATION'"))
+    n = F.size(F.filter("citations", lambda c: c.doc_id.isNotNull())).cast("long")
+    return out.select("node", F.col("neighbour").alias("other"), "relation_type", "confidence", n.alias("citations"))
+
+
+@query("WITH s AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, l_shipmode AS claim FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode FROM lineitem)) SELECT doc_id, page, string_agg(DISTINCT claim, ',' ORDER BY claim) AS claims, min(claim) AS text FROM s GROUP BY 1, 2")
+def evidence_cards(spark, sf_dir):
+    claim = F.concat("l_returnflag", "l_linestatus")
+    spans = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), claim.alias("claim_id"), claim.alias("text"))
+    return inventory.cards(spans).select("doc_id", "page", F.array_join("claims", ",").alias("claims"), "text")
+
+
+@query(f"WITH {GRAPH} SELECT 'entities' AS \"table\", count(*) AS rows FROM ent UNION ALL SELECT 'relationships', count(*) FROM rel UNION ALL SELECT 'evidence', count(*) FROM ev UNION ALL SELECT 'documents', count(*) FROM doc")
+def store_totals(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return inventory.totals(entities=g.entities, relationships=g.relationships, evidence=g.evidence, documents=g.documents)
+
+
+@query(f"WITH {GRAPH}, sub AS (SELECT rel_id, source_entity, target_entity, confidence FROM rel WHERE relation_type = 'PURCHASED_FROM'), f AS (SELECT *, 1 AS hop FROM sub WHERE source_entity = 'C5' OR target_entity = 'C5' ORDER BY confidence DESC, rel_id LIMIT 15), n AS (SELECT DISTINCT x FROM (SELECT unnest([source_entity, target_entity]) AS x FROM f) WHERE x <> 'C5'), s AS (SELECT *, 2 AS hop FROM sub WHERE source_entity <> 'C5' AND target_entity <> 'C5' AND (source_entity IN (SELECT x FROM n) OR target_entity IN (SELECT x FROM n)) ORDER BY confidence DESC, rel_id LIMIT 15) SELECT * FROM (SELECT * FROM f UNION ALL SELECT * FROM s) ORDER BY hop, confidence DESC, rel_id LIMIT 15")
+def tool_neighbours(spark, sf_dir):
+    rels = graph(spark, sf_dir).relationships.where("relation_type = 'PURCHASED_FROM'").select("rel_id", "source_entity", "target_entity", "confidence")
+    return walk.neighbours(rels, "C5", depth=2, limit=15)
+
+
+@query()
+def evidence_paths(spark, sf_dir):
+    return walk.evidence_paths(strong_edges(spark, sf_dir, 0.9), "S1", "S2", hops=4)
+
+
+@query(f"WITH {GRAPH} SELECT entity_id, canonical_name FROM ent WHERE lower(canonical_name) IN ('nation_3', 'customer#000000004')")
+def resolve_query_names(spark, sf_dir):
+    return retrieve.resolve_names(graph(spark, sf_dir).entities, ["nation 3", " Customer#000000004 ", "nobody", ""]).select("entity_id", "canonical_name")
+
+
+@query("SELECT 'O' || o_orderkey AS doc_id, CAST(o_orderdate + INTERVAL 9 HOUR + INTERVAL 30 MINUTE AS TIMESTAMP) AS event_time FROM (SELECT * FROM orders ORDER BY 'O' || o_orderkey LIMIT 300) ORDER BY event_time, doc_id LIMIT 100")
+def text_timeline(spark, sf_dir):
+    """Dates in sentences, with the time that follows them, put in order; the limits are the report's."""
+    o = table(spark, sf_dir, "orders")
+    said = F.concat(F.lit("The order of customer "), F.col("o_custkey").cast("string"), F.lit(" was placed on "), F.date_format("o_orderdate", "d MMMM yyyy"), F.lit(" at 09:30 by telephone."))
+    rows = o.select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("doc_id"), F.lit(1).alias("page"), F.lit("c").alias("chunk_id"), said.alias("text"))
+    return tools.text_timeline(rows, 100).select("doc_id", "event_time")
+
+
+@query("SELECT 'N' || n_nationkey AS entity_id, CASE WHEN r_regionkey IS NOT NULL THEN 'cached' ELSE 'miss' END AS status FROM nation LEFT JOIN region ON r_regionkey = n_nationkey")
+def geocode_backfill(spark, sf_dir):
+    """Places that a cache knows, and the others without a look-up service."""
+    places = table(spark, sf_dir, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("entity_id"), F.col("n_name").alias("canonical_name"))
+    cache = table(spark, sf_dir, "region").select(F.concat(F.lit("N"), F.col("r_regionkey").cast("string")).alias("entity_id"), F.lit(1.0).alias("latitude"), F.lit(2.0).alias("longitude"), F.col("r_name").alias("display_name"))
+    return enrich.geocode(places, cache).select("entity_id", "status")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS thread_id, CAST(turn + 1 AS INTEGER) AS page, role AS sender, md5(text) AS body_md5 FROM conversations")
+def thread_json_parse(spark, sf_dir):
+    """Threads written as JSON lists of messages and read back."""
+    from casewright.sources.threads import messages
+
+    t = projection.threads(spark, sf_dir)
+    parts = F.array_sort(F.collect_list(F.struct("page", "sender", F.col("text").alias("body"))))
+    raw = t.groupBy("thread_id").agg(F.to_json(F.transform(parts, lambda m: F.struct(m.sender.alias("sender"), m.body.alias("body")))).alias("messages"))
+    back = raw.select("thread_id", F.posexplode(messages(F.col("messages"))).alias("pos", "m"))
+    return back.select("thread_id", (F.col("pos") + 1).alias("page"), F.col("m.sender").alias("sender"), F.md5("m.body").alias("body_md5"))
+
+
+@query("SELECT event_type AS label, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, label LIMIT 3")
+def label_counts_top(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("label")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(3)
+
+
+@query("SELECT doc_id, CAST(quality AS INTEGER) AS quality, row_number() OVER (ORDER BY n_chars, doc_id) AS place FROM documents JOIN labels USING (doc_id) WHERE quality = 0 ORDER BY n_chars, doc_id LIMIT 50")
+def audit_flags(spark, sf_dir):
+    """The 50 shortest documents that were rated badly: a report for review."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels").where("quality = 0"), "doc_id")
+    top = d.orderBy("n_chars", "doc_id").limit(50)
+    return top.select("doc_id", "quality", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("n_chars", "doc_id")).cast("long").alias("place"))
+
+
+@query(f"WITH {GRAPH}, c AS (SELECT DISTINCT s AS a, t AS b FROM ev WHERE doc_id IN (SELECT doc_id FROM doc WHERE case_ref = '2-HIGH')) SELECT b AS node, count(DISTINCT a) AS degree FROM c GROUP BY b")
+def case_hubs(spark, sf_dir):
+    """Who sells to how many in one case."""
+    g = graph(spark, sf_dir)
+    rels = edges.EdgeFilter(case_ref="2-HIGH", include_types=("PURCHASED_FROM",)).apply(g)
+    return rels.groupBy(F.col("target_entity").alias("node")).agg(F.count_distinct("source_entity").alias("degree"))

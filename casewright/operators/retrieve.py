@@ -94,6 +94,27 @@ def _by_source(table: dict[str, float], default: float) -> Column:
     return out.otherwise(F.lit(default))
 
 
+def learned(ranked: DataFrame, model) -> DataFrame:
+    """Fused rows with rank_score from a learned model: a function from a frame of the score features to scores."""
+    names = ranked.schema["score_features"].dataType.names
+
+    @F.pandas_udf("double")
+    def run(features: pd.DataFrame) -> pd.Series:
+        return pd.Series(model(features[names]), dtype="float64")
+
+    return ranked.withColumn("rank_score", run(F.col("score_features")))
+
+
+def resolve_names(entities: DataFrame, names: list[str]) -> DataFrame:
+    """Entities whose name is one of ``names`` as it stands or in the normal form of any type, in any case."""
+    from casewright.functions.normalise import STRATEGIES
+
+    spark = entities.sparkSession
+    asked = spark.createDataFrame([(n.strip(),) for n in names if n and n.strip()], "raw string")
+    forms = asked.select(F.explode(F.array_distinct(F.array(F.col("raw"), *[f(F.col("raw")) for f in STRATEGIES.values()]))).alias("form")).select(F.lower("form").alias("form")).where("form != ''").distinct()
+    return entities.join(F.broadcast(forms), F.lower("canonical_name") == forms["form"], "left_semi")
+
+
 def fuse(candidates: DataFrame, weights: dict[str, float] | None = None, k: int = config.RRF_K) -> DataFrame:
     """One row for each query and key: the best candidate with rank_score, evidence_count, supporting_sources, score_features.
 

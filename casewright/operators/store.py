@@ -62,7 +62,8 @@ def delete_entities(tables: dict[str, DataFrame], gone: DataFrame) -> tuple[dict
 def mention_counts(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """mention_count is one more than an entity's alias rows; confidence the highest of entity and mentions."""
     n = aliases.groupBy("entity_id").agg(F.count(F.lit(1)).alias("_n"), F.max("resolution_confidence").alias("_c"))
-    return entities.drop("mention_count").join(n, "entity_id", "left").withColumn("mention_count", 1 + F.coalesce("_n", F.lit(0))).drop("_n", "_c")
+    out = entities.drop("mention_count").join(n, "entity_id", "left").withColumn("mention_count", 1 + F.coalesce("_n", F.lit(0)))
+    return out.withColumn("confidence", F.greatest("confidence", "_c")).drop("_n", "_c")
 
 
 def latest(rows: DataFrame, by: list, order: list[Column]) -> DataFrame:

@@ -109,3 +109,33 @@ def corpus_hash(rows: DataFrame, columns: list[str]) -> DataFrame:
     one = rows.select(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256).alias("h"), F.col(columns[0]).alias("k"))
     block = one.groupBy(F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("h"))
     return block.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x.h), "\n"), 256).alias("corpus_hash"), F.count(F.lit(1)).alias("blocks"))
+
+
+def fetch_chunk(scope: Scope, documents: DataFrame, chunks: DataFrame, chunk_id: str) -> dict | None:
+    """A chunk by id; raises where its document is outside the scope."""
+    row = chunks.where(F.col("chunk_id") == chunk_id).limit(1).collect()
+    if not row:
+        return None
+    scope.check(documents, row[0]["doc_id"])
+    return row[0].asDict()
+
+
+def text_timeline(rows: DataFrame, limit: int) -> DataFrame:
+    """Rows with a date in their text, the readable ones first, in order of time, document, page and chunk.
+
+    rows: ``doc_id, page, chunk_id, text``. The excerpt starts up to 80 characters before the date and ends 160 after.
+    """
+    from casewright.functions import dates
+
+    # only the first rows in order are looked at, three for each that is wanted
+    looked = rows.orderBy("doc_id", "page", "chunk_id").limit(3 * limit)
+    said = looked.withColumn("date_text", dates.first_date(F.col("text"))).where("date_text != ''")
+    out = said.withColumn("event_time", dates.parse(F.col("date_text")))
+    at = F.greatest(F.lit(1), F.instr("text", F.regexp_extract("text", dates.DATE, 0)) - 80)
+    out = out.withColumn("excerpt", F.trim(F.substring("text", at, F.lit(240))))
+    return out.orderBy(F.col("event_time").isNull(), "event_time", "doc_id", "page", "chunk_id").limit(limit)
+
+
+def store_health(spark) -> dict:
+    """The number of tables that the session's catalogue knows."""
+    return {"tables": len(spark.catalog.listTables())}

@@ -77,3 +77,39 @@ def resolve_entity(entities: DataFrame, aliases: DataFrame | None, name: str) ->
         found = found.join(of_alias, "entity_id", "left").withColumn("how", F.coalesce("how", "by_alias")).drop("by_alias")
     order = [F.expr("how != 0"), F.desc("mention_count"), "entity_id"] if "mention_count" in entities.columns else ["how", "entity_id"]
     return found.where("how is not null").orderBy(*order).limit(1).drop("how")
+
+
+def evidence_paths(edges: DataFrame, source: str, target: str, hops: int = 3, most: int = 5) -> DataFrame:
+    """The first ``most`` paths of a breadth-first walk: ``path, rel_ids, hops``.
+
+    A node is entered once, by its first edge in the order of the walk (parents in order, then confidence, then
+    rel_id); the target is never entered, so every edge that reaches it ends a path.
+    """
+    adj = adjacency(edges.select("rel_id", "source_entity", "target_entity", "confidence"))
+    spark = edges.sparkSession
+    level = spark.createDataFrame([(source, 1, [source], [])], "node string, place int, path array<string>, rels array<string>")
+    seen, done = level.select("node"), None
+    for depth in range(1, max(1, min(hops, 4)) + 1):
+        step = level.join(adj, "node").select("place", "confidence", "rel_id", F.col("neighbour").alias("node"), F.array_append("path", F.col("neighbour")).alias("path"), F.array_append("rels", F.col("rel_id")).alias("rels"))
+        step = cut_lineage(step)
+        hit = step.where(F.col("node") == target).withColumn("depth", F.lit(depth))
+        done = hit if done is None else done.unionByName(hit)
+        new = step.where(F.col("node") != target).join(seen, "node", "left_anti")
+        one = new.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("place", F.desc("confidence"), "rel_id"))).where("r = 1")
+        # the walk's order over a level only matters for its nodes, each of which is there once
+        level = cut_lineage(one.withColumn("place", F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy("place", F.desc("confidence"), "rel_id"))).select("node", "place", "path", "rels"))
+        seen = seen.unionByName(level.select("node"))
+    return done.orderBy("depth", "place", F.desc("confidence"), "rel_id").limit(most).select(F.array_join("path", ">").alias("path"), F.array_join("rels", ",").alias("rel_ids"), F.col("depth").alias("hops"))
+
+
+def neighbours(edges: DataFrame, seed: str, depth: int = 1, limit: int = 25) -> DataFrame:
+    """The seed's best edges; with depth 2 also its neighbours' best edges that do not touch the seed, ``limit`` in all."""
+    order = [F.desc("confidence"), F.asc("rel_id")]
+    first = one_hop(edges, [seed]).orderBy(*order).limit(limit).withColumn("hop", F.lit(1))
+    if depth < 2:
+        return first
+    ends = first.select(F.explode(F.array("source_entity", "target_entity")).alias("node")).distinct().where(F.col("node") != seed)
+    away = edges.where((F.col("source_entity") != seed) & (F.col("target_entity") != seed))
+    ids = adjacency(away).join(F.broadcast(ends), "node", "left_semi").select("rel_id").distinct()
+    second = away.join(ids, "rel_id", "left_semi").orderBy(*order).limit(limit).withColumn("hop", F.lit(2))
+    return first.unionByName(second).orderBy("hop", *order).limit(limit)
