@@ -87,6 +87,35 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM b
 """
 
+_HOST = LOWER.format("regexp_extract(substr({0}, instr({0}, '://') + 3), '^([^/?#]*)', 1)")
+_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+_values = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in _RULES)
+
+
+def _op10(rounds: int = 12) -> str:
+    """The rounds of the propagation one by one."""
+    step = "SELECT kind, host, sum(score) AS score FROM (SELECT t.kind, t.dst AS host, 0.85 * s.score * t.share AS score FROM s{0} s JOIN t ON t.kind = s.kind AND t.src = s.host UNION ALL SELECT kind, host, 0.15 * score FROM s0) GROUP BY 1, 2"
+    steps = ", ".join(f"s{k} AS ({step.format(k - 1)})" for k in range(1, rounds + 1))
+    return f"""
+WITH r(verdict, h, p) AS (VALUES {_values}),
+u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN {_HOST.format("url")} ELSE '' END AS host,
+        CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
+        regexp_extract_all(coalesce(html, ''), '(?i)\\bhref\\s*=\\s*["'']?(?:https?:)?//([^/?#"''\\s>]+)', 1) AS links FROM pages),
+f AS (SELECT page_id, host, path, rule, verdict FROM (SELECT u.*, h || p AS rule, r.verdict, row_number() OVER (PARTITION BY u.page_id ORDER BY length(h || p) DESC) AS k
+        FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) WHERE k = 1),
+l AS (SELECT src, dst, count(*) AS n FROM (SELECT host AS src, unnest(list_transform(links, lambda x: {LOWER.format("x")})) AS dst FROM u) WHERE src <> '' AND src <> dst GROUP BY 1, 2),
+hosts AS (SELECT host FROM u WHERE host <> '' UNION SELECT dst FROM l),
+up AS (SELECT host AS a, regexp_extract(host, '^[^.]*\\.(.*)$', 1) AS b FROM hosts WHERE len(string_split(host, '.')) >= 4),
+e AS (SELECT src, dst, sum(n) AS n FROM (SELECT src, dst, n FROM l UNION ALL SELECT a, b, 1 FROM up UNION ALL SELECT b, a, 1 FROM up) GROUP BY 1, 2),
+k AS (SELECT 'trust' AS kind, src, dst, n FROM e UNION ALL SELECT 'distrust', dst, src, n FROM e),
+t AS (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS share FROM k),
+w AS (SELECT CASE WHEN verdict = 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS w FROM f WHERE verdict IS NOT NULL AND host <> '' GROUP BY 1, 2),
+s0 AS (SELECT kind, host, w / sum(w) OVER (PARTITION BY kind) AS score FROM w), {steps},
+z AS (SELECT host, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS tr, coalesce(sum(score) FILTER (kind = 'distrust'), 0) AS di FROM s{rounds} GROUP BY host)
+SELECT f.page_id, f.host, f.path, f.rule, coalesce(f.verdict, CASE WHEN round(di / (tr + di), 9) > 0.6 THEN 'block' ELSE 'allow' END) AS verdict FROM f LEFT JOIN z ON z.host = f.host
+"""
+
+
 ORACLE: dict[str, str] = {
     "op1_warc": OP1,
     "op2_chat_formatting": OP2,
@@ -94,4 +123,5 @@ ORACLE: dict[str, str] = {
     "op5_substring_dedup": OP5,
     "op6_jaccard_join": OP6,
     "op9_quality_rules": OP9,
+    "op10_url_filters": _op10(),
 }
