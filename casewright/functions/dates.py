@@ -6,14 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What counts as a date in text, and the formats that are tried in order.
-MONTH = "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 DATE = (
-    rf"(?i)\b(?:(?:{MONTH}[,\s]+\d{{1,2}}(?:st|nd|rd|th)?(?:[,\s]+\d{{2,4}})?)"
-    rf"|(?:(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)(?:day)?[,\s]+)?(?:\d{{1,2}}(?:st|nd|rd|th)?[,\s]+)?{MONTH}(?:[,\s]+\d{{2,4}})?"
+    r"(?i)\b(?:(?:(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)[,\s]+\d{1,2}(?:st|nd|rd|th)?(?:[,\s]+\d{2,4})?)"
+    r"|(?:(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)(?:day)?[,\s]+)?(?:\d{1,2}(?:st|nd|rd|th)?[,\s]+)?(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)(?:[,\s]+\d{2,4})?"
     r"|\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}|\d{4}[/\-]\d{2}[/\-]\d{2})"
     r"(?:[T,\s]+(?:\d{1,2}:\d{2}(?::\d{2})?(?:\s*[APap][Mm])?))?\b"
 )
-TIME = r"(?i)\b(\d{1,2}:\d{2}(?::\d{2})?(?:\s*[ap]m)?)\b"
 #: A date's shape and the formats of its day; each may be followed by a time.
 SHAPES = [(r"^\d{4}-", ["yyyy-M-d"]), (r"^\d{4}/", ["yyyy/M/d"]), (r"^\d{1,2}/", ["d/M/yyyy"]), (r"^\d{1,2}-", ["d-M-yyyy"]), (r"^\d{1,2} [A-Za-z]{4,} ", ["d MMMM yyyy"]), (r"^\d{1,2} [A-Za-z]{3} ", ["d MMM yyyy", "d MMMM yyyy"]), (r"^[A-Za-z]{4,} ", ["MMMM d, yyyy"]), (r"^[A-Za-z]{3} ", ["MMM d, yyyy", "MMMM d, yyyy"])]
 MAIL = ["d MMM yyyy H:m:s", "d MMM yyyy H:m", "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "d/M/yyyy H:m", "yyyy-M-d"]

@@ -87,7 +87,7 @@ def evidence_paths(edges: DataFrame, source: str, target: str, hops: int = 3, mo
     """
     adj = adjacency(edges.select("rel_id", "source_entity", "target_entity", "confidence"))
     spark = edges.sparkSession
-    level = spark.createDataFrame([(source, 1, [source], [])], "node string, place int, path array<string>, rels array<string>")
+    level = spark.createDataFrame([(source, 1, [source], [])], "node string, place long, path array<string>, rels array<string>")
     seen, done = level.select("node"), None
     for depth in range(1, max(1, min(hops, 4)) + 1):
         step = level.join(adj, "node").select("place", "confidence", "rel_id", F.col("neighbour").alias("node"), F.array_append("path", F.col("neighbour")).alias("path"), F.array_append("rels", F.col("rel_id")).alias("rels"))
@@ -96,8 +96,8 @@ def evidence_paths(edges: DataFrame, source: str, target: str, hops: int = 3, mo
         done = hit if done is None else done.unionByName(hit)
         new = step.where(F.col("node") != target).join(seen, "node", "left_anti")
         one = new.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("place", F.desc("confidence"), "rel_id"))).where("r = 1")
-        # the walk's order over a level only matters for its nodes, each of which is there once
-        level = cut_lineage(one.withColumn("place", F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy("place", F.desc("confidence"), "rel_id"))).select("node", "place", "path", "rels"))
+        # after a distributed sort these ids grow in its order, which is all that a level's order is needed for
+        level = cut_lineage(one.orderBy("place", F.desc("confidence"), "rel_id").select("node", F.monotonically_increasing_id().alias("place"), "path", "rels"))
         seen = seen.unionByName(level.select("node"))
     return done.orderBy("depth", "place", F.desc("confidence"), "rel_id").limit(most).select(F.array_join("path", ">").alias("path"), F.array_join("rels", ",").alias("rel_ids"), F.col("depth").alias("hops"))
 

@@ -18,17 +18,15 @@ TITLES = ["Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "DC", "DCI", "DS", "DI", "Sgt
 SUFFIXES = ["Ltd", "Limited", "PLC", "Plc", "plc", "Inc", "Incorporated", "LLP", "LLC", "GmbH", "AG", "SA", "Pty", "Co"]
 EXPANSIONS = {r"\bRd\.?\b": "Road", r"\bSt\.?\b": "Street", r"\bAve\.?\b": "Avenue", r"\bLn\.?\b": "Lane", r"\bBlvd\.?\b": "Boulevard", r"\bDr\.?\b": "Drive"}
 
-# Month names and the patterns of the nine types that have one.
-MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec|January|February|March|April|May|June|July|August|September|October|November|December"
-OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d\d?)"
+# The patterns of the nine types that have one, with the group that counts and flags.
 PATTERNS = {
     "LOCATION": (r"\b\d{1,4}\s+[A-Z][A-Za-z'-]+(?:\s+[A-Z][A-Za-z'-]+){0,3}\s+(?:Road|Street|Drive|Lane|Avenue|Close|Court|Way|Gardens|Crescent|Place|Park|Boulevard|Terrace|Square|Row|Highway|Freeway)\b", 0, ""),
     "PHONE": (r"(?<![\d])(\+?\d[\d\s().-]{8,}\d)(?![\d])", 1, ""),
     "VEHICLE": (r"\b([A-Z]{2}\s?\d{2}\s?[A-Z]{3}|[A-Z]{3}\s?\d{3,4}|\d{3}\s?[A-Z]{3}|[A-Z]{1,3}\s?\d{1,4}\s?[A-Z]{1,3})\b", 1, "i"),
     "CASE_REF": (r"\b(OP[_\-\s][A-Z0-9]+|URN[:\s]?[A-Z0-9\-/]+|\d{2}/[A-Z]{2,4}/\d+)\b", 1, "i"),
-    "DATE": (rf"\b(\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}|\d{{4}}-\d{{2}}-\d{{2}}|(?:\d{{1,2}}\s+)?(?:{MONTHS})\s+\d{{1,2}},?\s+\d{{2,4}}|(?:{MONTHS})\s+\d{{4}}|\d{{1,2}}:\d{{2}}(?::\d{{2}})?)\b", 1, "i"),
+    "DATE": (r"\b(\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}-\d{2}-\d{2}|(?:\d{1,2}\s+)?(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec|January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{2,4}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec|January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{4}|\d{1,2}:\d{2}(?::\d{2})?)\b", 1, "i"),
     "EMAIL": (r"\b([A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,})\b", 1, ""),
-    "IP_ADDRESS": (rf"\b({OCTET}\.{OCTET}\.{OCTET}\.{OCTET})\b", 1, ""),
+    "IP_ADDRESS": (r"\b((?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.(?:25[0-5]|2[0-4]\d|[01]?\d\d?))\b", 1, ""),
     "BANK_ACCOUNT": (r"\b(GB\d{2}[A-Z]{4}\d{14}|(?:\d{2}-\d{2}-\d{2})\s+\d{8}|account(?:\s+number)?[:\s]+[A-Z0-9]{8,18}|card(?:\s+number)?[:\s]+(?:\d{4}[\s-]?){3}\d{4})\b", 1, "i"),
     "SERIAL": (r"\b(IMEI[:\s]*\d{15}|serial(?:\s+number)?[:\s]*[A-Z0-9-]{6,}|device\s+id[:\s]*[A-Z0-9-]{6,})\b", 1, "i"),
 }
@@ -52,13 +50,12 @@ TYPES = [
 
 # Relation types, and patterns with the groups source and target; all ignore case.
 RELATION_HINTS = ["OBSERVED_AT", "ASSOCIATED_WITH", "LINKED_TO", "MENTIONED_WITH", "INFERRED_LINK"]
-NAME = r"[A-Z][\w.'-]+(?:\s+[A-Z][\w.'-]+){0,3}"
 RELATIONS = [
     ("OBSERVED_AT", r"(?P<source>[A-Z][\w.-]+(?:\s+[A-Z][\w.'-]+){0,3})\s+(?:was|were|is|are)\s+(?:observed|seen|spotted|sighted|photographed|recorded)\s+(?:at|near|in|outside|inside)\s+(?P<target>[^.;\n]{3,80}?)(?=[.;\n]|\s+at\s+\d{1,2}:\d{2})"),
-    ("ASSOCIATED_WITH", rf"(?P<source>{NAME})\s+(?:is|was|are|were)\s+(?:known\s+to\s+)?(?:associate[ds]?|meet(?:s|ing)?|working|collaborat(?:e|ing|es))\s+(?:with)\s+(?P<target>{NAME})"),
-    ("ASSOCIATED_WITH", rf"(?P<source>{NAME})\s+(?:and|with)\s+(?P<target>{NAME})\s+(?:were|are|was|is)\s+(?:together|seen together|present)"),
-    ("LINKED_TO", rf"(?P<source>{NAME})\s+(?:is|was|are|were)\s+(?:linked|tied|connected|related)\s+to\s+(?P<target>[^.;\n]{{3,80}}?)(?=[.;\n])"),
-    ("LINKED_TO", rf"(?P<source>{NAME})'s\s+(?:phone|number|mobile)\s+\(?(?P<target>\+?\d[\d\s().-]{{8,}}\d)\)?\s+(?:was|is|were)\s+(?:in\s+)?contact(?:ing|ed)?\s+with"),
+    ("ASSOCIATED_WITH", r"(?P<source>[A-Z][\w.'-]+(?:\s+[A-Z][\w.'-]+){0,3})\s+(?:is|was|are|were)\s+(?:known\s+to\s+)?(?:associate[ds]?|meet(?:s|ing)?|working|collaborat(?:e|ing|es))\s+(?:with)\s+(?P<target>[A-Z][\w.'-]+(?:\s+[A-Z][\w.'-]+){0,3})"),
+    ("ASSOCIATED_WITH", r"(?P<source>[A-Z][\w.'-]+(?:\s+[A-Z][\w.'-]+){0,3})\s+(?:and|with)\s+(?P<target>[A-Z][\w.'-]+(?:\s+[A-Z][\w.'-]+){0,3})\s+(?:were|are|was|is)\s+(?:together|seen together|present)"),
+    ("LINKED_TO", r"(?P<source>[A-Z][\w.'-]+(?:\s+[A-Z][\w.'-]+){0,3})\s+(?:is|was|are|were)\s+(?:linked|tied|connected|related)\s+to\s+(?P<target>[^.;\n]{3,80}?)(?=[.;\n])"),
+    ("LINKED_TO", r"(?P<source>[A-Z][\w.'-]+(?:\s+[A-Z][\w.'-]+){0,3})'s\s+(?:phone|number|mobile)\s+\(?(?P<target>\+?\d[\d\s().-]{8,}\d)\)?\s+(?:was|is|were)\s+(?:in\s+)?contact(?:ing|ed)?\s+with"),
 ]
 
 
