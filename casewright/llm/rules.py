@@ -86,7 +86,7 @@ BASE = (
 RULES = (
     Rule("symbols", ("n_symbols", "n_words"), lambda m: 100 * m["n_symbols"] > 20 * m["n_words"]),
     Rule("word_length", ("word_chars", "n_words"), lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 20 * m["n_words"])),
-    Rule("duplicate_lines", ("n_dup_lines", "n_lines"), lambda m: 100 * m["n_dup_lines"] > 30 * m["n_lines"]),
+    Rule("duplicate_lines", ("n_dup_lines", "n_lines"), lambda m: 100 * m["n_dup_lines"] > 50 * m["n_lines"]),
     Rule("upper_case", ("n_upper", "word_chars"), lambda m: 100 * m["n_upper"] > 50 * m["word_chars"]),
 )
 

@@ -83,7 +83,7 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
        NOT (base_failed OR 100 * n_symbols > 20 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
-            OR 100 * n_dup_lines > 30 * n_lines OR 100 * n_upper > 50 * word_chars) AS kept
+            OR 100 * n_dup_lines > 50 * n_lines OR 100 * n_upper > 50 * word_chars) AS kept
 FROM b
 """
 

@@ -16,7 +16,7 @@ def kept_by_rules(rows):
         n, chars, symbols, dup, repeat = brute.measures(t)
         lines = [x for x in (t or "").split("\n") if brute.words(x)]
         upper = sum("A" <= c <= "Z" for c in t or "")
-        if not (n < 50 or 100 * repeat > 50 * n or 100 * symbols > 20 * n or chars < 2 * n or chars > 20 * n or 100 * dup > 30 * len(lines) or 100 * upper > 50 * chars):
+        if not (n < 50 or 100 * repeat > 50 * n or 100 * symbols > 20 * n or chars < 2 * n or chars > 20 * n or 100 * dup > 50 * len(lines) or 100 * upper > 50 * chars):
             out.append((d, t))
     return out
 
