@@ -124,7 +124,7 @@ SEGMENTS = "conv_id long, turn_no long, segment_no int, text string, loss boolea
 
 def _turns(turns: DataFrame, conv_id: str, turn: str, role: str, text: str) -> DataFrame:
     clean = turns.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return clean.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return clean.repartition(partitions(turns), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
 def format_segments(turns: DataFrame, template: Template = INSTRUCT, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

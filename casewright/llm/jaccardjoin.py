@@ -37,8 +37,8 @@ from casewright.llm.shared import cut, partitions
 U = np.uint64
 #: Classes of a signature that are paired; more are listed under one class.
 SMALL = 8
-#: Signatures gathered by a task before it sends.
-SEND_AT = 1_000_000
+#: Signatures gathered by a task before it sends, and the most that it gathers for many targets.
+SEND_AT, SEND_MOST = 1_000_000, 4_000_000
 #: Shingles of one block of a cluster that is verified in several tasks.
 BLOCK_TOKENS = 500_000
 #: Mean shingles of a segment in the middle of a band; see ``segments``.
@@ -152,6 +152,7 @@ def _send_signatures(n_words: int, sim: Similarity, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with lean():
             rows, held, seen = [], 0, set()
+            enough = min(max(SEND_AT, 50 * n), max(SEND_AT, SEND_MOST))
             for batch in batches:
                 for part in wordhash.slices(batch, 0):
                     for s in shingle_sets(part.column(0), n_words):
@@ -162,7 +163,7 @@ def _send_signatures(n_words: int, sim: Similarity, n: int):
                             exact, more, filled = _signatures(s, band, sim)
                             rows.append((key, len(s), band, filled, exact, more))
                             held += len(exact) + len(more)
-                    if held >= SEND_AT:
+                    if held >= enough:
                         yield flush(rows)
                         rows, held, seen = [], 0, set()
             if rows:
@@ -246,7 +247,7 @@ def classes(docs: DataFrame, doc_id: str, text: str, n_words: int) -> DataFrame:
 
 def candidates(docs: DataFrame, text: str, n_words: int, sim: Similarity) -> DataFrame:
     """``cluster, set_key, size``: classes that have to be compared with those of the same cluster."""
-    n = partitions(docs.sparkSession)
+    n = partitions(docs)
     sent = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_send_signatures(n_words, sim, n), SENT)
     met = cut(exchange(sent, n, _meet(sim), MET))
     most_apart = F.floor(F.lit(sim.den - sim.num) * (F.col("size_a") + F.col("size_b")) / F.lit(sim.den + sim.num))

@@ -35,8 +35,8 @@ from casewright.llm.packing import SENT, blobs, exchange, lean, pack
 from casewright.llm.shared import cut, fresh, partitions
 
 U = np.uint64
-#: Rolling windows gathered by a task before it sends.
-SEND_AT = 1_000_000
+#: Rolling windows gathered by a task before it sends, and the most that it gathers for many targets.
+SEND_AT, SEND_MOST = 1_000_000, 6_000_000
 
 
 def _targets(h: np.ndarray, n: int) -> np.ndarray:
@@ -100,6 +100,8 @@ def _send_windows(block: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with lean():
             ids, starts, hashes, held = [], [], [], 0
+            # with many targets a send has to be larger, or its blobs hold next to nothing
+            enough = min(max(SEND_AT, 50 * n), max(SEND_AT, SEND_MOST))
             # neighbouring tasks begin at different homes, so that all homes get as many sends
             home = TaskContext.get().partitionId() * 7919
             for batch in batches:
@@ -114,7 +116,7 @@ def _send_windows(block: int, n: int):
                     starts.append(start[whole])
                     hashes.append(h[whole])
                     held += int(whole.sum())
-                    if held >= SEND_AT:
+                    if held >= enough:
                         yield flush(ids, starts, hashes, home % n)
                         ids, starts, hashes, held = [], [], [], 0
                         home += 1
@@ -276,8 +278,9 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """``doc_id, found``: for documents with repeats, packed arrays of the starts of their repeated windows."""
     if length % 2:
         raise ValueError("the window's length has to be even")
-    n, block = partitions(docs.sparkSession), length // 2
+    block = length // 2
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
+    n = partitions(source)
     sent = source.mapInArrow(_send_windows(block, n), SENT)
     hits = exchange(sent, n, _find_hits(block, n), SENT)
     extended = cut(exchange(hits, n, _extend(length, block, n), EXTENDED))

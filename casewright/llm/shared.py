@@ -37,8 +37,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def partitions(df: DataFrame) -> int:
+    """How many tasks share what ``df`` sends: the session's shuffle partitions, and two for each partition that is read.
+
+    The second grows with the input, so that a task's share does not, whatever the session is set to.
+    """
+    spark = df.sparkSession
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * df.rdd.getNumPartitions())
 
 
 def broadcast_checked(df: DataFrame, most_rows: int) -> DataFrame:

@@ -37,6 +37,7 @@ def test_whole_table(spark, sf):
 
 def test_many_small_sends(spark, monkeypatch):
     monkeypatch.setattr(repeats, "SEND_AT", 50)
+    monkeypatch.setattr(repeats, "SEND_MOST", 50)
     rows = corpus(3, 60)
     got = {r[0]: tuple(r[1:]) for r in repeats.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute.repeats(rows)
