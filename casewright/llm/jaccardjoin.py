@@ -234,6 +234,10 @@ def classes(docs: DataFrame, doc_id: str, text: str, n_words: int) -> DataFrame:
     """``doc_id, n_shingles, set_key`` for each document; the key of an empty set is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with lean():
+            yield from keyed(batches)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in wordhash.slices(batch, 1):
                 sizes, keys = [], []
@@ -270,6 +274,12 @@ def _verify(n_words: int, sim: Similarity):
     """Links of one tile of a cluster, as a star for each component of the tile."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        if len(frame) < 256:
+            return stars(frame)
+        with lean():
+            return stars(frame)
+
+    def stars(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["set_key", "probe"], ascending=[True, False]).drop_duplicates("set_key").reset_index(drop=True)
         sets = []
         for lo in range(0, len(frame), 64):
