@@ -31,7 +31,7 @@ def two_stage(edges: DataFrame, seeds: list[str], limit: int) -> DataFrame:
 
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """``node, depth``: all nodes within ``hops`` of the seeds. A level is one join; visited nodes are not entered again."""
-    adj = adjacency(edges.select("source_entity", "target_entity")).distinct()
+    adj = cut_lineage(adjacency(edges.select("source_entity", "target_entity")).distinct())
     seen = seeds.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = seen
     for depth in range(1, hops + 1):
@@ -52,7 +52,7 @@ def simple_paths(edges: DataFrame, source: str, target: str, cutoff: int, k: int
 
     edges: one row for each pair, with ``weight``. Paths that came back, or reached the target, are not carried on.
     """
-    adj = adjacency(edges.select("source_entity", "target_entity", "weight"))
+    adj = cut_lineage(adjacency(edges.select("source_entity", "target_entity", "weight")))
     spark = edges.sparkSession
     going = spark.createDataFrame([(source, [source], 0.0)], "node string, path array<string>, weight double")
     done = None
@@ -85,7 +85,7 @@ def evidence_paths(edges: DataFrame, source: str, target: str, hops: int = 3, mo
     A node is entered once, by its first edge in the order of the walk (parents in order, then confidence, then
     rel_id); the target is never entered, so every edge that reaches it ends a path.
     """
-    adj = adjacency(edges.select("rel_id", "source_entity", "target_entity", "confidence"))
+    adj = cut_lineage(adjacency(edges.select("rel_id", "source_entity", "target_entity", "confidence")))
     spark = edges.sparkSession
     level = spark.createDataFrame([(source, 1, [source], [])], "node string, place long, path array<string>, rels array<string>")
     seen, done = level.select("node"), None
