@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casewright.operators.components import stars
 from casewright.operators.edges import adjacency
 from casewright.session import cut_lineage
 
@@ -41,21 +42,11 @@ def pagerank(edges: DataFrame, rounds: int, damping: float = 0.85, mode: str = "
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """``node, component``: the smallest node that can be reached; labels double their reach every round."""
-    adj = cut_lineage(adjacency(edges.select("source_entity", "target_entity")).distinct())
-    label = adj.groupBy("node").agg(F.least(F.min("neighbour"), F.first("node")).alias("component"))
-    before = None
-    for _ in range(most_rounds):
-        near = adj.join(label.withColumnRenamed("node", "neighbour"), "neighbour").groupBy("node").agg(F.min("component").alias("near"))
-        up = label.join(near, "node").select("node", F.least("component", "near").alias("component"))
-        # the label of one's label: halves long chains
-        jump = up.select(F.col("node").alias("component"), F.col("component").alias("jump"))
-        label = cut_lineage(up.join(jump, "component", "left").select("node", F.coalesce("jump", "component").alias("component")))
-        now = label.agg(F.sum(F.xxhash64("node", "component").cast("decimal(38,0)"))).first()[0]
-        if now == before:
-            break
-        before = now
-    return label
+    """``node, component``: the smallest node that can be reached; an error if ``most_rounds`` do not settle it."""
+    held = cut_lineage(edges.select(F.greatest("source_entity", "target_entity").alias("a"), F.least("source_entity", "target_entity").alias("b")).distinct())
+    found = stars(held.where("a != b"), most_rounds).select(F.col("a").alias("node"), F.col("b").alias("component"))
+    nodes = held.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def betweenness(edges: DataFrame, pivots: int = 200, seed: int = 17, most_edges: int = 2_000_000) -> DataFrame:

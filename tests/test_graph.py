@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +77,18 @@ def test_modularity_by_hand(spark):
     assert analytics.modularity(e, two).first().modularity == round(2 * (3 / 7 - (7 / 14) ** 2), 4)
     found = {r.node: r.community for r in analytics.label_propagation(e, 8).collect()}
     assert len({found[n] for n in "abc"}) == 1 and len({found[n] for n in "def"}) == 1
+
+
+def test_components_of_long_paths(spark):
+    def rows(order):
+        return [(f"n{a:04d}", f"n{b:04d}") for a, b in zip(order, order[1:])]
+
+    far, mixed = [0, *range(150, 0, -1)], list(range(1000, 1600))
+    random.Random(3).shuffle(mixed)
+    e = spark.createDataFrame([*rows(far), *rows(mixed), ("x1", "x1"), ("z2", "z1"), ("z1", "z2")], "source_entity string, target_entity string")
+    want = {f"n{i:04d}": "n0000" for i in far} | {f"n{i:04d}": "n1000" for i in mixed} | {"x1": "x1", "z1": "z1", "z2": "z1"}
+    got = analytics.components(e).collect()
+    assert len(got) == len(want) and {r.node: r.component for r in got} == want
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        analytics.components(e, most_rounds=2)
+    assert analytics.components(e.where("false")).count() == 0
