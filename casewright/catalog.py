@@ -129,6 +129,20 @@ def induced_subgraph(spark, sf_dir):
     return walk.induced(e, walk.k_hop(e, spark.createDataFrame([("S2",)], "node string"), 2)).select("rel_id", "source_entity", "target_entity")
 
 
+# Over all relationships; without SQL, tested against brute force.
+
+
+@query()
+def khop_walk_nodes_all(spark, sf_dir):
+    return walk.k_hop(graph(spark, sf_dir).relationships, spark.createDataFrame([("S1",)], "node string"), 3)
+
+
+@query()
+def induced_subgraph_all(spark, sf_dir):
+    e = graph(spark, sf_dir).relationships
+    return walk.induced(e, walk.k_hop(e, spark.createDataFrame([("S2",)], "node string"), 2)).select("rel_id", "source_entity", "target_entity")
+
+
 NATIONS = """
 trade AS (SELECT c_nationkey AS c, s_nationkey AS s, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2),
 pairs AS (SELECT least(c, s) AS a, greatest(c, s) AS b, CAST(sum(n) AS BIGINT) AS n FROM trade GROUP BY 1, 2),
@@ -178,6 +192,12 @@ def connected_components(spark, sf_dir):
     return analytics.components(strong_edges(spark, sf_dir, 0.98))
 
 
+@query()
+def connected_components_all(spark, sf_dir):
+    """Components of the whole graph."""
+    return analytics.components(graph(spark, sf_dir).relationships)
+
+
 @query()
 def betweenness_small(spark, sf_dir):
     return analytics.betweenness(nation_edges(spark, sf_dir))
@@ -675,7 +695,7 @@ def tool_neighbours(spark, sf_dir):
 
 @query()
 def evidence_paths(spark, sf_dir):
-    return walk.evidence_paths(strong_edges(spark, sf_dir, 0.9), "S1", "S2", hops=4)
+    return walk.evidence_paths(graph(spark, sf_dir).relationships, "S1", "S2", hops=4)
 
 
 @query(f"WITH {GRAPH} SELECT entity_id, canonical_name FROM ent WHERE lower(canonical_name) IN ('nation_3', 'customer#000000004')")

@@ -2,8 +2,10 @@ import datetime as dt
 import random
 from collections import deque
 
+import duckdb
 from pyspark.sql import functions as F
 
+from casewright import catalog
 from casewright.operators import enrich, extract, inventory, retrieve, tools, walk
 
 
@@ -116,3 +118,34 @@ def test_attach_and_scope_helpers(spark):
     ents = spark.createDataFrame([("1", "+447712345678"), ("2", "Marcus Webb")], "entity_id string, canonical_name string")
     assert {r.entity_id for r in retrieve.resolve_names(ents, ["07712 345678", "WEBB, MARCUS"]).collect()} == {"1", "2"}
     assert extract.relation_type("has-met") == "HAS_MET"
+
+
+def test_walks_over_all_relationships(spark, sf):
+    con = duckdb.connect()
+    for t in ("customer", "supplier", "nation", "orders", "lineitem"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    rels = con.sql(f"WITH {catalog.GRAPH} SELECT rel_id, source_entity, target_entity, confidence FROM rel").fetchall()
+    near = {}
+    for _, s, t, _ in rels:
+        near.setdefault(s, set()).add(t)
+        near.setdefault(t, set()).add(s)
+
+    def depths(seeds, most):
+        at = dict.fromkeys(seeds, 0)
+        queue = deque(at)
+        while queue:
+            x = queue.popleft()
+            for y in near[x] - set(at) if at[x] < most else ():
+                at[y] = at[x] + 1
+                queue.append(y)
+        return at
+
+    assert dict(catalog.khop_walk_nodes_all(spark, sf).collect()) == depths(["S1"], 3)
+    inside = depths(["S2"], 2)
+    assert sorted(map(tuple, catalog.induced_subgraph_all(spark, sf).collect())) == sorted(r[:3] for r in rels if r[1] in inside and r[2] in inside)
+    least = {}
+    for x in sorted(near):
+        if x not in least:
+            least |= dict.fromkeys(depths([x], len(near)), x)
+    assert dict(catalog.connected_components_all(spark, sf).collect()) == least
+    assert [tuple(r) for r in catalog.evidence_paths(spark, sf).collect()] == brute_paths(rels, "S1", "S2", 4, 5)
