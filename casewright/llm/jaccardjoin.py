@@ -14,7 +14,9 @@ Signatures meet, packed, in the partition of their hash. Groups of up to ``SMALL
 of shared segments, and pairs with fewer than the pigeonhole asks for are dropped. Larger groups never give pairs:
 their classes are listed under the group's first class, and of these only classes with so many frequent segments
 that a link could rest on them go on. What is left is verified exactly, set against set, in blocks of bounded
-size; linked classes are joined by connected components in Spark.
+size; linked classes are joined by connected components in Spark. Lists and pairs that share classes are first put
+together to one group, where comparing the whole group costs no more than comparing each: a class of near copies is
+then sent once and not once for each list that holds it.
 
 A shingle is five consecutive words, lower-cased (A-Z), held as a 64-bit hash; a text with one to four words is one
 shingle of all its words. Null and empty texts have an empty set and link with nothing. Very long texts are one set
@@ -230,8 +232,13 @@ def _meet(sim: Similarity):
     return work
 
 
+def text_key(text: str):
+    """The name under which a text is fetched again: rows with equal texts have the same."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
 def classes(docs: DataFrame, doc_id: str, text: str, n_words: int) -> DataFrame:
-    """``doc_id, n_shingles, set_key`` for each document; the key of an empty set is null."""
+    """``doc_id, text_key, n_shingles, set_key`` for each document; the key of an empty set is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with lean():
@@ -239,14 +246,14 @@ def classes(docs: DataFrame, doc_id: str, text: str, n_words: int) -> DataFrame:
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in wordhash.slices(batch, 1):
+            for part in wordhash.slices(batch, 2):
                 sizes, keys = [], []
-                for s in shingle_sets(part.column(1), n_words):
+                for s in shingle_sets(part.column(2), n_words):
                     sizes.append(len(s))
                     keys.append(set_key(s) or None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "n_shingles", "set_key"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "text_key", "n_shingles", "set_key"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(text).alias("text_key"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key long")
 
 
 def candidates(docs: DataFrame, text: str, n_words: int, sim: Similarity) -> DataFrame:
@@ -280,11 +287,16 @@ def _verify(n_words: int, sim: Similarity):
             return stars(frame)
 
     def stars(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["set_key", "probe"], ascending=[True, False]).drop_duplicates("set_key").reset_index(drop=True)
         sets = []
         for lo in range(0, len(frame), 64):
             sets += list(shingle_sets(pa.array(frame["text"][lo : lo + 64], pa.string()), n_words))
+        # another text under the same text_key is not the class's
+        own = np.array([set_key(s) for s in sets], np.int64) == frame["set_key"].to_numpy()
+        rows = frame[own].reset_index().sort_values(["set_key", "probe"], ascending=[True, False]).drop_duplicates("set_key")
+        frame, sets = rows.reset_index(drop=True), [sets[k] for k in rows["index"]]
         n = len(sets)
+        if n < 2:
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         size = np.array([len(s) for s in sets], np.int64)
         tokens, token = np.unique(np.concatenate(sets), return_inverse=True)
         owner = np.repeat(np.arange(n), size)
@@ -312,23 +324,44 @@ def _verify(n_words: int, sim: Similarity):
     return run
 
 
-def links(docs: DataFrame, held: DataFrame, doc_id: str, text: str, n_words: int, sim: Similarity) -> DataFrame:
+def groups(found: DataFrame) -> DataFrame:
+    """``cluster, set_key, size, tokens``: every two classes of a cluster of ``found`` are in a cluster of this.
+
+    Clusters that are connected by common classes are put together where the square of the whole is at most the sum of
+    the squares of the parts; chains of loosely connected clusters stay apart. ``tokens`` is the sum of a cluster's sizes.
+    """
+    label = components(found.select(F.col("cluster").alias("a"), F.col("set_key").alias("b"))).withColumnRenamed("node", "set_key")
+    held = cut(found.join(label, "set_key"))
+    single = held.select("component", "set_key", "size").distinct()
+    parts = held.groupBy("component", "cluster").agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("members"))
+    whole = single.groupBy("component").agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("members"))
+    square = lambda c: F.col(c).cast("double") * F.col(c)
+    apart = parts.groupBy("component").agg(F.sum(square("tokens")).alias("apart"))
+    # a table of its own, so that a join with it can be split where one group is hot
+    one = cut(whole.join(apart, "component").select("component", "tokens", "members", (square("tokens") <= F.col("apart")).alias("together")))
+    together = single.join(one.where("together and members > 1").select("component", "tokens"), "component").select(F.col("component").alias("cluster"), "set_key", "size", "tokens")
+    lists = cut(parts.join(one.where("not together").select("component"), "component").where("members > 1").select("cluster", "tokens"))
+    return together.unionByName(held.join(lists, "cluster").select("cluster", "set_key", "size", "tokens"))
+
+
+def links(docs: DataFrame, held: DataFrame, text: str, n_words: int, sim: Similarity) -> DataFrame:
     """``a, b``: links between classes that span every component of linked classes.
 
     A cluster with many shingles is dealt into blocks. First every block is compared with itself and with block 0,
     which joins nearly all of a group of near copies at a cost in proportion to its size. Then only classes outside
     the cluster's main component are compared with all others; two classes inside it need no further link.
     """
-    found = cut(candidates(docs, text, n_words, sim))
     blocks = lambda tokens: F.greatest(F.lit(1), F.ceil(tokens / F.lit(BLOCK_TOKENS)).cast("int"))
-    per = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("tokens")).where("members > 1")
-    placed = found.join(per.select("cluster", blocks(F.col("tokens")).alias("n_blocks")), "cluster").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("n_blocks")).cast("int"))
-    placed = cut(placed)
-    member = held.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    placed = groups(cut(candidates(docs, text, n_words, sim))).withColumn("n_blocks", blocks(F.col("tokens")))
+    placed = cut(placed.withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("n_blocks")).cast("int")).drop("tokens"))
+    member = held.where("set_key is not null").groupBy("set_key").agg(F.min("text_key").alias("text_key"))
+    asked = placed.select("set_key").distinct().join(member, "set_key")
+    # equal texts are one before they are sent; the same plan at every size, as the asked classes grow with the corpus
+    texts = docs.select(text_key(text).alias("text_key"), F.col(text).cast("string").alias("text")).where("text is not null").groupBy("text_key").agg(F.first("text").alias("text"))
+    texts = cut(texts.join(asked.hint("merge"), "text_key").select("set_key", "text"))
 
     def compared(tiles: DataFrame) -> DataFrame:
-        rows = texts.join(tiles.join(member, "set_key"), "doc_id").select("cluster", "i", "j", "probe", "set_key", "text")
+        rows = texts.join(tiles, "set_key").select("cluster", "i", "j", "probe", "set_key", "text")
         return cut(rows.groupBy("cluster", "i", "j").applyInPandas(_verify(n_words, sim), "a long, b long"))
 
     with_first = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array(F.lit(0), F.col("block")))
@@ -340,22 +373,26 @@ def links(docs: DataFrame, held: DataFrame, doc_id: str, text: str, n_words: int
         return first
     label = components(first)
     state = cut(large.join(label, large["set_key"] == label["node"], "left").withColumn("component", F.coalesce("component", "set_key")).drop("node"))
-    main = state.groupBy("cluster", "component").agg(F.sum("size").alias("tokens")).groupBy("cluster").agg(F.max_by("component", F.struct("tokens", "component")).alias("main"))
-    left = state.join(main, "cluster").where("component != main")
-    count = left.groupBy("cluster").agg(blocks(F.sum("size")).alias("n_left"))
+    main = cut(state.groupBy("cluster", "component").agg(F.sum("size").alias("tokens")).groupBy("cluster").agg(F.max_by("component", F.struct("tokens", "component")).alias("main")))
+    left = cut(state.join(main, "cluster").where("component != main").drop("main"))
+    count = cut(left.groupBy("cluster").agg(blocks(F.sum("size")).alias("n_left")))
     probes = left.join(count, "cluster").select("cluster", "set_key", F.pmod(F.xxhash64("set_key"), F.col("n_left")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("j"), F.lit(True).alias("probe"))
     others = state.join(count, "cluster").select("cluster", "set_key", F.explode(F.sequence(F.lit(0), F.col("n_left") - 1)).alias("i"), F.col("block").alias("j"), F.lit(False).alias("probe"))
     return first.unionByName(compared(probes.unionByName(others)))
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """``node, component``: the smallest node that each node of ``a, b`` reaches; large-star and small-star rounds."""
+    """``node, component``: the smallest node that each node of ``a, b`` reaches; large-star and small-star rounds.
+
+    Raises where ``most_rounds`` rounds do not reach an end. A node's least neighbour is a table of its own, so that
+    the join with it can be split where one node has very many edges.
+    """
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     before = None
     for _ in range(most_rounds):
         near = both(e)
-        low = near.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        low = cut(near.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
         large = near.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.where("a != b")
         least = down.groupBy("a").agg(F.min("b").alias("m"))
@@ -363,9 +400,10 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         e = cut(small)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
-            break
+            nodes = e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
+            return nodes.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before = now
-    return e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_words: int = 5, sim: Similarity | None = None) -> DataFrame:
@@ -373,7 +411,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     sim = sim or Similarity()
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     held = cut(classes(docs, "doc_id", "text", n_words))
-    joined = cut(components(links(docs, held, "doc_id", "text", n_words, sim)))
+    joined = cut(components(links(docs, held, "text", n_words, sim)))
     member = held.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
     named = member.join(joined, member["set_key"] == joined["node"], "left").select("set_key", "least", F.coalesce("component", "set_key").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -383,6 +421,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that are the smallest doc_id of their component, with all their columns; those without id stay."""
+    """The documents that are the smallest doc_id of their component, with all their columns.
+
+    Rows of one doc_id stay or go together: they stay where one of them is in a component of which this is the smallest
+    id. Documents without id stay.
+    """
     kept = jaccard_components(docs, doc_id, text, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, docs[doc_id] == kept["_kept"], "left_semi").unionByName(docs.where(F.col(doc_id).isNull()))

@@ -87,3 +87,44 @@ def test_one_of_each(spark):
 def test_repeated_rows_and_empty_table(spark):
     assert run(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (0, "a b c d e f")]) == {1: (2, 0), 0: (2, 0)}
     assert J.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def by_row(rows):
+    """(doc_id, set size, smallest id that is not null of the component) for each row; ids may repeat."""
+    got = brute.components(list(enumerate(t for _, t in rows)))
+    least = {}
+    for k, (d, _) in enumerate(rows):
+        if d is not None:
+            least[got[k][1]] = min(d, least.get(got[k][1], d))
+    return sorted(((d, got[k][0], least.get(got[k][1])) for k, (d, _) in enumerate(rows)), key=str)
+
+
+def test_repeated_and_null_ids_with_different_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    for rows in ([(1, a), (1, b), (2, a + " x"), (4, b + " y")], [(1, b), (1, a), (4, b + " y"), (2, a + " x")], [(None, a), (None, a + " x"), (None, b), (3, b + " y"), (None, c), (None, None), (5, a + " x z"), (2, c), (2, None), (2, "")]):
+        got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == by_row(rows)
+
+
+def test_random_repeated_ids(spark):
+    rnd = random.Random(11)
+    rows = [(rnd.choice([None, d % 40, d % 97]), t) for d, t in corpus(9, 200)]
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == by_row(rows)
+
+
+def test_components_raise_where_rounds_do_not_end(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(64)], "a long, b long")
+    assert {r.component for r in J.components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        J.components(chain, most_rounds=2)
+
+
+def test_clusters_with_common_classes_become_one_group_where_that_is_cheaper(spark):
+    near = [(c, k, 10) for c in (1001, 1002, 1003) for k in range(6)]
+    chain = [(2000 + c, 100 + c + k, 10) for c in range(12) for k in range(2)]
+    got = J.groups(spark.createDataFrame(near + chain + [(3000, 500, 10)], "cluster long, set_key long, size int"))
+    sizes = {}
+    for r in got.collect():
+        sizes.setdefault(r.cluster, []).append(r.set_key)
+    assert sorted(map(len, sizes.values())) == [2] * 12 + [6]
