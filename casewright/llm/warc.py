@@ -5,13 +5,14 @@ offset, length, url and digest; the index is a Parquet table beside the archives
 index rows, sorts it by file and offset, joins neighbouring ranges to one read while the gap stays small, and parses
 the records. Files are reached through pyarrow's file systems by URI, so the folder can be any shared store.
 
-Of records with equal payloads of at least ``dedup_from`` bytes, the one with the largest id is written as response;
-the others become revisit records that refer to it and hold no payload. Payloads are compared by SHA-1.
+Of records with equal payloads of at least ``dedup_from`` bytes, those with the largest id are written as response;
+the others become revisit records that refer to it and hold no payload. Payloads are compared by SHA-1 and length.
 
 A file's name holds the partition and a fresh number, so a task that runs again writes a new file and only the
 index rows of the attempt that counted point to it. A null payload counts as empty, a null url is written as an
-empty target; a record without id is a response of its own. Very large payloads are one record each and end a file. Repeated rows (equal ids) are records of
-their own; the one that sorts first is the response. Extra columns are ignored; an empty table gives an empty
+empty target; a record without id is a response of its own. Very large payloads are one record each and end a file.
+Every row is a record of its own: rows of one id with different payloads are judged by their payload, and rows with
+equal payloads that share the largest id are all responses. Extra columns are ignored; an empty table gives an empty
 index and no file.
 """
 
@@ -62,7 +63,7 @@ def record(page_id: int, url: str, kind: str, payload: bytes, sha1: str, refers_
 
 
 def _line(url: str) -> str:
-    """A header value has no line ends; they and the percent sign before them are percent-encoded."""
+    """A header value has no line ends; they are percent-encoded, and nothing else is."""
     return url.replace("\r", "%0D").replace("\n", "%0A")
 
 
@@ -91,11 +92,12 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     spark = pages.sparkSession
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     source = pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), F.col(html).cast("string").alias("html"))
+    source = source.withColumn("sha1", F.sha1(payload)).withColumn("n", F.length(payload))
     # digests first, without payloads: the groups of equal payloads are found on a few bytes a page
-    small = source.select("page_id", F.sha1(payload).alias("sha1"), F.length(payload).alias("n")).where(F.col("n") >= dedup_from)
+    small = source.select("page_id", "sha1", "n").where(F.col("n") >= dedup_from)
     lead = small.groupBy("sha1", "n").agg(F.max("page_id").alias("lead"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    revisits = cut(small.join(lead, ["sha1", "n"]).where("page_id != lead").select(F.col("page_id").alias("_id"), "lead").distinct())
-    rows = source.join(revisits, source["page_id"] == revisits["_id"], "left").select("page_id", "url", "html", "lead")
+    revisits = cut(small.join(lead, ["sha1", "n"]).where("page_id != lead").select("page_id", "sha1", "n", "lead").distinct())
+    rows = source.join(revisits, ["page_id", "sha1", "n"], "left").select("page_id", "url", "html", "lead")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _store(folder)
