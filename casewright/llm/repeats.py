@@ -1,20 +1,24 @@
 """Substring dedup: words of every window of ``length`` words that also starts earlier in the corpus.
 
-Method: fixed-block anchors. With blocks of half the window's length, ``block = length // 2``, every repeated window
-holds a whole block that starts at a multiple of ``block`` in the earlier document. All non-overlapping blocks of
-all documents are the index; every rolling window of ``block`` words is a probe. Both go, packed, to the partition
-of their hash. There, probes whose words occur once end; the others are hits, each with the first place (doc_id,
-start) where its words occur and a mark if an indexed block, an anchor, has these words. Back with their documents,
-runs of hits around an anchor are extended to maximal exact repeats: a window of ``length`` words is the hits at its
-start and its middle, so if both have their first places in one earlier stretch the window is a repeat. Where the two halves were first seen in different
-places the pair of first places names the window exactly, and a second exchange finds that window's first start.
+Method: fixed-block anchors, with every rolling block as probe and index at once. With blocks of half the window's
+length, ``block = length // 2``, every repeated window holds a whole block that starts at a multiple of ``block`` in
+the earlier document: an anchor. An index of the anchors alone does not suffice for exact results: a window has to
+be compared with its first occurrence, which need not be where one of its anchors occurs first, and comparing it with
+all places of a frequent anchor gives pairs that grow with the square of its group. So every rolling window of ``block``
+words goes, packed, to the partition of its hash, with a mark where it is an anchor somewhere. Probes whose words
+occur once end; the others are hits, each with the first place (doc_id, start) where its words occur. Back with their
+documents, hits are put together around anchors: a window of ``length`` words is the hits at its start and its middle,
+so if both have their first places in one earlier stretch the window is a repeat. Where the two halves were first seen
+in different places the pair of first places names the window exactly, and a second exchange finds that window's
+first start. Overlapping repeated windows give the maximal repeats.
 
 "Earlier" is a smaller doc_id, or an earlier start in the same document; windows are judged on the input. Hashes
-have 32 bits and the partition's number as the filter; a pair of them names a window.
+have 32 bits and the partition's number as the filter; a pair of them names a window. Words are not compared again.
 
 Null and empty texts have no words. Texts with fewer words than a window lose nothing. Very long texts are
-packed piece by piece. Rows that repeat a doc_id are seen as copies of one document's windows at the same
-starts, so neither removes the other. Ties cannot occur beyond that. Extra columns pass through ``strip_repeats``.
+packed piece by piece. Rows that repeat a doc_id and its text are copies of one document's windows at the same
+starts, so neither removes the other. Rows of one doc_id with different texts are documents of their own, in the order
+of a hash of their texts. Extra columns pass through ``strip_repeats``.
 Rows with a null doc_id pass unchanged. All numbers travel packed (about six bytes a word). A window that a third
 of all documents share costs each send of about a million windows one entry, in both exchanges.
 """
@@ -274,8 +278,34 @@ def _settle(got: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         yield _rows([0] * len(found), [0] * len(found), [d for d, _ in found], [p for _, p in found])
 
 
+def numbered(docs: DataFrame, doc_id: str, text: str, name: str) -> DataFrame:
+    """``docs`` with ``name``: a long for each document in the order of doc_id, the same only for equal id and text.
+
+    It is the doc_id itself where no doc_id has two texts; else documents are counted in the order of id and text's hash.
+    """
+    own, key = F.col(doc_id).cast("long"), F.xxhash64(F.col(text).cast("string"))
+    small = docs.where(own.isNotNull()).select(own.alias("d"), key.alias("k"))
+    several = small.groupBy("d").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a != b")
+    if several.limit(1).count() == 0:
+        return docs.withColumn(name, own)
+    d, k, at = (fresh(x, [*docs.columns, name]) for x in ("numbered_d", "numbered_k", "numbered_at"))
+    ordered = cut(small.distinct().repartitionByRange(partitions(small), "d", "k").sortWithinPartitions("d", "k").withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    # one row a partition: as many as there are tasks
+    sizes = dict(sorted((r["part"], r["n"]) for r in ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()))
+    before, total = [], 0
+    for part, n in sizes.items():
+        before.append((part, total))
+        total += n
+    offset = F.broadcast(docs.sparkSession.createDataFrame(before, "part int, before long"))
+    found = ordered.join(offset, "part").select(F.col("d").alias(d), F.col("k").alias(k), (F.col("before") + F.col("row")).alias(at))
+    return docs.join(found, (own == F.col(d)) & (key == F.col(k)), "left").drop(d, k).withColumnRenamed(at, name)
+
+
 def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 20) -> DataFrame:
-    """``doc_id, found``: for documents with repeats, packed arrays of the starts of their repeated windows."""
+    """``doc_id, found``: for documents with repeats, packed arrays of the starts of their repeated windows.
+
+    A doc_id must have one text; ``numbered`` gives such ids.
+    """
     if length % 2:
         raise ValueError("the window's length has to be even")
     block = length // 2
@@ -302,9 +332,11 @@ def _removed(found: list[bytes], n_words: int, length: int) -> np.ndarray:
 
 def _with_found(docs: DataFrame, doc_id: str, text: str, length: int) -> DataFrame:
     """``docs`` and, as the last column, the packed starts of each document's repeated windows."""
+    number = fresh("repeats_number", docs.columns)
     key, held = fresh("repeats_id", docs.columns), fresh("repeats_found", docs.columns)
-    found = repeated_windows(docs, doc_id, text, length).withColumnsRenamed({"doc_id": key, "found": held})
-    return docs.join(found, docs[doc_id] == found[key], "left").drop(key)
+    docs = numbered(docs, doc_id, text, number)
+    found = repeated_windows(docs, number, text, length).withColumnsRenamed({"doc_id": key, "found": held})
+    return docs.join(found, docs[number] == found[key], "left").drop(key, number)
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 20) -> DataFrame:

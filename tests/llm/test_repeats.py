@@ -77,3 +77,18 @@ def test_hashes_do_not_depend_on_place():
     a = wordhash.read(pa.array(["Ab cd", None, "xx Ab\tcd"]), lower=True)
     b = wordhash.read(pa.array(["zzz", "ab", "CD"]).slice(1), lower=True)
     assert a.hash[0] == a.hash[3] == b.hash[0] and a.hash[1] == a.hash[4] == b.hash[1] and a.first.tolist() == [0, 2, 2, 5]
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """Documents of one id go in the order of their texts' hashes; each is held against all before it."""
+    from pyspark.sql import functions as F
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(4, a), (4, b + " " + a), (4, a), (2, b), (9, c), (9, c + " " + a), (None, a), (None, None), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = sorted({(r.doc_id, r.k, r.text) for r in docs.withColumn("k", F.xxhash64("text")).collect() if r.doc_id is not None}, key=lambda x: x[:2])
+    want = brute.repeats([(n, t) for n, (_, _, t) in enumerate(order)])
+    of = {(d, t): want[n] for n, (d, _, t) in enumerate(order)}
+    left = sorted((*of[r], r[0]) if r[0] is not None else (*brute.repeats([(0, r[1])])[0], -1) for r in rows)
+    got = repeats.digests(docs).collect()
+    assert sorted((r.n_words, r.n_removed, r.kept_sha256, -1 if r.doc_id is None else r.doc_id) for r in got) == left
