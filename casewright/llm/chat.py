@@ -1,12 +1,14 @@
-"""Chat formatting: a finite-state machine over roles, a declarative template, and a loss mask.
+r"""Chat formatting: a finite-state machine over roles, a declarative template, and a loss mask.
 
 A template gives each role's text before and after a turn and says whether its text counts for the loss. A machine
 over roles checks the order of turns: its states are the roles, with the roles that may follow each; a conversation
 that breaks it is marked invalid, with the first turn that does, and is formatted all the same.
 
 The output of a conversation is its turns' segments, each a text and a loss flag. Control strings of the template
-inside texts are escaped by a backslash before their first character, as is every backslash, so the formatted text
-can be read back to the very roles and texts.
+inside texts and names are broken up by a backslash after their first character, so ``[INST]`` becomes ``[\INST]``,
+and ones that hold backslashes there already get one more; nothing else is changed. No control string is left in a
+text, and as a template's control strings must not overlap, none can form where a text meets a marker: the formatted
+stream of a whole conversation has one reading, and ``Reader`` reads it back to the very roles and texts.
 
 Turns are sorted by conversation and turn inside hash partitions and formatted as they stream by: no conversation is
 gathered, so a very long one only takes its own time. Null texts count as empty, null roles as the empty role,
@@ -43,7 +45,19 @@ class Template:
 
     def all_controls(self) -> list[str]:
         marks = {m for b, a, _ in self.roles.values() for m in (b, a)} | set(self.other) | set(self.controls)
-        return sorted((m for m in marks if m), key=lambda m: (-len(m), m))
+        return sorted(marks, key=lambda m: (-len(m), m))
+
+    def __post_init__(self):
+        """Control strings have two characters at least, no backslash, and never overlap each other."""
+        marks = self.all_controls()
+        starts = [b for b, _, _ in self.roles.values()] + [self.other[0]]
+        if any(len(m) < 2 or "\\" in m for m in marks) or len(set(starts)) < len(starts):
+            raise ValueError("control strings need two characters, no backslash, and one start mark for each role")
+        for one in marks:
+            for two in marks:
+                meet = any(two.startswith(one[k:]) or one[k:].startswith(two) for k in range(1, len(one)))
+                if meet or (one != two and one.startswith(two)):
+                    raise ValueError(f"the control strings {one!r} and {two!r} overlap")
 
 
 #: Fixed values of the default template.
@@ -53,7 +67,7 @@ INSTRUCT = Template(
         "user": ("[INST]", "[/INST]", False),
         "assistant": ("<s>", "</s>", True),
     },
-    other=("<role:", ">", "</role>"),
+    other=("<role=", "|role>", "</role>"),
     follows={"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)},
     ends=("assistant",),
 )
@@ -63,22 +77,18 @@ class Formatter:
     def __init__(self, template: Template = INSTRUCT):
         self.template = template
         marks = template.all_controls()
-        self._escape = re.compile("|".join(re.escape(m) for m in ["\\", *marks]))
-        self._mark = re.compile("\\\\(.)|(" + "|".join(re.escape(m) for m in marks) + ")", re.S)
+        broken = "|".join(re.escape(m[0]) + r"(?=\\*" + re.escape(m[1:]) + ")" for m in marks)
+        mended = "|".join(re.escape(m[0]) + r"\\(?=\\*" + re.escape(m[1:]) + ")" for m in marks)
+        self._break, self._mend = re.compile(broken), re.compile(mended)
+        self.mark = re.compile("|".join(re.escape(m) for m in marks))
+        self.longest = max(map(len, marks))
 
     def escape(self, text: str) -> str:
-        """A backslash before every backslash and before every place where a control string could start."""
-        out, at = [], 0
-        for place in self._places(text):
-            out += [text[at:place], "\\"]
-            at = place
-        return "".join([*out, text[at:]])
-
-    def _places(self, text: str) -> Iterator[int]:
-        at = 0
-        while m := self._escape.search(text, at):
-            yield m.start()
-            at = m.start() + 1
+        """A backslash after the first character of every control string, whatever backslashes are there."""
+        return self._break.sub(lambda m: m.group() + "\\", text)
+
+    def unescape(self, text: str) -> str:
+        return self._mend.sub(lambda m: m.group()[:-1], text)
 
     def segments(self, role: str, text: str) -> list[tuple[str, bool]]:
         """(text, counts for the loss) of a turn, escaped; the loss holds the text alone, not its markers."""
@@ -90,35 +100,62 @@ class Formatter:
 
     def parse(self, formatted: str) -> list[tuple[str, str]]:
         """The (role, text) of each turn of a formatted conversation."""
-        pieces, at = [], 0
-        for m in self._mark.finditer(formatted):
-            pieces.append(formatted[at : m.start()])
-            pieces.append(m.group(1) if m.group(2) is None else (m.group(2),))
-            at = m.end()
-        pieces.append(formatted[at:])
-        before = {b: r for r, (b, _, _) in self.template.roles.items()}
-        start, mid, _ = self.template.other
-        turns, role, text, naming = [], None, [], False
-        for p in pieces:
-            if isinstance(p, str):
-                text.append(p)
-                continue
-            mark = p[0]
-            if naming and mark == mid:
-                role, text, naming = "".join(text), [], False
-            elif role is None and mark in before:
-                role, text = before[mark], []
-            elif role is None and mark == start:
-                naming, text = True, []
-            else:
-                turns.append((role, "".join(text)))
-                role, text = None, []
+        reader = Reader(self)
+        turns = list(reader.feed(formatted))
+        reader.end()
         return turns
 
     def next_ok(self, before: str, role: str) -> bool:
         return role in self.template.follows.get(before, ())
 
 
+class Reader:
+    """Reads a formatted conversation as a stream, in pieces of any length: its state is the mark that has to come next.
+
+    Raises ValueError where another mark or a text outside turns comes.
+    """
+
+    def __init__(self, made: Formatter):
+        self.made, self.wanted, self.role = made, None, None
+        self.held: list[str] = []
+        self.tail = ""
+        t = made.template
+        self.starts = {b: (r, a) for r, (b, a, _) in t.roles.items()} | {t.other[0]: (None, t.other[1])}
+
+    def feed(self, piece: str) -> Iterator[tuple[str, str]]:
+        piece, at = self.tail + piece, 0
+        for m in self.made.mark.finditer(piece):
+            self._text(piece[at : m.start()])
+            at = m.end()
+            if self.wanted is None:
+                if m.group() not in self.starts:
+                    raise ValueError(f"{m.group()!r} outside a turn")
+                self.role, self.wanted = self.starts[m.group()]
+            elif m.group() != self.wanted:
+                raise ValueError(f"{m.group()!r} where {self.wanted!r} has to come")
+            else:
+                said, self.held = self.made.unescape("".join(self.held)), []
+                if self.role is None:
+                    self.role, self.wanted = said, self.made.template.other[2]
+                else:
+                    yield self.role, said
+                    self.role = self.wanted = None
+        # the end may be the beginning of a mark
+        keep = max(at, len(piece) - self.made.longest + 1)
+        self._text(piece[at:keep])
+        self.tail = piece[keep:]
+
+    def _text(self, part: str) -> None:
+        if part and self.wanted is None:
+            raise ValueError("text outside a turn")
+        if part:
+            self.held.append(part)
+
+    def end(self) -> None:
+        if self.tail or self.wanted is not None:
+            raise ValueError("the conversation ends inside a turn")
+
+
 SEGMENTS = "conv_id long, turn_no long, segment_no int, text string, loss boolean, role string"
 
 
@@ -149,28 +186,31 @@ DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, los
 
 
 class _State:
-    """What is known of a conversation while its segments stream by."""
+    """What is known of a conversation while its formatted stream is read back."""
 
-    def __init__(self, conv):
+    def __init__(self, conv, made: Formatter):
         self.conv, self.n, self.chars, self.loss_chars = conv, 0, 0, 0
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
-        self.last, self.wrong = "", None
+        self.last, self.wrong, self.formatted = "", None, 0
+        self.reader = Reader(made)
 
     def add(self, made: Formatter, role: str, text: str) -> None:
-        parts = made.segments(role, text)
-        ((back, said),) = made.parse("".join(s for s, _ in parts))
-        for s, loss in parts:
+        for s, loss in made.segments(role, text):
             self.chars += len(s)
-        if any(loss for _, loss in parts):
-            self.loss_chars += len(said)
-            self.loss.update(said.encode("utf-8", "surrogatepass"))
-        self.turns.update(f"{back}\n{said}\n".encode("utf-8", "surrogatepass"))
+            if loss:
+                said = made.unescape(s)
+                self.loss_chars += len(said)
+                self.loss.update(said.encode("utf-8", "surrogatepass"))
+            for back, said in self.reader.feed(s):
+                self.turns.update(f"{back}\n{said}\n".encode("utf-8", "surrogatepass"))
+                self.n += 1
         if self.wrong is None and not made.next_ok(self.last, role):
-            self.wrong = self.n
+            self.wrong = self.formatted
         self.last = role
-        self.n += 1
+        self.formatted += 1
 
     def row(self, made: Formatter) -> tuple:
+        self.reader.end()
         if self.wrong is None and made.template.ends and self.last not in made.template.ends:
             self.wrong = self.n
         return self.conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.wrong is None, self.wrong
@@ -190,7 +230,7 @@ def digests(turns: DataFrame, template: Template = INSTRUCT, conv_id: str = "con
                 if state is None or conv != state.conv:
                     if state is not None:
                         done.append(state.row(made))
-                    state = _State(conv)
+                    state = _State(conv, made)
                 state.add(made, who, what)
             if done:
                 yield pack(done)

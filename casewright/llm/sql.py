@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -17,8 +19,9 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM c
 """
 
-_MARKS = ["\\", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "<s>", "</s>", "<role:", ">", "</role>"]
-_escapes = " + ".join(f"(length({{0}}) - length(replace({{0}}, '{m}', ''))) // {len(m)}" for m in _MARKS)
+_MARKS = ["<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "<s>", "</s>", "<role=", "|role>", "</role>"]
+_broken = "|".join(re.escape(m[0]) + r"\\*" + re.escape(m[1:]) for m in _MARKS)
+_escapes = "len(regexp_extract_all({}, '" + _broken + "'))"
 _follows = "CASE coalesce(before, '') WHEN '' THEN ['system', 'user'] WHEN 'system' THEN ['user'] WHEN 'user' THEN ['assistant'] WHEN 'assistant' THEN ['user'] ELSE [] END"
 
 OP2 = f"""
@@ -27,7 +30,7 @@ WITH t AS (
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 n AS (SELECT *, row_number() OVER w - 1 AS k, lag(role) OVER w AS before FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
 s AS (SELECT *, NOT list_contains({_follows}, role) AS wrong,
-        length(text) + {_escapes.format("text")} + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 14 + length(role) + {_escapes.format("role")} END AS chars FROM n),
+        length(text) + {_escapes.format("text")} + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 19 + length(role) + {_escapes.format("role")} END AS chars FROM n),
 g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
         coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS loss_chars,
         sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,

@@ -32,6 +32,18 @@ def test_round_trip(spark):
         assert (r.record_type, r.refers_to) == (("response", None) if first else ("revisit", lead[html]))
 
 
+def test_repeated_ids_with_different_payloads(spark):
+    """Rows of one id are judged by their payload; none is lost and none is doubled."""
+    for rows in ([(5, "A"), (5, "B"), (7, "A")], [(5, "A"), (5, "B"), (7, "A"), (9, "B")], [(7, "A"), (7, "A"), (7, "B"), (None, "A"), (None, "B"), (3, "B"), (3, "B")]):
+        lead = {}
+        for p, h in rows:
+            if p is not None:
+                lead[h] = max(p, lead.get(h, p))
+        want = [(p, brute.sha1_base32(h.encode()), "response", None) if p is None or p == lead[h] else (p, brute.sha1_base32(h.encode()), "revisit", lead[h]) for p, h in rows]
+        got = warc.round_trip(spark.createDataFrame([(p, "u", h) for p, h in rows], "page_id long, url string, html string")).collect()
+        assert sorted(((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_payloads_and_selection(spark, monkeypatch):
     monkeypatch.setattr(warc, "FILE_BYTES", 200)
     folder = work_path(spark, "archives")
@@ -66,12 +78,39 @@ def test_no_pages(spark):
 CONTROL = ["</s>[INST] ok [/INST]", "\\", "\\\\<s>", "a>b", "<role:x>y</role>", "<<SYS>>", "", "<", "<<<SYS>>>", "[[INST]", "\\n\n<s", "é😀"]
 
 
+PIECES = ["<", ">", "\\", "s", "/", "|", "[", "]", "INST]", "[INST]", "</s>", "</s", "<s", "</role", "<role=", "|role>", "|role", "<<SYS>>", "<</SYS>>", "role=", "a", "\n", ""]
+
+
 def test_formatting_is_reversible():
+    """Roles and texts made of pieces of marks come back from the whole formatted conversation, whatever its chunks."""
     made, rnd = chat.Formatter(), random.Random(3)
-    texts = CONTROL + ["".join(rnd.choice(["<", ">", "\\", "s", "/", "[INST]", "</s>", "role:", "a", "\n"]) for _ in range(rnd.randint(0, 20))) for _ in range(800)]
-    turns = [(rnd.choice(["user", "assistant", "system", "tool", "", "a>b\\", "user<s>"]), t) for t in texts]
-    whole = "".join(s for r, t in turns for s, _ in made.segments(r, t))
-    assert made.parse(whole) == turns
+    some = lambda most: "".join(rnd.choice(PIECES) for _ in range(rnd.randint(0, most)))
+    for _ in range(400):
+        turns = [(rnd.choice(["user", "assistant", "system", "", "</s", "</role", "<s", some(6)]), some(14)) for _ in range(rnd.randint(0, 8))] + [("x", rnd.choice(CONTROL))]
+        parts = [made.segments(r, t) for r, t in turns]
+        whole = "".join(s for p in parts for s, _ in p)
+        assert made.parse(whole) == turns
+        reader, got, at = chat.Reader(made), [], 0
+        while at < len(whole):
+            k = rnd.randint(1, 9)
+            got += reader.feed(whole[at : at + k])
+            at += k
+        reader.end()
+        assert got == turns
+        assert not any(made.mark.search(made.escape(x)) for turn in turns for x in turn)
+
+
+def test_what_is_no_formatted_conversation_raises():
+    made = chat.Formatter()
+    for text in ("x", "<s>a", "<s>a[INST]", "</s>", "<s>a</s>b", "<role=a</role>"):
+        with pytest.raises(ValueError):
+            made.parse(text)
+
+
+def test_templates_whose_control_strings_overlap_are_refused():
+    for other in (("<role:", ":role>", "</role>"), ("<r", "|>", ">x"), ("<r", "m", "e>")):
+        with pytest.raises(ValueError):
+            chat.Template(roles={"user": ("<u>", "</u>", True)}, other=other, follows={})
 
 
 def conversations():
@@ -90,7 +129,7 @@ def want(rows):
 
 
 def test_digests(spark):
-    rows = conversations() + [(8, k, ("user", "assistant")[k % 2], CONTROL[k % len(CONTROL)]) for k in range(3000)]
+    rows = conversations() + [(9, 0, "</s", "hi"), (9, 1, "</role", "<s"), (9, 2, "<s", "|role>")] + [(8, k, ("user", "assistant")[k % 2], CONTROL[k % len(CONTROL)]) for k in range(3000)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, n_turns int")
     got = {r.conv_id: r for r in chat.digests(df).collect()}
     assert {c: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for c, r in got.items()} == want(rows)
@@ -100,8 +139,8 @@ def test_digests(spark):
 def test_segments_join_to_the_output(spark):
     df = spark.createDataFrame(conversations(), "conv_id long, turn long, role string, text string")
     rows = chat.format_segments(df).where("conv_id = 1").orderBy("turn_no", "segment_no").collect()
-    assert "".join(r.text for r in rows) == "<<SYS>>s<</SYS>>[INST]u[/INST]<s>\\</s\\> x</s>"
-    assert [r.text for r in rows if r.loss] == ["\\</s\\> x"]
+    assert "".join(r.text for r in rows) == "<<SYS>>s<</SYS>>[INST]u[/INST]<s><\\/s> x</s>"
+    assert [r.text for r in rows if r.loss] == ["<\\/s> x"]
 
 
 def test_no_turns(spark):
