@@ -43,6 +43,26 @@ def test_the_order_of_rules_changes_nothing(spark, sf):
     assert all(d in kept for d in long if labels.get(d) == 1)
 
 
+def test_later_rules_are_not_evaluated_for_rejected_documents(spark):
+    """A rule that fails on being evaluated does so only where the ones before it let documents pass."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(k, f"too short {k}") for k in range(50)], "doc_id long, text string")
+    fails = rules.Rule("fails", lambda m: F.raise_error(F.concat(F.lit("evaluated "), m["word_chars"].cast("string"))).isNotNull())
+    assert rules.filter_documents(docs, ordered=[rules.BASE[0], fails]).count() == 0
+    assert rules.judge(docs, ordered=[fails]).where("kept").count() == 0
+    for order in ([fails, rules.BASE[0]], [rules.RULES[0], fails]):
+        with pytest.raises(Exception, match="evaluated"):
+            rules.filter_documents(docs, ordered=order).count()
+
+
+def test_the_sample_is_from_all_of_the_table_and_bounded(spark):
+    docs = spark.range(0, 40_000, 1, 8).selectExpr("id as doc_id", "cast(id as string) as text")
+    ids = [int(r.text) for r in rules.sampled(docs, "text", "doc_id", 400).collect()]
+    assert 300 < len(ids) < 520 and sum(i < 20_000 for i in ids) > 120 and sum(i >= 20_000 for i in ids) > 120
+    assert rules.sampled(docs.withColumn("doc_id", docs.doc_id * 0), "text", "doc_id", 10).count() in (0, 40)
+
+
 def test_rules_on_an_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert rules.judge(empty).count() == 0 and rules.filter_documents(empty).count() == 0
@@ -73,6 +93,31 @@ def test_contamination_equals_brute_force(spark):
     assert left == {d for d, _ in docs} - {x[1] for x in brute.contained(docs, items)}
 
 
+def test_only_sketches_are_probed(spark):
+    """A document that shares shingles with an item but no sketch value is no candidate, and is not read again."""
+    words = [f"w{i}" for i in range(44)]
+    index = decontaminate.item_index(spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()
+    assert len(index) == 40 and sum(r.in_sketch for r in index) == 11
+    docs = spark.createDataFrame([(i, " ".join(words[i : i + 5] + ["filler"] * 200)) for i in range(40)] + [(90, " ".join(words))], "doc_id long, text string")
+    held = decontaminate.shingled(docs, "doc_id", "text", "doc_id", 5).cache()
+    found = decontaminate.candidates(held, decontaminate.item_index(spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")), 1000)
+    ids = sorted(r.doc_id for r in held.join(found, "_key").select("doc_id").collect())
+    assert len(ids) == 12 and ids[-1] == 90
+    got = decontaminate.contaminated(docs, spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.n_shared) for r in got] == [(90, 40)]
+
+
+def test_contamination_with_repeated_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(24)), " ".join(f"b{i}" for i in range(24))
+    halves = [" ".join(f"a{i}" for i in range(14)), " ".join(f"a{i}" for i in range(10, 24))]
+    docs = spark.createDataFrame([(1, halves[0]), (1, halves[1]), (2, a), (2, a), (2, "x " + b), (3, None), (None, a)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, a), (7, a), (7, b), (8, b), (None, None)], "item_id long, text string")
+    for limit in (500_000, 0):
+        got = decontaminate.contaminated(docs, items, broadcast_rows=limit).collect()
+        assert sorted((r.item_id, r.doc_id or 0, r.n_item, r.n_shared) for r in got) == [(7, 0, 20, 20), (7, 2, 20, 20), (7, 2, 20, 20), (8, 2, 20, 20)]
+    assert sorted(r.doc_id or 0 for r in decontaminate.remove_contaminated(docs, items).collect()) == [0, 1, 1, 3]
+
+
 def test_contamination_of_empty_tables(spark):
     some, none = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(some, none).count() == 0
