@@ -2,12 +2,15 @@
 
 One dictionary is built from well-rated, one from badly rated text. A text is compressed with each; the difference of
 the two sizes, divided by the size of the text, is turned into a score by a logistic curve fitted on labelled texts.
-The curve also sees the mean of the two normalised sizes, as a text that any dictionary makes very small repeats itself.
+The curve also sees the mean of the two normalised sizes: a text that any dictionary makes very small repeats itself,
+and its difference, small for that reason, says little by itself.
 
 Dictionaries and curve learn from at most ``most`` texts of each label, those with the smallest hashes of their ids;
-half of them make the dictionaries and the other half the curve. Scoring is one pass over every whole text.
+half of them make the dictionaries and the other half the curve. They are read whole. Scoring is one pass over every
+whole text.
 
-Null and empty texts get the curve's value at no difference. Very long texts are compressed whole. Equal texts get
+Null and empty texts get the curve's value at no difference. Of several texts of one id to learn from the smallest is
+taken. Rows without id count as held out. Very long texts are compressed whole. Equal texts get
 equal scores. Extra columns are ignored. Without texts of both labels to learn from, every text gets the share of
 label 1 (0 without labels). An empty table gives an empty table.
 """
@@ -27,8 +30,8 @@ from casewright.llm.toxicity import fold
 
 #: Bytes of a dictionary; compression level.
 SIZE, LEVEL = 64 << 10, 3
-#: Bytes that one text gives to a dictionary, spread over the whole text in pieces.
-SHARE, PIECE = 4096, 512
+#: Bytes of a sample that a dictionary is built from; a longer text gives several.
+PIECE = 512
 
 
 @dataclass
@@ -87,12 +90,11 @@ def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-
 
 
 def dictionary(texts: list[str], size: int = SIZE) -> bytes:
-    """A dictionary from pieces of all texts; raw content where there is too little to train on."""
+    """A dictionary from all texts; raw content where there is too little to train on."""
     samples = []
     for t in texts:
         raw = t.encode("utf-8", "surrogatepass")
-        step = max(PIECE, len(raw) * PIECE // SHARE)
-        samples += [raw[at : at + PIECE] for at in range(0, len(raw), step)]
+        samples += [raw[at : at + PIECE] for at in range(0, len(raw), PIECE)]
     try:
         return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
@@ -122,7 +124,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     got = {}
     for value in (1, 0):
         chosen = learn.where((F.col("_label") == 1) == F.lit(value == 1)).orderBy(F.xxhash64("_id"), "_id").limit(most).select("_id")
-        got[value] = [r["text"] for r in source.join(F.broadcast(chosen), "_id").select("_id", "text").orderBy(F.xxhash64("_id"), "_id", "text").collect()]
+        # one text for an id, so that no more than ``most`` come to the driver
+        mine = source.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min("text").alias("text"))
+        got[value] = [r["text"] for r in mine.orderBy(F.xxhash64("_id"), "_id").collect()]
     if not got[1] or not got[0]:
         return None, float(total)
     return train(got[1], got[0], min(max(float(total), 1e-3), 1 - 1e-3)), float(total)
@@ -140,5 +144,5 @@ def score(docs: DataFrame, model: Model | None, share: float, doc_id: str = "doc
                 got = np.full(part.num_rows, share) if model is None else model.score(part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got, pa.float64()), pa.array((got >= cut_at).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (fold(F.col(doc_id), folds) == 0).alias("held_out"), F.col(text).cast("string").alias("text"))
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(fold(F.col(doc_id), folds) == 0, F.lit(True)).alias("held_out"), F.col(text).cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

@@ -141,9 +141,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     source = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).where(fold(F.col("_id"), folds) != held_out)
     order = F.xxhash64("_id")
     chosen_p = learn.where("_label = 1").orderBy(order, "_id").limit(most_positive).select("_id")
-    positive = collected(source.join(F.broadcast(chosen_p), "_id"))
+    # one text for an id, so that no more than the bound come to the driver
+    chosen = lambda ids: source.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).orderBy(order, "_id")
+    positive = collected(chosen(chosen_p))
     chosen_u = source.select("_id").distinct().orderBy(order, "_id").limit(most_unlabelled)
-    unlabelled = collected(source.join(F.broadcast(chosen_u), "_id"))
+    unlabelled = collected(chosen(chosen_u))
     if not positive or not unlabelled:
         return None, float(total)
     return train(positive, unlabelled, prior), prior
@@ -160,5 +162,5 @@ def score(docs: DataFrame, model: Model | None, prior: float, doc_id: str = "doc
                     got = np.full(part.num_rows, prior) if sent.value is None else sent.value.score(part.column(2))
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got, pa.float64()), pa.array((got >= cut_at).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (fold(F.col(doc_id), folds) == 0).alias("held_out"), F.col(text).cast("string").alias("text"))
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(fold(F.col(doc_id), folds) == 0, F.lit(True)).alias("held_out"), F.col(text).cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
