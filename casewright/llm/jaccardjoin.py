@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from casewright.llm import wordhash
 from casewright.llm.packing import SENT, blobs, exchange, lean, pack
 from casewright.llm.repeats import _by_target, _runs, _targets
-from casewright.llm.shared import cut, partitions
+from casewright.llm.shared import broadcast_checked, cut, partitions
 
 U = np.uint64
 #: Classes of a signature that are paired; more are listed under one class.
@@ -43,6 +43,8 @@ SMALL = 8
 SEND_AT, SEND_MOST = 1_000_000, 4_000_000
 #: Shingles of one block of a cluster that is verified in several tasks.
 BLOCK_TOKENS = 500_000
+#: Rows of a table that is broadcast; a larger one goes through a shuffled join.
+MOST_SENT = 200_000
 #: Mean shingles of a segment in the middle of a band; see ``segments``.
 FILL = 1.5
 
@@ -361,7 +363,7 @@ def links(docs: DataFrame, held: DataFrame, text: str, n_words: int, sim: Simila
     texts = cut(texts.join(asked.hint("merge"), "text_key").select("set_key", "text"))
 
     def compared(tiles: DataFrame) -> DataFrame:
-        rows = texts.join(tiles, "set_key").select("cluster", "i", "j", "probe", "set_key", "text")
+        rows = texts.join(broadcast_checked(tiles, MOST_SENT), "set_key").select("cluster", "i", "j", "probe", "set_key", "text")
         return cut(rows.groupBy("cluster", "i", "j").applyInPandas(_verify(n_words, sim), "a long, b long"))
 
     with_first = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array(F.lit(0), F.col("block")))
@@ -426,5 +428,6 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     Rows of one doc_id stay or go together: they stay where one of them is in a component of which this is the smallest
     id. Documents without id stay.
     """
-    kept = jaccard_components(docs, doc_id, text, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[doc_id] == kept["_kept"], "left_semi").unionByName(docs.where(F.col(doc_id).isNull()))
+    got = jaccard_components(docs, doc_id, text, **options).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    gone = cut(got.where("not stays").select(F.col("doc_id").alias("_gone")))
+    return docs.join(broadcast_checked(gone, MOST_SENT), docs[doc_id] == F.col("_gone"), "left_anti")
