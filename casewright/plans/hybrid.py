@@ -66,7 +66,7 @@ def candidates(spark, question: str, parsed: dict, store: Store, scope: tools.Sc
 
     _order = Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), "doc_id", "page", "tie")
     parts = []
-    if tokens := retrieve.exact_tokens(question) + parsed["entities"]:
+    if tokens := list(dict.fromkeys(retrieve.exact_tokens(question) + parsed["exact_tokens"] + parsed["entities"])):
         hit = retrieve.exact_lookup(scope.rows(store.mentions, docs), store.graph.entities, tokens, max(20, 20 * times))
         parts.append(shape(hit.withColumn("tie", F.col("alias_id")).withColumn("page", F.lit(None).cast("int")), "exact"))
     asked = spark.createDataFrame([("q", question)], "query_id string, text string")

@@ -22,10 +22,12 @@ RELATION_WORDS = ["associated with", "connected to", "linked to", "known associa
 RECALL_WORDS = ["comprehensive", "exhaustive", "full coverage", "don't miss", "dont miss", "all relevant", "every related"]
 SUMMARY_WORDS = ["summarise", "summarize", "summary", "brief", "key findings", "findings", "overview"]
 ADDRESS_ENDS = ["road", "street", "lane", "avenue", "close", "court", "drive", "yard", "dock", "estate", "gardens", "garden", "house", "park", "terrace", "wharf", "marina", "pier", "block", "units"]
+# Patterns of names, exact tokens, documents and dates.
 PERSON = r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\b"
 EXACT = r"\b[A-Z]{2}\d{2}\s?[A-Z]{3}\b|\+?\d[\d\s]{8,}\d|\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 DOCUMENT = r"(?i)\b[A-Za-z0-9][A-Za-z0-9._-]*\.pdf\b"
 DATES = r"(?i)\b(\d{4}-\d{2}-\d{2}|\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\s+\d{1,2},?\s+\d{2,4})\b"
+# Words that refer back.
 REFERENTIAL = ["it", "that", "this", "they", "them", "he", "she", "his", "her", "their", "those", "these", "there", "more", "else"]
 
 
@@ -40,56 +42,122 @@ def inventory_type(low: str) -> str | None:
 
 
 def parse(question: str) -> dict:
-    """intent, entities, document_refs, inventory_target, relationship_focus, recall_priority."""
+    """intent, entities (names of people), exact_tokens, document_refs, inventory_target, relationship_focus, recall_priority.
+
+    The first of the decisions that holds gives the intent: an asked-for type goes before everything, then the summary
+    of a document, exact tokens, names, and documents.
+    """
     low = question.lower()
-    people = [m for m in re.findall(PERSON, question) if m.split()[-1].strip(".,").lower() not in ADDRESS_ENDS]
+    people = [m for m in re.findall(PERSON, question) if m.split()[-1].lower() not in ADDRESS_ENDS]
     exact = re.findall(EXACT, question)
-    files = re.findall(DOCUMENT, question)
-    focus, wants_list, target = _has(low, RELATION_WORDS), _has(low, LIST_WORDS), inventory_type(low)
-    short = len(re.findall(r"\w+", low)) <= 4
-    if files:
-        intent = "document_summary_query" if _has(low, SUMMARY_WORDS) else "document_query"
-    elif target and focus and not people and not exact:
-        intent = "entity_relationship_inventory_query"
-    elif target and (wants_list or short) and not people and not exact:
-        intent = "entity_inventory_query"
-    elif exact:
-        intent = "exact_identifier_query"
-    elif people and (focus or len(people) > 1):
-        intent = "entity_relationship_query"
-    else:
-        intent = "general_query"
-    return {"intent": intent, "entities": list(dict.fromkeys(people + exact)), "document_refs": files, "inventory_target": target if "inventory" in intent else None, "relationship_focus": focus, "recall_priority": _has(low, RECALL_WORDS)}
+    files = list(dict.fromkeys(re.findall(DOCUMENT, question)))
+    focus, short = _has(low, RELATION_WORDS), len(re.findall(r"\w+", low)) <= 4
+    bare = short and not people and not exact
+    target = inventory_type(low) if bare or _has(low, LIST_WORDS) else None
+    decisions = [
+        (target and focus, "entity_relationship_inventory_query"),
+        (target, "entity_inventory_query"),
+        (files and _has(low, SUMMARY_WORDS), "document_summary_query"),
+        (exact, "exact_identifier_query"),
+        (people, "entity_relationship_query"),
+        (files, "document_query"),
+        (True, "general_query"),
+    ]
+    intent = next(name for holds, name in decisions if holds)
+    return {"intent": intent, "entities": people, "exact_tokens": exact, "document_refs": files, "inventory_target": target, "relationship_focus": focus, "recall_priority": _has(low, RECALL_WORDS)}
 
 
 def with_history(question: str, turns: list[tuple[str, str]], most_turns: int = 6, most_lines: int = 18) -> str:
-    """A short question that refers back, with the last turns before it; any other question as it is."""
-    words = re.findall(r"\w+", question.lower())
-    if not turns or len(words) > 6 or not set(words) & set(REFERENTIAL):
+    """A short general question that refers back, with the last turns before it; any other question as it is."""
+    words, parsed = re.findall(r"\w+", question.lower()), parse(question)
+    if not turns or len(words) > 6 or not set(words) & set(REFERENTIAL) or parsed["intent"] != "general_query":
         return question
     lines = [f"{role}: {line}" for role, said in turns[-most_turns:] for line in said.splitlines() if line.strip()]
     return "\n".join([*lines[-most_lines:], question])
 
 
-STRATEGY = {"entity_relationship_query": "graph_first", "entity_relationship_inventory_query": "graph_first", "exact_identifier_query": "exact_first", "document_query": "document_scoped", "document_summary_query": "document_scoped", "entity_inventory_query": "inventory"}
+# Intents, the search strategy of each, and follow-up questions by what a question names.
+STRATEGY = {
+    "entity_relationship_query": "graph_forward",
+    "entity_relationship_inventory_query": "graph_forward",
+    "exact_identifier_query": "exact_then_fts",
+    "entity_inventory_query": "exact_then_fts",
+    "document_summary_query": "document_focus",
+    "document_query": "hybrid_balanced",
+    "general_query": "hybrid_balanced",
+}
+PIVOTS = {
+    "subject": ["What connects {} to the strongest linked locations?", "List vehicles, phones, and locations associated with {}.", "Build a chronology for {} with exact citations."],
+    "type": ["Which {} entities bridge multiple documents?", "Show the strongest associations for these {} entities.", "What locations recur across these {} findings?"],
+    "document": ["Summarise key entities and leads from {}.", "What new associations appear in {}?", "Build a graph neighborhood from the main actors in {}."],
+    "question": ["What are the strongest leads suggested by: {}", "Show bridge entities and shared infrastructure across the top results.", "What should be investigated next based on the current evidence?"],
+}
+REWRITE_SUFFIX = "with graph links and exact citations"
+
+#: Lists of a plan and the most entries that a model may give each.
+LISTS = {"subjects": None, "graph_expansion_targets": 5, "follow_up_questions": 5, "suggested_pivots": 5}
+
+
+def _texts(values, most: int | None = None) -> list[str]:
+    """Trimmed texts, one of those that differ in case only, in order."""
+    given = [values] if isinstance(values, str) else values if isinstance(values, (list, tuple)) else []
+    kept = {str(v).strip().lower(): str(v).strip() for v in reversed([v for v in given if v is not None]) if str(v).strip()}
+    return list(reversed(kept.values()))[:most]
 
 
-def plan(question: str, case_ref: str | None = None, refine=None) -> dict:
-    """A deterministic plan; ``refine`` may change it, and whatever it breaks is put back."""
+def pivots(question: str, parsed: dict) -> list[str]:
+    named = [("subject", parsed["entities"]), ("type", [(parsed["inventory_target"] or "").lower()]), ("document", parsed["document_refs"]), ("question", [question])]
+    kind, of = next((k, v[0]) for k, v in named if v and v[0])
+    return [p.format(of) for p in PIVOTS[kind]]
+
+
+def plan(question: str, refine=None) -> dict:
+    """A deterministic plan; ``refine``, a model's hook, may change it, and whatever it leaves out or breaks stays."""
     parsed = parse(question)
-    made = {"intent": parsed["intent"], "search_strategy": STRATEGY.get(parsed["intent"], "hybrid"), "pivots": parsed["entities"][:3], "filters": {"case_ref": case_ref, "dates": re.findall(DATES, question), "documents": parsed["document_refs"]}, "rewrite": re.sub(r"\s+", " ", question).strip()}
+    subjects, asked = _texts(parsed["entities"]), pivots(question, parsed)
+    filters = {"document_refs": _texts(parsed["document_refs"]), "date_hints": _texts(re.findall(DATES, question)), "entity_types": _texts(parsed["inventory_target"]), "relation_types": []}
+    rewrite = question.strip()
+    if subjects and parsed["intent"] == "general_query":
+        rewrite = f"{rewrite} {REWRITE_SUFFIX}"
+    made = {"intent": parsed["intent"], "subjects": subjects, "filters": filters, "search_strategy": STRATEGY[parsed["intent"]], "graph_expansion_targets": subjects[:3], "follow_up_questions": asked, "suggested_pivots": asked, "rewrite_query": rewrite, "planner_backend": "deterministic", "planner_status": "fallback"}
     if refine is None:
         return made
     try:
-        asked = refine(dict(made))
-        return made | {k: v for k, v in asked.items() if k in made and isinstance(v, type(made[k]))}
+        return _refined(made, refine(dict(made)))
     except Exception:  # a model's answer decides nothing by failing
         return made
 
 
-#: Question templates.
+def _refined(made: dict, given) -> dict:
+    if not isinstance(given, dict):
+        return made
+    out = made | {k: t for k in ("search_strategy", "rewrite_query", "planner_backend") if isinstance(given.get(k), str) and (t := given[k].strip())}
+    if given.get("intent") in STRATEGY:
+        out["intent"] = given["intent"]
+    out |= {k: got for k, most in LISTS.items() if (got := _texts(given.get(k), most))}
+    wanted = given.get("filters") if isinstance(given.get("filters"), dict) else {}
+    out["filters"] = {k: _texts(wanted.get(k)) or v for k, v in made["filters"].items()}
+    return out | {"planner_status": "refined"}
+
+
+# Question templates.
 TEMPLATES = [
-    {"id": "connection", "text": "How is {a} connected to {b}?"},
-    {"id": "inventory", "text": "List all {type} in {case}."},
-    {"id": "timeline", "text": "What happened to {a} between {from} and {to}?"},
+    {
+        "template_id": "known_associates",
+        "label": "Known associates",
+        "query": "Who are the known associates of {subject}? Include evidence citations.",
+        "description": "Map direct links around one named entity.",
+    },
+    {
+        "template_id": "phones_by_case",
+        "label": "Phones by case",
+        "query": "List all phone numbers linked to this case and who they are associated with.",
+        "description": "Inventory telecommunications entities in current case scope.",
+    },
+    {
+        "template_id": "location_movements",
+        "label": "Location movements",
+        "query": "Show location movements for {subject} in chronological order with source references.",
+        "description": "Build movement timeline for a person, vehicle, or alias.",
+    },
 ]

@@ -66,7 +66,8 @@ def test_cache():
 
 INTENTS = [
     ("list all vehicles", "entity_inventory_query"), ("phones", "entity_inventory_query"), ("How is Anna Hart connected to Ben Cole?", "entity_relationship_query"), ("Who used RX71 KLD?", "exact_identifier_query"),
-    ("summary of report-1.pdf", "document_summary_query"), ("what does a.pdf say", "document_query"), ("list people associated with vehicles", "entity_relationship_inventory_query"), ("what happened at night", "general_query"), ("who lives at Mill Lane", "general_query"),
+    ("summary of report-1.pdf", "document_summary_query"), ("what does a.pdf say", "document_query"), ("list people associated with vehicles", "entity_relationship_inventory_query"), ("what happened at night", "general_query"), ("who lives at Mill Lane", "general_query"), ("Who is John Smith?", "entity_relationship_query"), ("List all weapons connected to John Smith", "entity_relationship_inventory_query"), ("Show AB12 CDE in report.pdf", "exact_identifier_query"),
+    ("phone numbers", "entity_inventory_query"), ("List all phone numbers linked to this case and who they are associated with.", "entity_relationship_inventory_query"), ("22 Linton Gardens", "general_query"), ("Summarise key findings from OC-INT-003.pdf", "document_summary_query"),
 ]
 
 
@@ -79,9 +80,28 @@ def test_planning():
     assert intents.with_history("and then he?", [("user", "Tell me of Ann"), ("assistant", "She left.\n\nSoon.")]) == "user: Tell me of Ann\nassistant: She left.\nassistant: Soon.\nand then he?"
     assert intents.with_history("A full question about the harbour that stands alone", [("user", "x")]).startswith("A full")
     p = intents.plan("How is Anna Hart connected to Ben Cole since 2024-01-02?")
-    assert p["search_strategy"] == "graph_first" and p["pivots"] == ["Anna Hart", "Ben Cole"] and p["filters"]["dates"] == ["2024-01-02"]
+    assert p["search_strategy"] == "graph_forward" and p["subjects"] == p["graph_expansion_targets"] == ["Anna Hart", "Ben Cole"] and p["filters"]["date_hints"] == ["2024-01-02"]
+    assert p["suggested_pivots"][2] == "Build a chronology for Anna Hart with exact citations." and p["planner_status"] == "fallback"
+    q = intents.plan("List all phone numbers linked to this case and who they are associated with.")
+    assert q["intent"] == "entity_relationship_inventory_query" and q["filters"]["entity_types"] == ["PHONE"] and "phone" in q["suggested_pivots"][0]
+    assert [intents.plan(x)["search_strategy"] for x in ("phones", "summary of a.pdf", "what happened at night")] == ["exact_then_fts", "document_focus", "hybrid_balanced"]
     assert intents.plan("x", refine=lambda m: {"intent": 5, "search_strategy": "own"})["intent"] == "general_query"
-    assert intents.plan("x", refine=lambda m: 1 / 0)["search_strategy"] == "hybrid"
+    r = intents.plan("x", refine=lambda m: {"intent": "document_query", "subjects": ["A", "a ", None], "filters": {"date_hints": "2024"}, "suggested_pivots": list("abcdefg"), "rewrite_query": " "})
+    assert (r["intent"], r["subjects"], r["filters"]["date_hints"], r["suggested_pivots"], r["rewrite_query"], r["planner_status"]) == ("document_query", ["A"], ["2024"], list("abcde"), "x", "refined")
+    assert intents.plan("x", refine=lambda m: 1 / 0)["search_strategy"] == "hybrid_balanced"
+    assert intents.with_history("phones of them", [("user", "x")]) == "phones of them"
+    assert [t["template_id"] for t in intents.TEMPLATES] == ["known_associates", "phones_by_case", "location_movements"]
+    assert intents.parse("Give me a comprehensive report, don't miss related docs")["recall_priority"]
+
+
+def test_findings_and_exact_groups():
+    rows = [{"doc_id": "d", "page": p, "text": t} for p, t in [(2, "HANDLING: for all who are named in it and nobody else at all. The grey van was observed at 10:30 in Mill Lane by John Smith."), (1, "THE WHOLE LINE IS IN CAPITALS AND SAYS NOTHING TO ANYONE. a|b|c is a line of a table and not a finding at all."), (1, "A phone call was linked to the address; short one."), (3, "the grey van was observed at 10:30 in mill lane by john smith.")]]
+    got = answers.findings(rows)
+    assert [f["text"][:12] for f in got] == ["The grey van"]
+    assert answers.weight_of("The grey van was observed at 10:30 in Mill Lane by John Smith.") == 2 * 2 + 2 + 2 + 1 + 1 + 2
+    assert answers.is_boilerplate("Analyst: X") and not answers.is_boilerplate("a plain line")
+    groups = answers.exact_groups([{"entity_id": "a", "score": 0.5, "doc_id": "x", "alias_text": "A1"}, {"entity_id": "b", "score": 1.0, "doc_id": "x", "canonical_name": "B"}, {"entity_id": "a", "score": 1.0, "doc_id": "y", "alias_text": "A0", "page": 3}, {"entity_id": None}])
+    assert [(g["entity_id"], g["name"], g["aliases"], g["documents"]) for g in groups] == [("a", "A1", ["A0", "A1"], ["x", "y"]), ("b", "B", [], ["x"])]
 
 
 def test_answers():
