@@ -40,7 +40,7 @@ U = np.uint64
 #: Classes of a signature that are paired; more are listed under one class.
 SMALL = 8
 #: Signatures gathered by a task before it sends, and the most that it gathers for many targets.
-SEND_AT, SEND_MOST = 1_000_000, 4_000_000
+SEND_AT, SEND_MOST = 500_000, 4_000_000
 #: Shingles of one block of a cluster that is verified in several tasks.
 BLOCK_TOKENS = 500_000
 #: Rows of a table that is broadcast; a larger one goes through a shuffled join.

@@ -20,7 +20,7 @@ packed piece by piece. Rows that repeat a doc_id and its text are copies of one
 starts, so neither removes the other. Rows of one doc_id with different texts are documents of their own, in the order
 of a hash of their texts. Extra columns pass through ``strip_repeats``.
 Rows with a null doc_id pass unchanged. All numbers travel packed (about six bytes a word). A window that a third
-of all documents share costs each send of about a million windows one entry, in both exchanges.
+of all documents share costs each send of half a million windows and more one entry, in both exchanges.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ from casewright.llm.shared import cut, fresh, partitions
 
 U = np.uint64
 #: Rolling windows gathered by a task before it sends, and the most that it gathers for many targets.
-SEND_AT, SEND_MOST = 1_000_000, 6_000_000
+SEND_AT, SEND_MOST = 500_000, 6_000_000
 
 
 def _targets(h: np.ndarray, n: int) -> np.ndarray:
