@@ -22,12 +22,14 @@ def build_session(app: str = "casewright", master: str | None = None, **conf: st
 
 
 def cut_lineage(df):
-    """A reliable checkpoint in ``spark.checkpoint.dir``; a temporary folder only where that setting is absent."""
+    """A reliable checkpoint in ``spark.checkpoint.dir``; a temporary folder only where that is absent and the master local."""
     import tempfile
 
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="casewright-"))
     return df.checkpoint()
