@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from casewright import config, projection
 from casewright.functions import dates, normalise, text
-from casewright.operators import analytics, claims, edges, enrich, extract, inventory, media, resolve, retrieve, store, tools, walk
+from casewright.operators import analytics, claims, edges, enrich, extract, inventory, media, profile, resolve, retrieve, store, tools, walk
 from casewright.projection import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -585,6 +585,81 @@ def vehicle_track_like(spark, sf_dir):
     return near.select(F.col("node").alias("vehicle"), F.col("neighbour").alias("place"), "rel_id").orderBy("vehicle", "rel_id").limit(500)
 
 
+PAGED = "men AS (SELECT s AS entity_id, evidence_id || '/' || s AS mention_id, doc_id, page, span_text FROM ev UNION ALL SELECT t, evidence_id || '/' || t, doc_id, page, span_text FROM ev)"
+
+
+def paged_mentions(g: projection.Graph) -> DataFrame:
+    """As ``mentions``, with the page and the text."""
+    rows = g.evidence.select("evidence_id", "doc_id", "page", "span_text", F.explode(F.split("rel_id", r"\|")).alias("entity_id"))
+    return rows.withColumn("mention_id", F.concat_ws("/", "evidence_id", "entity_id"))
+
+
+@query(f"WITH {GRAPH}, {PAGED}, n AS (SELECT entity_id, doc_id, filename, min(page) AS first_page, count(DISTINCT mention_id) AS mention_count FROM men JOIN doc USING (doc_id) GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY mention_count DESC, filename, doc_id) AS rank FROM n) SELECT * REPLACE (CAST(rank AS INTEGER) AS rank) FROM r WHERE rank <= 100")
+def profile_documents(spark, sf_dir):
+    """The documents that mention each entity most, with the first page."""
+    g = graph(spark, sf_dir)
+    return profile.entity_documents(paged_mentions(g), g.documents).select("entity_id", "doc_id", "filename", "first_page", "mention_count", "rank")
+
+
+@query(f"""WITH {GRAPH}, adj AS (SELECT source_entity AS entity_id, target_entity AS linked_id, * FROM rel UNION ALL SELECT target_entity, source_entity, * FROM rel),
+c AS (SELECT a.entity_id, a.linked_id, a.rel_id, a.relation_type, a.confidence, e.doc_id, row_number() OVER (PARTITION BY a.entity_id ORDER BY a.confidence DESC, e.page NULLS LAST, filename NULLS LAST, a.rel_id, e.evidence_id) AS n
+  FROM adj a LEFT JOIN ev e ON e.rel_id = a.rel_id LEFT JOIN doc d ON d.doc_id = e.doc_id)
+SELECT c.entity_id, rel_id, relation_type, confidence, linked_id, canonical_name AS linked_name, entity_type AS linked_type, count(c.doc_id) AS n_citations, coalesce(string_agg(c.doc_id, ',' ORDER BY n), '') AS cited
+FROM c JOIN ent ON ent.entity_id = linked_id WHERE n <= 300 GROUP BY ALL""")
+def profile_links(spark, sf_dir):
+    """The surest links of each entity, with their citations."""
+    got = profile.links(graph(spark, sf_dir))
+    return got.select("entity_id", "rel_id", "relation_type", "confidence", "linked_id", "linked_name", "linked_type", F.size("citations").cast("long").alias("n_citations"), F.array_join("citations.doc_id", ",").alias("cited"))
+
+
+@query(f"WITH {GRAPH}, {PAGED}, r AS (SELECT entity_id, doc_id, page, mention_id, row_number() OVER (PARTITION BY entity_id ORDER BY doc_id, page, span_text || ' on ' || strftime(o_orderdate, '%Y-%m-%d')) AS n, o_orderdate FROM men JOIN orders ON doc_id = 'O' || o_orderkey) SELECT entity_id, doc_id, page, date_trunc('day', o_orderdate)::TIMESTAMP AS seen_at FROM r WHERE n <= 30 AND page % 4 <> 0")
+def profile_sightings(spark, sf_dir):
+    """The dates in the first mentions of each entity; every fourth page has none."""
+    g = graph(spark, sf_dir)
+    day = g.documents.select("doc_id", F.date_format("ingested_at", "yyyy-MM-dd").alias("day"))
+    said = F.when(F.col("page") % 4 != 0, F.concat_ws(" on ", "span_text", "day")).otherwise(F.col("span_text"))
+    m = paged_mentions(g).join(day, "doc_id").withColumn("text", said)
+    return profile.sightings(m, g.documents).select("entity_id", "doc_id", "page", "seen_at")
+
+
+@query("""WITH o AS (SELECT *, 'O' || o_orderkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY 'O' || o_orderkey) AS n FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+  WHERE n_nationkey % 5 <> 0 AND (o_orderstatus IN ('F', 'O') OR c_custkey % 2 = 0))
+SELECT 'C' || o_custkey AS vehicle, doc_id, 'N' || n_nationkey AS place, n_name AS place_name, CAST(n_nationkey AS DOUBLE) AS latitude, CASE WHEN o_orderstatus <> 'O' THEN date_trunc('day', o_orderdate)::TIMESTAMP END AS seen_at,
+  CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus <> 'O' THEN date_trunc('day', o_orderdate)::TIMESTAMP END NULLS LAST, doc_id) AS INTEGER) AS position FROM o WHERE n <= 500""")
+def vehicle_track(spark, sf_dir):
+    """Customers as vehicles seen at their nations: by cameras, in undated sightings, and by other evidence of OBSERVED_AT links."""
+    g = graph(spark, sf_dir)
+    kind = F.when(F.col("entity_type") == "PERSON", F.lit("VEHICLE")).otherwise(F.col("entity_type"))
+    key = F.substring("entity_id", 2, 20).cast("double")
+    entities = g.entities.withColumn("latitude", F.when((F.col("entity_type") == "LOCATION") & (key % 5 != 0), key)).withColumn("longitude", -F.col("latitude")).withColumn("entity_type", kind)
+    own = F.substring("source_entity", 2, 20).cast("long")
+    rels = g.relationships.withColumn("relation_type", F.when(F.col("rel_id").startswith("LC") & (own % 2 == 0), F.lit("OBSERVED_AT")).otherwise(F.col("relation_type")))
+    o, day = table(spark, sf_dir, "orders"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    span = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("anpr hit on "), day)).when(F.col("o_orderstatus") == "O", F.lit("a sighting")).otherwise(F.concat(F.lit("stayed on "), day))
+    text_ = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    evidence = o.select(text_("V", "o_orderkey").alias("evidence_id"), text_("LC", "o_custkey").alias("rel_id"), text_("O", "o_orderkey").alias("doc_id"), F.lit(1).alias("page"), span.alias("span_text"))
+    return profile.vehicle_track(projection.Graph(entities, rels, evidence, g.documents)).select("vehicle", "doc_id", "place", "place_name", "latitude", "seen_at", "position")
+
+
+@query(f"WITH {GRAPH}, {PAGED}, k AS (SELECT entity_id, count(*) AS mention_count FROM men GROUP BY 1) SELECT entity_id, max(page / 10.0::DOUBLE) AS score, any_value(mention_count) AS mention_count, array_to_string(list_sort(list(DISTINCT span_text)), ',') AS aliases, count(DISTINCT doc_id) AS doc_count, count(*) AS evidence_count FROM men JOIN k USING (entity_id) GROUP BY 1")
+def exact_matches_grouped(spark, sf_dir):
+    m = paged_mentions(graph(spark, sf_dir))
+    n = m.groupBy("entity_id").agg(F.count(F.lit(1)).alias("mention_count"))
+    matches = m.join(n, "entity_id").select("entity_id", "mention_count", F.col("span_text").alias("alias_text"), "doc_id", (F.col("page") / 10).alias("score"))
+    return profile.grouped_matches(matches).withColumn("aliases", F.array_join("aliases", ","))
+
+
+@query(f"WITH {GRAPH} SELECT {EDGE_SQL} FROM edge ORDER BY confidence DESC, rel_id LIMIT 300")
+def network_top(spark, sf_dir):
+    """The surest relationships without a seed."""
+    return profile.network(graph(spark, sf_dir), 300).select(*EDGE)
+
+
+@query(f"WITH {GRAPH} SELECT count(*) AS edge_count, round(avg(confidence), 3) AS avg_confidence FROM rel")
+def average_confidence(spark, sf_dir):
+    return profile.average_confidence(graph(spark, sf_dir).relationships)
+
+
 @query("SELECT n_nationkey, n_name, count(DISTINCT o_orderkey) AS documents, array_to_string((list_sort(list(DISTINCT o_orderkey)))[1:5], ',') AS first_docs FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2")
 def geo_pins_docs(spark, sf_dir):
     t = lambda name: table(spark, sf_dir, name)
