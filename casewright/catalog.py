@@ -198,6 +198,23 @@ def connected_components_all(spark, sf_dir):
     return analytics.components(graph(spark, sf_dir).relationships)
 
 
+def _best_edges(spark, sf_dir) -> DataFrame:
+    """The whole graph with one edge for each pair."""
+    return edges.best_edge_per_pair(edges.edge_view(graph(spark, sf_dir))).select("source_entity", "target_entity", "weight")
+
+
+@query()
+def pagerank_all(spark, sf_dir):
+    """PageRank of every customer, supplier and nation."""
+    return analytics.pagerank(_best_edges(spark, sf_dir), rounds=8).select("node", F.round("rank", 9).alias("rank"))
+
+
+@query()
+def communities_all(spark, sf_dir):
+    """Label of every customer, supplier and nation after six rounds."""
+    return analytics.label_propagation(_best_edges(spark, sf_dir), rounds=6)
+
+
 @query()
 def betweenness_small(spark, sf_dir):
     return analytics.betweenness(nation_edges(spark, sf_dir))

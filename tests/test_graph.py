@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from casewright import catalog
 from casewright.operators import analytics, edges, walk
 from casewright.projection import Graph
 
@@ -92,3 +93,30 @@ def test_components_of_long_paths(spark):
     with pytest.raises(RuntimeError, match="2 rounds"):
         analytics.components(e, most_rounds=2)
     assert analytics.components(e.where("false")).count() == 0
+
+
+def test_rank_and_communities_of_the_whole_graph(spark, sf):
+    links = [(r.source_entity, r.target_entity, r.weight) for r in catalog._best_edges(spark, sf).collect()]
+    assert len({frozenset(x[:2]) for x in links}) == len(links) == catalog.best_edge_per_pair(spark, sf).count()
+    near: dict[str, dict[str, float]] = {}
+    for a, b, w in links:
+        near.setdefault(a, {})[b] = w
+        near.setdefault(b, {})[a] = w
+    n, total = len(near), {a: sum(to.values()) for a, to in near.items()}
+    rank = dict.fromkeys(near, 1 / n)
+    for _ in range(8):
+        rank = {a: 0.15 / n + 0.85 * sum(rank[b] * w / total[b] for b, w in to.items()) for a, to in near.items()}
+    got = {r.node: r["rank"] for r in catalog.pagerank_all(spark, sf).collect()}
+    assert got.keys() == rank.keys() and all(abs(got[a] - rank[a]) < 2e-9 for a in rank)
+
+    parity = {r.node: r.p for r in spark.createDataFrame([(a,) for a in near], "node string").select("node", F.expr("pmod(xxhash64(node), 2)").alias("p")).collect()}
+    label = {a: a for a in near}
+    for k in range(6):
+        won = {}
+        for a, to in near.items():
+            votes: dict[str, float] = {}
+            for b, w in to.items():
+                votes[label[b]] = votes.get(label[b], 0.0) + w
+            won[a] = min((-round(w, 9), c) for c, w in votes.items())[1]
+        label = {a: won[a] if parity[a] == k % 2 else label[a] for a in near}
+    assert {r.node: r.community for r in catalog.communities_all(spark, sf).collect()} == label
