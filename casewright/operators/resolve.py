@@ -23,8 +23,8 @@ def similar_pairs(names: DataFrame, threshold: float = config.ALIAS_THRESHOLD, p
     """``entity_type, a, b, score`` for distinct names ``entity_type, name``, a before b.
 
     ``prefix``: names are only compared where their first ``prefix`` characters agree; a faster form that loses pairs
-    which differ there. 0 loses none: any two similar names share a character, and they meet under the one that is
-    rarest among those that both must have.
+    which differ there. 0 loses none, but compares every name with all names of its type in its own length band and the
+    two beside it, a cost that grows with the square of the band.
     """
     one = names.select("entity_type", "name").distinct().withColumn("n", F.length("name"))
     if prefix:
