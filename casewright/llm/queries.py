@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casewright.llm import chat, compressive, decontaminate, jaccardjoin, linkrank, pieces, repeats, rules, toxicity, warc
+from casewright.llm import chat, compressive, decontaminate, divergence, jaccardjoin, linkrank, pieces, repeats, rules, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,3 +88,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES.update({f.__name__: f for f in (op7_toxicity, op8_quality_classifier, op1_warc, op2_chat_formatting)})
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op12_source_divergence"] = op12_source_divergence

@@ -118,6 +118,25 @@ z AS (SELECT host, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS tr, coales
 SELECT f.page_id, f.host, f.path, f.rule, coalesce(f.verdict, CASE WHEN round(di / (tr + di), 9) > 0.6 THEN 'block' ELSE 'allow' END) AS verdict FROM f LEFT JOIN z ON z.host = f.host
 """
 
+_TERMS = LOWER.format(r"unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'))")
+
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT r, lang, source, {_TERMS} AS term FROM d),
+k AS (SELECT lang, term, count(*) AS all_n FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(all_n) AS total FROM k GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+s AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)::HUGEINT) // (s.total + 5 * v.v) AS p,
+             1 + (1000000000 * (k.all_n + 5)::HUGEINT) // (v.total + 5 * v.v) AS q
+      FROM s JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+a AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3),
+b AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(a.value, 0) AS value FROM g JOIN g h ON h.lang = g.lang AND h.source <> g.source LEFT JOIN a ON a.lang = g.lang AND a.source = g.source AND a.item = h.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM b) WHERE part = 'pair' OR rank <= 50
+"""
 
 ORACLE: dict[str, str] = {
     "op1_warc": OP1,
@@ -127,4 +146,5 @@ ORACLE: dict[str, str] = {
     "op6_jaccard_join": OP6,
     "op9_quality_rules": OP9,
     "op10_url_filters": _op10(),
+    "op12_source_divergence": OP12,
 }
