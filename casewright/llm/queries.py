@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casewright.llm import chat, compressive, decontaminate, divergence, jaccardjoin, linkrank, pieces, repeats, rules, toxicity, warc
+from casewright.llm import chat, compressive, decontaminate, divergence, jaccardjoin, linkrank, pieces, repeats, rules, toxicity, variants, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,3 +95,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op12_source_divergence"] = op12_source_divergence
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op11_spelling_variants"] = op11_spelling_variants

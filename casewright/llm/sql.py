@@ -138,6 +138,26 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM b) WHERE part = 'pair' OR rank <= 50
 """
 
+_RUNS = LOWER.format("unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+'))")
+_CRC_STEP = "CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END"
+
+OP11 = f"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce(list_prepend(k::BIGINT, [1, 2, 3, 4, 5, 6, 7, 8]), lambda c, i: {_CRC_STEP}) ORDER BY k) AS tab FROM range(256) t(k)),
+r AS (SELECT id, run, count(*) AS uses FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, {_RUNS} AS run FROM documents) GROUP BY 1, 2),
+b AS (SELECT run, uses, [CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT) FOR i IN range(len(x) // 2)] AS bytes FROM (SELECT run, uses, hex(encode(id || ':' || run)) AS x FROM r WHERE length(run) >= 7)),
+h AS (SELECT run, uses, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda a, c: xor(a >> 8, tab[(xor(a, c) & 255) + 1]))) AS h FROM b, crc),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, uses FROM h),
+v AS (SELECT word, CAST(sum(uses) AS BIGINT) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(uses) >= 2),
+k AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+p AS (SELECT a.word AS a, b.word AS b FROM k a JOIN k b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+      UNION SELECT k.word, v.word FROM k JOIN v ON v.word = k.rest UNION SELECT v.word, k.word FROM k JOIN v ON v.word = k.rest),
+m AS (SELECT a AS word, count(*) AS n_near, arg_min(b, {{'n': -v.n, 'b': encode(b)}}) AS best FROM p JOIN v ON v.word = b GROUP BY a),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN x.n >= 10 * v.n THEN best END AS form, CASE WHEN x.n >= 10 * v.n THEN x.n END AS form_n
+      FROM v LEFT JOIN m USING (word) LEFT JOIN v x ON x.word = best),
+c AS (SELECT word, word AS root, form FROM f UNION ALL SELECT c.word, f.word, f.form FROM c JOIN f ON f.word = c.form)
+SELECT f.word, f.form, c.root, f.n, CAST(n_near AS BIGINT) AS n_near, f.form_n FROM f JOIN c ON c.word = f.word AND c.form IS NULL
+"""
+
 ORACLE: dict[str, str] = {
     "op1_warc": OP1,
     "op2_chat_formatting": OP2,
@@ -146,5 +166,6 @@ ORACLE: dict[str, str] = {
     "op6_jaccard_join": OP6,
     "op9_quality_rules": OP9,
     "op10_url_filters": _op10(),
+    "op11_spelling_variants": OP11,
     "op12_source_divergence": OP12,
 }
