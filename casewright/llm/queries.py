@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from casewright.llm import chat, compressive, decontaminate, divergence, jaccardjoin, linkrank, pieces, repeats, rules, toxicity, variants, warc
+from casewright.llm import chat, compressive, decontaminate, divergence, jaccardjoin, linkrank, pieces, pivotsearch, repeats, rules, toxicity, variants, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,3 +103,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op11_spelling_variants"] = op11_spelling_variants
+
+
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivotsearch.top_k(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
+
+
+QUERIES["op13_topk_search"] = op13_topk_search

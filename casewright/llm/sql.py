@@ -158,6 +158,14 @@ c AS (SELECT word, word AS root, form FROM f UNION ALL SELECT c.word, f.word, f.
 SELECT f.word, f.form, c.root, f.n, CAST(n_near AS BIGINT) AS n_near, f.form_n FROM f JOIN c ON c.word = f.word AND c.form IS NULL
 """
 
+OP13 = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.r <> c.r),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM k WHERE rank <= 20
+"""
+
 ORACLE: dict[str, str] = {
     "op1_warc": OP1,
     "op2_chat_formatting": OP2,
@@ -168,4 +176,5 @@ ORACLE: dict[str, str] = {
     "op10_url_filters": _op10(),
     "op11_spelling_variants": OP11,
     "op12_source_divergence": OP12,
+    "op13_topk_search": OP13,
 }
