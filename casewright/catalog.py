@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from casewright import config, projection
 from casewright.functions import dates, normalise, text
-from casewright.operators import analytics, claims, edges, enrich, extract, inventory, media, profile, resolve, retrieve, store, tools, walk
+from casewright.operators import analytics, brokers, claims, communities, edges, enrich, extract, inventory, media, paths, profile, resolve, retrieve, store, tools, walk
 from casewright.projection import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,6 +168,23 @@ def k_paths_bounded(spark, sf_dir):
     return walk.simple_paths(nation_edges(spark, sf_dir), "N0", "N8", cutoff=3, k=10)
 
 
+@query(f"""WITH RECURSIVE {GRAPH}, best AS (SELECT least(source_entity, target_entity) AS a, greatest(source_entity, target_entity) AS b, min(CAST(round(weight * 1000000) AS BIGINT)) AS w FROM edge WHERE source_entity <> target_entity GROUP BY 1, 2),
+adj AS (SELECT a, b, w FROM best UNION ALL SELECT b, a, w FROM best),
+-- no path of the five lightest is heavier than the fifth of two edges
+most AS (SELECT max(w) AS w FROM (SELECT x.w + y.w AS w FROM adj x JOIN adj y ON x.b = y.a WHERE x.a = 'S1' AND y.b = 'S2' ORDER BY w LIMIT 5)),
+p AS (SELECT 'S1' AS node, ['S1'] AS path, 0::BIGINT AS w UNION ALL SELECT adj.b, list_append(p.path, adj.b), p.w + adj.w FROM p JOIN adj ON adj.a = p.node, most WHERE p.node <> 'S2' AND p.w + adj.w <= most.w AND NOT list_contains(p.path, adj.b)),
+k AS (SELECT path, row_number() OVER (ORDER BY w, path) AS path_rank FROM p WHERE node = 'S2' QUALIFY path_rank <= 5),
+c AS (SELECT * FROM k WHERE path_rank < coalesce((SELECT min(path_rank) FROM k WHERE len(path) - 1 > 3), 6)),
+h AS (SELECT path_rank, unnest(range(1, len(path))) AS hop, path, len(path) - 1 AS hops FROM c),
+f AS (SELECT path_rank, hop, hops, path[hop] AS node, path[hop + 1] AS next_node, e.* FROM h JOIN edge e ON (e.source_entity = path[hop] AND e.target_entity = path[hop + 1]) OR (e.target_entity = path[hop] AND e.source_entity = path[hop + 1])),
+o AS (SELECT *, CASE WHEN source_entity = node THEN 'forward' ELSE 'reverse' END AS direction FROM f QUALIFY row_number() OVER (PARTITION BY path_rank, hop ORDER BY weight, CASE WHEN source_entity = node THEN 0 ELSE 1 END, rel_id) = 1)
+SELECT CAST(path_rank AS INTEGER) AS path_rank, CAST(hop AS INTEGER) AS hop, node, next_node, rel_id, relation_type, direction, confidence, evidence_count, weight, round(sum(weight) OVER (PARTITION BY path_rank), 4) AS total_weight, round(min(confidence) OVER (PARTITION BY path_rank), 4) AS min_confidence, CAST(hops AS INTEGER) AS hops FROM o""")
+def k_shortest_paths(spark, sf_dir):
+    """The five lightest paths between two suppliers over the whole graph, of at most three edges, hop by hop."""
+    view = edges.edge_view(graph(spark, sf_dir))
+    return paths.hydrate(paths.k_shortest(view, "S1", "S2", k=5, cutoff=3), view)
+
+
 # --- measures ---
 
 
@@ -217,7 +234,7 @@ def communities_all(spark, sf_dir):
 
 @query()
 def betweenness_small(spark, sf_dir):
-    return analytics.betweenness(nation_edges(spark, sf_dir))
+    return brokers.betweenness(nation_edges(spark, sf_dir))
 
 
 @query()
@@ -226,6 +243,33 @@ def communities_modularity(spark, sf_dir):
     return analytics.modularity(e, analytics.label_propagation(e, rounds=6))
 
 
+@query()
+def betweenness_all(spark, sf_dir):
+    """Betweenness over the whole graph from 16 seeded pivots."""
+    return brokers.betweenness(_best_edges(spark, sf_dir), pivots=16)
+
+
+def _louvain(spark, sf_dir) -> DataFrame:
+    return communities.louvain(_best_edges(spark, sf_dir))
+
+
+@query()
+def louvain_communities(spark, sf_dir):
+    """The largest communities of the whole graph with their most mentioned members."""
+    g = graph(spark, sf_dir)
+    ends = g.evidence.select(F.explode(F.split("rel_id", r"\|")).alias("entity_id"))
+    return communities.report(_louvain(spark, sf_dir), ends.groupBy("entity_id").agg(F.count(F.lit(1)).alias("mention_count")))
+
+
+@query()
+def louvain_modularity(spark, sf_dir):
+    """Modularity of the communities, and of what six rounds of labels find: ``method, modularity``."""
+    e = _best_edges(spark, sf_dir)
+    found = {"louvain": communities.louvain(e), "labels": analytics.label_propagation(e, rounds=6)}
+    rows = [analytics.modularity(e, of).select(F.lit(name).alias("method"), "modularity") for name, of in found.items()]
+    return rows[0].unionByName(rows[1])
+
+
 # --- inventory, search, profile ---
 
 

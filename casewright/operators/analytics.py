@@ -1,10 +1,7 @@
-"""Graph measures: degree, PageRank, components, betweenness, communities, modularity."""
+"""Graph measures: degree, PageRank, components, label propagation, modularity."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,68 +46,6 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def betweenness(edges: DataFrame, pivots: int = 200, seed: int = 17, most_edges: int = 2_000_000) -> DataFrame:
-    """``node, betweenness``: weighted, normalised; exact up to ``pivots`` nodes, else from seeded pivot nodes.
-
-    The pivots are dealt over the tasks; each walks a copy of the adjacency, whose size is checked first.
-    """
-    spark = edges.sparkSession
-    pairs = edges.select("source_entity", "target_entity", "weight").where("source_entity != target_entity").distinct()
-    if (n_edges := pairs.count()) > most_edges:
-        raise ValueError(f"{n_edges} edges are too many to send to every task")
-    adj: dict[str, list[tuple[str, float]]] = {}
-    for s, t, w in pairs.toLocalIterator():
-        adj.setdefault(s, []).append((t, w))
-        adj.setdefault(t, []).append((s, w))
-    nodes = sorted(adj)
-    n = len(nodes)
-    sent = spark.sparkContext.broadcast(adj)
-    frame = spark.createDataFrame([(x,) for x in nodes], "node string")
-    chosen = frame if n <= pivots else frame.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(pivots)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            score: dict[str, float] = {}
-            for pivot in batch["node"]:
-                for node, value in _dependencies(sent.value, pivot).items():
-                    score[node] = score.get(node, 0.0) + value
-            yield pd.DataFrame({"node": list(score), "value": list(score.values())})
-
-    scale = (n / min(n, pivots)) / max(1, (n - 1) * (n - 2)) if n else 0.0
-    got = chosen.repartition(min(n, spark.sparkContext.defaultParallelism) or 1).mapInPandas(run, "node string, value double").groupBy("node").agg(F.sum("value").alias("v"))
-    return frame.join(got, "node", "left").select("node", F.round(F.coalesce("v", F.lit(0.0)) * F.lit(scale), 6).alias("betweenness"))
-
-
-def _dependencies(adj: dict, source: str) -> dict[str, float]:
-    """How much each node lies between ``source`` and all others: one shortest-path search and its way back."""
-    import heapq
-
-    far, ways, order, through, heap = {}, {source: 1.0}, [], {source: []}, [(0.0, source)]
-    best = {source: 0.0}
-    while heap:
-        d, x = heapq.heappop(heap)
-        if x in far:
-            continue
-        far[x] = d
-        order.append(x)
-        for y, w in adj[x]:
-            if y in far:
-                continue
-            new = d + w
-            if y not in best or new < best[y] - 1e-12:
-                best[y], ways[y], through[y] = new, ways[x], [x]
-                heapq.heappush(heap, (new, y))
-            elif abs(new - best[y]) <= 1e-12:
-                ways[y] += ways[x]
-                through[y].append(x)
-    rest = dict.fromkeys(order, 0.0)
-    for y in reversed(order):
-        for x in through[y]:
-            rest[x] += ways[x] / ways[y] * (1 + rest[y])
-    rest.pop(source, None)
-    return rest
-
-
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """``node, community``: every node takes the label of most weight among its neighbours, the smallest in a tie.
 

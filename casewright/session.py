@@ -21,15 +21,33 @@ def build_session(app: str = "casewright", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def cut_lineage(df):
-    """A reliable checkpoint in ``spark.checkpoint.dir``; a temporary folder only where that is absent and the master local."""
+def _shared(spark) -> str:
+    """The checkpoint folder; a temporary one only where ``spark.checkpoint.dir`` is absent and the master local."""
     import tempfile
 
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
         if folder is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="casewright-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df):
+    """A reliable checkpoint in ``spark.checkpoint.dir``."""
+    _shared(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df):
+    """A table written beside the checkpoints and read again.
+
+    For loops: a checkpointed plan hands its constraints on, and constraints about columns that are renamed in every round
+    multiply until the optimizer takes longer than the work.
+    """
+    import uuid
+
+    path = f"{_shared(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casewright import catalog
-from casewright.operators import analytics, edges, walk
+from casewright.operators import analytics, brokers, edges, walk
 from casewright.projection import Graph
 
 ENTITIES = [("p1", "Ann", "PERSON", 3), ("p2", "Bob", "PERSON", 2), ("p3", "Cy", "PERSON", 1), ("v1", "RX71 KLD", "VEHICLE", 1), ("l1", "Depot", "LOCATION", 5)]
@@ -64,10 +64,10 @@ def test_measures(spark, graph):
 
 def test_betweenness_and_components_by_hand(spark):
     star = spark.createDataFrame([("a", "h", 1.0), ("b", "h", 1.0), ("c", "h", 1.0), ("x", "y", 1.0)], "source_entity string, target_entity string, weight double")
-    got = {r.node: r.betweenness for r in analytics.betweenness(star).collect()}
+    got = {r.node: r.betweenness for r in brokers.betweenness(star).collect()}
     assert got["h"] == round(6 / 20, 6) and got["a"] == 0 and got["x"] == 0
     path = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 5.0)], "source_entity string, target_entity string, weight double")
-    assert {r.node: r.betweenness for r in analytics.betweenness(path).collect()} == {"a": 0.0, "b": 1.0, "c": 0.0}
+    assert {r.node: r.betweenness for r in brokers.betweenness(path).collect()} == {"a": 0.0, "b": 1.0, "c": 0.0}
     chain = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("z1", "z2")], "source_entity string, target_entity string")
     assert {r.component for r in analytics.components(chain).collect()} == {"n000", "z1"}
 
