@@ -119,3 +119,38 @@ def jaro_winkler(a: str, b: str, weight: float = 0.1) -> float:
             break
         same += 1
     return j + same * weight * (1 - j) if j > 0.7 else j
+
+
+def jaro_winkler_column(a: Column, b: Column, weight: float = 0.1) -> Column:
+    """The same of two columns in built-in functions, for names that are not empty."""
+    letters = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, i, F.lit(1)))
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def matched(x: Column, y: Column) -> Column:
+        """What is left of y, with nulls for letters that x has met, and the letters of x that met one, in order."""
+        reach = F.greatest(F.lit(0), F.floor(F.greatest(F.size(x), F.size(y)) / 2).cast("int") - 1)
+        start = F.struct(y.alias("left"), F.filter(x, lambda _: F.lit(False)).alias("ours"))
+
+        def meet(s: Column, i: Column) -> Column:
+            low = F.greatest(F.lit(0), i - reach)
+            c = F.get(x, i)
+            at = F.coalesce(F.array_position(F.slice(s["left"], low + 1, F.greatest(F.lit(0), i + reach + 1 - low)), c).cast("int"), F.lit(0)) + low - 1
+            hit = F.struct(F.transform(s["left"], lambda v, k: F.when(k != at, v)).alias("left"), F.concat(s["ours"], F.array(c)).alias("ours"))
+            return F.when(at >= low, hit).otherwise(s)
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(x) - 1), start, meet)
+
+    def score(x: Column, y: Column) -> Column:
+        def of(s: Column) -> Column:
+            theirs = F.filter(y, lambda _, k: F.get(s["left"], k).isNull())
+            m = F.size(s["ours"])
+            moved = F.floor(F.size(F.filter(F.zip_with(s["ours"], theirs, lambda p, q: p != q), lambda d: d)) / 2)
+            j = (m / F.size(x) + m / F.size(y) + (m - moved) / m) / 3
+            start = F.zip_with(F.slice(x, 1, 4), F.slice(y, 1, 4), lambda p, q: F.coalesce(p == q, F.lit(False)))
+            first_off = F.array_position(start, F.lit(False)).cast("int")
+            same = F.when(first_off == 0, F.size(start)).otherwise(first_off - 1)
+            return F.when(m == 0, F.lit(0.0)).when(j > 0.7, j + same * F.lit(weight) * (1 - j)).otherwise(j)
+
+        return let(matched(x, y), of)
+
+    return F.when(a == b, F.lit(1.0)).otherwise(let(letters(a), lambda x: let(letters(b), lambda y: score(x, y))))
