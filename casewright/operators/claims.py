@@ -30,10 +30,31 @@ def validate(claims: DataFrame) -> DataFrame:
     return out.withColumn("status", F.col("_s.status")).withColumn("confidence", F.col("_s.confidence")).drop("_s")
 
 
-def denied(claims: DataFrame, negatives: DataFrame, least: float = 0.45) -> DataFrame:
-    """Denial claims with the negative rows that share enough of their words; both sides are small and bounded."""
+def overlapping(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """``left, right``: distinct texts of two one-column tables of which the right has at least ``least`` of the left's words.
+
+    An inverted index in place of all pairs: of n words at least ceil(least * n) have to be in the right text, so one of any
+    n - ceil(least * n) + 1 is; the left text looks up its rarest ones, and only what meets is counted in full.
+    """
+    if least <= 0:
+        raise ValueError("an overlap of 0 is every pair")
+    words = lambda df, name: df.select(F.col(df.columns[0]).alias(name)).where(F.col(name).isNotNull()).distinct().withColumn(f"{name}_words", text.word_set(F.col(name))).where(F.size(f"{name}_words") > 0)
+    asked, held = words(left, "left"), words(right, "right")
+    posted = held.select("right", F.explode("right_words").alias("word"))
+    often = posted.groupBy("word").agg(F.count(F.lit(1)).alias("often"))
+    ranked = asked.select("left", F.explode("left_words").alias("word")).join(often, "word", "left")
+    ranked = ranked.groupBy("left").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "word"))).alias("ranked"))
+    first = F.slice("ranked", F.lit(1), F.size("ranked") - F.ceil(F.lit(least) * F.size("ranked") - F.lit(1e-9)).cast("int") + 1)
+    met = ranked.select("left", F.explode(first).alias("r")).select("left", F.col("r.word").alias("word")).join(posted, "word").select("left", "right").distinct()
+    return met.where(text.overlap_ratio(F.col("left"), F.col("right")) >= least)
+
+
+def denied(claims: DataFrame, negatives: DataFrame, least: float = 0.45, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Denial claims with the negative rows that share enough of their words, as ``denial`` with the columns ``carry``."""
     asked = claims.where(F.col("claim").rlike(text.DENIAL_CLAIM))
-    return asked.crossJoin(F.broadcast(negatives.select(F.col("text").alias("denial")))).where(text.overlap_ratio(F.col("claim"), F.col("denial")) >= least)
+    held = negatives.select(F.col("text").alias("denial"), *carry)
+    met = overlapping(asked.select("claim"), held.select("denial"), least)
+    return asked.join(met.select(F.col("left").alias("claim"), F.col("right").alias("denial")), "claim").join(held, "denial").select(*claims.columns, "denial", *carry)
 
 
 def recall(expected: DataFrame, got: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casewright.session import written
+
 MOST = 25
 
 
@@ -104,11 +106,33 @@ def page_text(chunks: DataFrame, by: list[str], order: Column, text: str = "text
     return chunks.groupBy(*by).agg(F.array_join(F.transform(parts, lambda x: x.t), between).alias("text"))
 
 
-def corpus_hash(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: a hash that changes with any of the rows. Rows are hashed first and their hashes joined in order."""
-    one = rows.select(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256).alias("h"), F.col(columns[0]).alias("k"))
-    block = one.groupBy(F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("h"))
-    return block.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x.h), "\n"), 256).alias("corpus_hash"), F.count(F.lit(1)).alias("blocks"))
+def hash_tree(rows: DataFrame, columns: list[str], depth: int | None = None, leaf: int = 4096) -> DataFrame:
+    """``prefix, level, hash, n``: hashes of rows joined by hash prefix, leaves at ``depth`` hexadecimal digits up to the root.
+
+    A leaf is the hash of its rows' hashes in order, each with how often it is there; a node above is the hash of its at
+    most 16 children in order. The depth follows the number of rows, so that a leaf holds about ``leaf`` hashes however
+    many rows there are, equal ones included; a changed row changes one branch.
+    """
+    one = rows.select(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256).alias("h"))
+    each = one.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    if depth is None:
+        distinct, depth = each.count(), 0
+        while distinct > leaf * 16**depth:
+            depth += 1
+    lines = F.array_sort(F.collect_list(F.concat_ws(":", "h", F.col("n").cast("string"))))
+    level = each.groupBy(F.substring("h", 1, depth).alias("prefix")).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("hash"), F.sum("n").alias("n"))
+    level = written(level)
+    out = level.withColumn("level", F.lit(depth))
+    for k in range(depth - 1, -1, -1):
+        children = F.transform(F.array_sort(F.collect_list(F.struct("prefix", "hash"))), lambda x: x["hash"])
+        level = level.groupBy(F.substring("prefix", 1, k).alias("prefix")).agg(F.sha2(F.array_join(children, "\n"), 256).alias("hash"), F.sum("n").alias("n"))
+        out = out.unionByName(level.withColumn("level", F.lit(k)))
+    return out.select("prefix", "level", "hash", "n")
+
+
+def corpus_hash(rows: DataFrame, columns: list[str], depth: int | None = None) -> DataFrame:
+    """One row: ``corpus_hash, n_rows``, the root of the tree; none for an empty table."""
+    return hash_tree(rows, columns, depth).where("level = 0").select(F.col("hash").alias("corpus_hash"), F.col("n").alias("n_rows"))
 
 
 def fetch_chunk(scope: Scope, documents: DataFrame, chunks: DataFrame, chunk_id: str) -> dict | None:
