@@ -316,6 +316,7 @@ def mentions(g: projection.Graph) -> DataFrame:
     return g.evidence.select("doc_id", F.col("event_time").alias("seen"), "evidence_id", F.explode(parts).alias("entity_id")).withColumn("mention_id", F.concat_ws("/", "evidence_id", "entity_id"))
 
 
+PAGED = "men AS (SELECT s AS entity_id, evidence_id || '/' || s AS mention_id, doc_id, page, span_text FROM ev UNION ALL SELECT t, evidence_id || '/' || t, doc_id, page, span_text FROM ev)"
 MENTIONS = "men AS (SELECT doc_id, event_time AS seen, evidence_id, s AS entity_id FROM ev UNION ALL SELECT doc_id, event_time, evidence_id, t FROM ev)"
 
 
@@ -332,6 +333,20 @@ def entity_profile(spark, sf_dir):
     return tools.entity_profile(g.entities, mentions(g), tools.Scope("case", case_ref="1-URGENT").documents(g.documents))
 
 
+@query(f"""WITH {GRAPH}, {PAGED}, s AS (SELECT men.*, d.filename FROM men JOIN doc d USING (doc_id) WHERE d.case_ref = '1-URGENT'),
+n AS (SELECT entity_id, count(DISTINCT mention_id) AS mention_count, count(DISTINCT doc_id) AS doc_count, array_to_string(list_slice(list_sort(list(DISTINCT span_text)), 1, 10), ',') AS top_aliases FROM s GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY page, doc_id, mention_id) AS r FROM s),
+c AS (SELECT entity_id, string_agg(doc_id || ':' || page, ',' ORDER BY r) AS citations, arg_min(filename, r) AS first_seen_doc, min(page) AS first_seen_page, arg_max(filename, r) AS last_seen_doc, arg_max(page, r) AS last_seen_page FROM r WHERE r <= 5 GROUP BY 1)
+SELECT ent.*, mention_count, doc_count, first_seen_doc, first_seen_page, last_seen_doc, last_seen_page, top_aliases, citations FROM ent JOIN n USING (entity_id) JOIN c USING (entity_id)""")
+def profiles_in_scope(spark, sf_dir):
+    """Profiles with aliases and citations of every entity that one case mentions."""
+    g = graph(spark, sf_dir)
+    m = paged_mentions(g).withColumn("alias_text", F.col("span_text")).withColumn("chunk_id", F.col("evidence_id"))
+    got = tools.profile_in_scope(g.entities, m, g.documents, tools.Scope("case", case_ref="1-URGENT"))
+    cited = F.array_join(F.transform("citations", lambda x: F.concat(x["doc_id"], F.lit(":"), x["page"].cast("string"))), ",")
+    return got.withColumns({"top_aliases": F.array_join("top_aliases", ","), "citations": cited})
+
+
 @query(f"WITH {GRAPH}, {MENTIONS} SELECT DISTINCT doc_id FROM men WHERE entity_id = 'S5' AND doc_id IN (SELECT doc_id FROM men WHERE entity_id = 'S6')")
 def cooccurrence_documents(spark, sf_dir):
     return tools.cooccurrence(mentions(graph(spark, sf_dir)), "S5", "S6")
@@ -533,8 +548,7 @@ def _candidates(spark, sf_dir) -> DataFrame:
     """Full-text candidates, and documents that hold an item's whole text as exact ones."""
     fts = _fts(spark, sf_dir, 20).select("query_id", F.lit("fts").alias("source"), "doc_id", "score", F.col("rank").alias("ordinal"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    asked = F.broadcast(_asked(spark, sf_dir).select("query_id", F.col("text").alias("whole")))
-    exact = docs.join(asked, F.contains("text", F.col("whole"))).select("query_id", F.lit("exact").alias("source"), "doc_id", F.lit(1.0).alias("score"), F.col("doc_id").cast("int").alias("ordinal"))
+    exact = retrieve.contained(_asked(spark, sf_dir), docs).select("query_id", F.lit("exact").alias("source"), "doc_id", F.lit(1.0).alias("score"), F.col("doc_id").cast("int").alias("ordinal"))
     both = fts.unionByName(exact).withColumn("doc_id", F.col("doc_id").cast("string"))
     none = F.lit(None).cast("string")
     return both.withColumn("key", retrieve.result_key(F.col("source"), none, none, none, F.col("doc_id"), F.col("ordinal")))
@@ -562,7 +576,7 @@ def document_coverage(spark, sf_dir):
 def eval_recall(spark, sf_dir):
     ranked = retrieve.fuse(_candidates(spark, sf_dir))
     top = ranked.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rank_score"), "key"))).where("r <= 5")
-    expected = _candidates(spark, sf_dir).where("source = 'exact'").select("query_id", "doc_id").distinct()
+    expected = retrieve.contained(_asked(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text")).select("query_id", F.col("doc_id").cast("string").alias("doc_id")).distinct()
     return claims.recall(expected, top)
 
 
@@ -608,238 +622,6 @@ def latency_percentiles(spark, sf_dir):
     return ends.join(found, "event_type").select("event_type", F.round("p50", 6).alias("p50"), "least", "most", "p95")
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS thread_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS text_md5, count(*) AS messages FROM conversations GROUP BY conv_id")
-def page_text_reassembly(spark, sf_dir):
-    t = projection.threads(spark, sf_dir)
-    joined = tools.page_text(t, ["thread_id"], F.col("page"))
-    return joined.join(t.groupBy("thread_id").agg(F.count(F.lit(1)).alias("messages")), "thread_id").select("thread_id", F.md5("text").alias("text_md5"), "messages")
-
-
-@query("SELECT user_id, event_id, ts, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
-def latest_event_per_user(spark, sf_dir):
-    return store.latest(table(spark, sf_dir, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "ts", "event_type")
-
-
-@query("SELECT event_id, ts, user_id, event_type FROM events WHERE event_type = 'error' AND value > 10 ORDER BY ts DESC NULLS LAST, event_id LIMIT 200")
-def ingestion_events_filtered(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where((F.col("event_type") == "error") & (F.col("value") > 10))
-    return e.orderBy(F.desc_nulls_last("ts"), "event_id").limit(200).select("event_id", "ts", "user_id", "event_type")
-
-
-@query("SELECT d.doc_id, source, coalesce(l.quality = 1, false) AS reviewed, coalesce(l.toxic, 0) AS flag, l.doc_id IS NULL OR l.quality = 0 AS queued FROM documents d LEFT JOIN labels l USING (doc_id)")
-def review_queue(spark, sf_dir):
-    lab = table(spark, sf_dir, "labels")
-    out = table(spark, sf_dir, "documents").select("doc_id", "source").join(lab, "doc_id", "left")
-    return out.select("doc_id", "source", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("reviewed"), F.coalesce("toxic", F.lit(0)).alias("flag"), (F.col("quality").isNull() | (F.col("quality") == 0)).alias("queued"))
-
-
-@query("SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS supersedes FROM orders")
-def supersede_chain(spark, sf_dir):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.lag("o_orderkey").over(w).alias("supersedes"))
-
-
-# --- text ---
-
-EMAIL = extract.default_registry().types["EMAIL"].pattern
-IP = extract.default_registry().types["IP_ADDRESS"].pattern
-
-
-def _rule(spark, sf_dir, pattern):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.posexplode(extract.rule_texts(F.col("text"), pattern)).alias("position", "mention"))
-
-
-@query(f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS position, m[i] AS mention FROM (SELECT doc_id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{EMAIL}', 1) AS m FROM documents))")
-def rule_mentions_email(spark, sf_dir):
-    return _rule(spark, sf_dir, EMAIL)
-
-
-@query(f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS position, m[i] AS mention FROM (SELECT doc_id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{IP}', 1) AS m FROM documents))")
-def rule_mentions_ip(spark, sf_dir):
-    return _rule(spark, sf_dir, IP)
-
-
-@query()
-def rule_mentions_all(spark, sf_dir):
-    """All rules with offsets over every document's windows."""
-    found = extract.mentions(projection.text_chunks(spark, sf_dir).select("chunk_id", "text"))
-    return found.select("chunk_id", F.explode("mentions").alias("m")).select("chunk_id", "m.*")
-
-
-@query()
-def relation_candidates(spark, sf_dir):
-    found = extract.relations(extract.mentions(projection.text_chunks(spark, sf_dir).select("chunk_id", "text")))
-    return found.select("chunk_id", F.explode("relations").alias("r")).select("chunk_id", "r.source", "r.target", "r.relation_type", "r.confidence", "r.method")
-
-
-@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)(\\[redacted\\]|\\bredacted\\b|█{2,}|■{2,}|_{6,}|-{6,})')) AS BIGINT) AS redaction_count, len(regexp_extract_all(text, '(?i)(\\[redacted\\]|\\bredacted\\b|█{2,}|■{2,}|_{6,}|-{6,})')) > 0 AS evidence_gap FROM documents")
-def redaction_quality(spark, sf_dir):
-    n = text.redactions(F.col("text")).cast("long")
-    return table(spark, sf_dir, "documents").select("doc_id", n.alias("redaction_count"), (n > 0).alias("evidence_gap"))
-
-
-@query("SELECT c_custkey, '+44' || lpad(CAST(7700000000 + c_custkey AS VARCHAR), 10, '0') AS phone, array_to_string(list_transform(string_split(lower('Smith-' || (c_custkey % 7)), ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS dummy FROM customer")
-def normalise_phone(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    raw = F.concat(F.lit("0"), F.substring((F.lit(7700000000) + F.col("c_custkey")).cast("string"), 1, 4), F.lit(" "), F.substring((F.lit(7700000000) + F.col("c_custkey")).cast("string"), 5, 3), F.lit("-"), F.substring((F.lit(7700000000) + F.col("c_custkey")).cast("string"), 8, 3))
-    person = normalise.person(F.concat(F.lit("Dr SMITH-"), (F.col("c_custkey") % 7).cast("string")))
-    return c.select("c_custkey", normalise.phone_e164(raw).alias("phone"), person.alias("dummy"))
-
-
-@query("SELECT p_partkey, upper(replace(p_brand, '#', '')) AS brand, replace(upper(p_type), ' ', '_') AS kind, lower(p_name) AS name FROM part")
-def normalise_names(spark, sf_dir):
-    n = lambda c, t: normalise.normalise(F.col(c), F.lit(t))
-    return table(spark, sf_dir, "part").select("p_partkey", n("p_brand", "CASE_REF").alias("brand"), n("p_type", "CASE_REF").alias("kind"), n("p_name", "EMAIL").alias("name"))
-
-
-@query("WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT x.name AS a, y.name AS b, round(jaro_winkler_similarity(x.name, y.name), 6) AS score FROM n x JOIN n y ON x.name < y.name WHERE jaro_winkler_similarity(x.name, y.name) >= 0.88")
-def similar_names(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.lit("PART").alias("entity_type"), F.col("p_name").alias("name"))
-    return resolve.similar_pairs(names).select("a", "b", F.round("score", 6).alias("score"))
-
-
-@query()
-def resolve_jaro_winkler(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.lit("PART").alias("entity_type"), F.col("p_name").alias("name"), F.col("p_partkey").alias("seen"))
-    return resolve.resolve(names)
-
-
-@query(r"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \t\r\n\f]+', ' ', 'g'))) AS text_md5 FROM pages""")
-def html_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(text.html_text(F.col("html"))).alias("text_md5"))
-
-
-# --- retrieval ---
-
-
-@query("SELECT 'C' || c_custkey AS entity_id, c_name AS alias_text, 1.0::DOUBLE AS score FROM customer WHERE lower(c_name) IN ('customer#000000007', 'customer#000000011')")
-def exact_lookup(spark, sf_dir):
-    g = graph(spark, sf_dir)
-    aliases = g.entities.select("entity_id", F.col("canonical_name").alias("alias_text"), F.concat_ws("/", "entity_id", F.lit("0")).alias("alias_id"))
-    return retrieve.exact_lookup(aliases, g.entities, ["Customer#000000007", "CUSTOMER#000000011"]).select("entity_id", "alias_text", "score")
-
-
-BM25 = """
-tk AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
-st AS (SELECT count(*) AS n, avg(len(t)) AS al FROM tk),
-po AS (SELECT term, doc_id, len, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM tk) GROUP BY 1, 2, 3),
-dq AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark),
-df AS (SELECT term, count(*) AS df FROM po GROUP BY term),
-sc AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / al))), 6) AS score FROM po JOIN df USING (term) JOIN dq USING (term) CROSS JOIN st GROUP BY 1, 2),
-fts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 20)
-"""
-
-
-def _asked(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-
-
-def _fts(spark, sf_dir, k):
-    return retrieve.bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), _asked(spark, sf_dir), k)
-
-
-@query(f"WITH {BM25} SELECT query_id, doc_id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM fts WHERE rank <= 10")
-def bm25_topk(spark, sf_dir):
-    return _fts(spark, sf_dir, 10).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
-
-
-def _asked_vectors(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-
-
-_VEC = "SELECT query_id, vec_id, distance, CAST(rank AS INTEGER) AS rank, round(1 / (1 + greatest(distance, 0)), 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round({}, 6) AS distance FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0)) WHERE rank <= 10"
-
-
-@query(_VEC.format("power(list_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 2)"))
-def vector_topk_l2(spark, sf_dir):
-    return retrieve.vector_top(table(spark, sf_dir, "embeddings"), _asked_vectors(spark, sf_dir), 10)
-
-
-@query(_VEC.format("1 - list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"))
-def vector_topk_cosine(spark, sf_dir):
-    return retrieve.vector_top(table(spark, sf_dir, "embeddings"), _asked_vectors(spark, sf_dir), 10, "cosine")
-
-
-def _candidates(spark, sf_dir) -> DataFrame:
-    """Full-text candidates, and documents that hold an item's whole text as exact ones."""
-    fts = _fts(spark, sf_dir, 20).select("query_id", F.lit("fts").alias("source"), "doc_id", "score", F.col("rank").alias("ordinal"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    asked = F.broadcast(_asked(spark, sf_dir).select("query_id", F.col("text").alias("whole")))
-    exact = docs.join(asked, F.contains("text", F.col("whole"))).select("query_id", F.lit("exact").alias("source"), "doc_id", F.lit(1.0).alias("score"), F.col("doc_id").cast("int").alias("ordinal"))
-    both = fts.unionByName(exact).withColumn("doc_id", F.col("doc_id").cast("string"))
-    none = F.lit(None).cast("string")
-    return both.withColumn("key", retrieve.result_key(F.col("source"), none, none, none, F.col("doc_id"), F.col("ordinal")))
-
-
-CANDIDATES = f"""{BM25},
-ca AS (SELECT query_id, 'fts' AS source, doc_id, score, rank AS ordinal, 0.9::DOUBLE AS w, 1 AS pr FROM fts
-  UNION ALL SELECT item_id, 'exact', doc_id, 1.0::DOUBLE, doc_id, 1.1::DOUBLE, 3 FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
-rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, ordinal) AS r FROM ca),
-fu AS (SELECT query_id, 'chunk:' || doc_id AS key, CAST(doc_id AS VARCHAR) AS doc_id, round(sum(w / (60 + r)), 9) AS rank_score, count(*) AS evidence_count, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM rk GROUP BY query_id, doc_id)
-"""
-
-
-@query(f"WITH {CANDIDATES} SELECT query_id, key, doc_id, rank_score, evidence_count, sources FROM fu")
-def rrf_fusion(spark, sf_dir):
-    return retrieve.fuse(_candidates(spark, sf_dir)).select("query_id", "key", "doc_id", "rank_score", "evidence_count", F.array_join("supporting_sources", ",").alias("sources"))
-
-
-@query()
-def document_coverage(spark, sf_dir):
-    return retrieve.cover_documents(retrieve.fuse(_candidates(spark, sf_dir)), top_n=5, least_docs=4)
-
-
-@query(f"WITH {CANDIDATES}, ex AS (SELECT item_id AS query_id, CAST(doc_id AS VARCHAR) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), g AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank_score DESC, key) AS r FROM fu) WHERE r <= 5) SELECT ex.query_id, round(count(g.doc_id) / count(*), 4) AS recall FROM ex LEFT JOIN g ON g.query_id = ex.query_id AND g.doc_id = ex.doc_id GROUP BY ex.query_id")
-def eval_recall(spark, sf_dir):
-    ranked = retrieve.fuse(_candidates(spark, sf_dir))
-    top = ranked.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rank_score"), "key"))).where("r <= 5")
-    expected = _candidates(spark, sf_dir).where("source = 'exact'").select("query_id", "doc_id").distinct()
-    return claims.recall(expected, top)
-
-
-# --- claims ---
-
-
-@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, 1 AS page, md5(text) AS text_md5 FROM documents WHERE regexp_matches(text, '(?i)\\b(?:denied|no\\s+link|idiot|worthless)\\b') ORDER BY doc_id, page, text LIMIT 20")
-def negative_evidence(spark, sf_dir):
-    rows = projection.text_documents(spark, sf_dir)
-    return claims.negative_evidence(rows, pattern=r"(?i)\b(?:denied|no\s+link|idiot|worthless)\b").select("doc_id", "page", F.md5("text").alias("text_md5"))
-
-
-_STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
-_SET = f"list_distinct(list_filter(regexp_extract_all(lower({{}}), '[a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ({_STOP})))"
-
-
-@query(f"WITH c AS (SELECT item_id, 'It is not known that ' || text AS claim, {_SET.format("'It is not known that ' || text")} AS a FROM benchmark), d AS (SELECT doc_id, {_SET.format('text')} AS b FROM documents) SELECT item_id, doc_id FROM c JOIN d ON len(a) > 0 AND len(list_intersect(a, b)) >= 0.45 * len(a)")
-def denied_claims(spark, sf_dir):
-    """Claims that something is not known, with all documents that share enough of their words."""
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("It is not known that "), "text").alias("claim"))
-    return claims.denied(asked, table(spark, sf_dir, "documents"), carry=("doc_id",)).select("item_id", "doc_id")
-
-
-@query(f"WITH {BM25}, p AS (SELECT item_id, d.doc_id, b.text AS c, d.text AS e FROM fts JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = fts.doc_id WHERE rank <= 10), x AS (SELECT item_id, doc_id, {_SET.format('c')} AS a, {_SET.format('e')} AS b, list_filter(string_split_regex(trim(lower(c)), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: length(w) > 3) AS ws, lower(e) AS j FROM p), y AS (SELECT item_id, doc_id, CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(a) END AS overlap, CASE WHEN len(ws) = 0 THEN 0.0 ELSE len(list_filter(ws, lambda w: contains(j, w))) / len(ws) END AS ratio FROM x) SELECT item_id, doc_id, round(overlap, 6) AS overlap, CASE WHEN ratio >= 0.8 THEN 'SUPPORTED' WHEN ratio >= 0.4 THEN 'PARTIALLY_SUPPORTED' ELSE 'UNSUPPORTED' END AS status FROM y")
-def claim_support_overlap(spark, sf_dir):
-    """Each item as a claim against each of the ten documents that full-text search finds for it."""
-    b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    found = _fts(spark, sf_dir, 10).select(F.col("query_id").alias("item_id"), "doc_id")
-    p = found.join(b.select("item_id", F.col("text").alias("claim")), "item_id").join(d.select("doc_id", F.col("text").alias("e")), "doc_id")
-    out = claims.validate(p.withColumn("spans", F.array("e")))
-    return out.select("item_id", "doc_id", F.round(text.overlap_ratio(F.col("claim"), F.col("e")), 6).alias("overlap"), "status")
-
-
-# --- events, threads, files ---
-
-
-@query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, min(value) AS least, max(value) AS most, max(CASE WHEN k = CAST(floor((n - 1) * 0.95 + 0.5) AS BIGINT) + 1 THEN value END) AS p95 FROM r GROUP BY event_type")
-def latency_percentiles(spark, sf_dir):
-    """p95 is the value at the nearest rank, the others as usual."""
-    w = Window.partitionBy("event_type")
-    r = table(spark, sf_dir, "events").select("event_type", "value").withColumn("k", F.row_number().over(w.orderBy("value"))).withColumn("n", F.count(F.lit(1)).over(w))
-    at = F.floor((F.col("n") - 1) * 0.95 + 0.5) + 1
-    return r.groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.min("value").alias("least"), F.max("value").alias("most"), F.max(F.when(F.col("k") == at, F.col("value"))).alias("p95"))
-
-
 @query("SELECT CAST(conv_id AS VARCHAR) AS thread_id, CAST(turn + 1 AS INTEGER) AS page, md5('Thread: ' || conv_id || chr(10) || 'From: ' || role || chr(10) || chr(10) || text) AS text_md5, md5(CASE WHEN length(text) > 220 THEN rtrim(substr(text, 1, 217)) || '...' ELSE text END) AS excerpt_md5 FROM conversations")
 def thread_messages(spark, sf_dir):
     t = projection.threads(spark, sf_dir)
@@ -885,7 +667,6 @@ def vehicle_track_like(spark, sf_dir):
     return near.select(F.col("node").alias("vehicle"), F.col("neighbour").alias("place"), "rel_id").orderBy("vehicle", "rel_id").limit(500)
 
 
-PAGED = "men AS (SELECT s AS entity_id, evidence_id || '/' || s AS mention_id, doc_id, page, span_text FROM ev UNION ALL SELECT t, evidence_id || '/' || t, doc_id, page, span_text FROM ev)"
 
 
 def paged_mentions(g: projection.Graph) -> DataFrame:
@@ -1004,10 +785,22 @@ _BOX = "SELECT p_partkey // 10 AS frame_id, p_partkey AS id, (p_partkey * 37) %
 
 @query(f"WITH b AS ({_BOX}), p AS (SELECT a.frame_id, a.id AS a, b.id AS b, least(a.confidence, b.confidence) AS confidence, a.x1 <= b.x1 AND a.y1 <= b.y1 AND a.x2 >= b.x2 AND a.y2 >= b.y2 AS c, b.x1 <= a.x1 AND b.y1 <= a.y1 AND b.x2 >= a.x2 AND b.y2 >= a.y2 AS i, sqrt(power((a.x1 + a.x2) / 2.0 - (b.x1 + b.x2) / 2.0, 2) + power((a.y1 + a.y2) / 2.0 - (b.y1 + b.y2) / 2.0, 2)) / sqrt(640.0 * 640 + 480.0 * 480) <= 0.22 AS n FROM b a JOIN b b ON a.frame_id = b.frame_id AND a.id < b.id) SELECT frame_id, a, b, CASE WHEN c THEN 'CONTAINS' WHEN i THEN 'INSIDE' ELSE 'NEAR' END AS relation_type, confidence FROM p WHERE c OR i OR n")
 def spatial_relations(spark, sf_dir):
+    return media.spatial_relations(_boxes(spark, sf_dir))
+
+
+def _boxes(spark, sf_dir) -> DataFrame:
+    """Parts as boxes in frames of ten."""
     k = F.col("p_partkey")
     x, y = (k * 37) % 400, (k * 53) % 300
-    boxes = table(spark, sf_dir, "part").select(F.expr("p_partkey div 10").alias("frame_id"), k.alias("detection_id"), x.alias("x1"), y.alias("y1"), (x + 20 + k % 180).alias("x2"), (y + 20 + k % 160).alias("y2"), ((50 + k % 50) / 100).alias("confidence"), F.lit(640.0).alias("width"), F.lit(480.0).alias("height"))
-    return media.spatial_relations(boxes)
+    return table(spark, sf_dir, "part").select(F.expr("p_partkey div 10").alias("frame_id"), k.alias("detection_id"), x.alias("x1"), y.alias("y1"), (x + 20 + k % 180).alias("x2"), (y + 20 + k % 160).alias("y2"), ((50 + k % 50) / 100).alias("confidence"), F.lit(640.0).alias("width"), F.lit(480.0).alias("height"))
+
+
+@query()
+def merged_detections(spark, sf_dir):
+    """Parts as overlapping detections of four labels in frames of a hundred; tested against the sequential rule."""
+    label = F.get(F.array(*[F.lit(x) for x in ("gun", "firearm", "car", "knife")]), F.expr("detection_id div 7 % 4").cast("int"))
+    boxes = _boxes(spark, sf_dir).withColumns({"label": label, "frame_id": F.expr("frame_id div 10"), **{c: F.expr(f"cast({c} div 20 * 20 as double)") for c in ("x1", "y1", "x2", "y2")}})
+    return media.merge_detections(boxes.withColumn("priority", media.is_priority(F.col("label")))).select("frame_id", "detection_id", "label", "confidence", "priority")
 
 
 @query("WITH d AS (SELECT event_id, value AS d, CASE WHEN value > 2 THEN least(0.4::DOUBLE, value * 0.03::DOUBLE) ELSE 0.0::DOUBLE END AS m FROM events WHERE value > 0), t AS (SELECT event_id, floor((m + (d - 2 * m) / 7 * k) * 1000 + 0.5) / 1000 AS t, k FROM d, range(0, 8) r(k)) SELECT event_id, count(DISTINCT t) AS frames, max(t) AS last_time, min(t) AS first_time FROM t GROUP BY event_id")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,28 +14,82 @@ def frame_times(duration: Column, n: int = 8) -> Column:
     return F.when(F.coalesce(duration, F.lit(0.0)) <= 0, F.array(F.lit(0.0))).otherwise(F.array_distinct(times))
 
 
-def iou(a: dict, b: dict) -> float:
-    w = min(a["x2"], b["x2"]) - max(a["x1"], b["x1"])
-    h = min(a["y2"], b["y2"]) - max(a["y1"], b["y1"])
-    if w <= 0 or h <= 0:
-        return 0.0
-    area = lambda x: (x["x2"] - x["x1"]) * (x["y2"] - x["y1"])
-    return w * h / (area(a) + area(b) - w * h)
+# Label words of the two families, and labels that name no family's member.
+FIREARMS = ("gun", "firearm", "pistol", "revolver", "rifle", "shotgun")
+BLADES = ("knife", "blade", "machete", "dagger")
+GENERIC = ("weapon", "firearm")
+PRIORITY = (
+    "person", "vehicle", "car", "van", "truck", "motorcycle", "bicycle", "boat", "airplane", "suitcase", "backpack", "bag", "handbag", "knife", "gun", "firearm", "rifle", "pistol",
+    "shotgun", "weapon", "baton", "mask", "helmet",
+)
 
 
-def merge_detections(detections: DataFrame, least_iou: float = 0.55) -> DataFrame:
-    """Of detections of a frame with one label that overlap, the one of highest priority and confidence."""
+def plain_label(label: Column) -> Column:
+    """Lower case, with single spaces for runs of spaces, underscores and hyphens."""
+    low = F.lower(F.trim(F.coalesce(label, F.lit(""))))
+    return F.regexp_replace(F.regexp_replace(low, r"[_\-]+", " "), r"\s+", " ")
+
+
+def label_family(label: Column) -> Column:
+    """``firearm`` or ``blade`` where a word says so, ``weapon`` for a generic label, else the label itself."""
+    words = F.split(F.trim(plain_label(label)), " ")
+    has = lambda values: F.arrays_overlap(words, F.array(*[F.lit(v) for v in values]))
+    return F.when(has(FIREARMS), "firearm").when(has(BLADES), "blade").when(plain_label(label).isin(*GENERIC), "weapon").otherwise(plain_label(label))
+
+
+def is_priority(label: Column, labels: tuple[str, ...] = PRIORITY) -> Column:
+    return plain_label(label).isin(*labels) | label_family(label).isin("firearm", "blade", "weapon")
+
+
+def iou(a: Column, b: Column) -> Column:
+    """Shared area of two boxes in the area of both; 0 where there is none."""
+    side = lambda c: F.greatest(F.lit(0.0), F.least(a[f"{c}2"], b[f"{c}2"]) - F.greatest(a[f"{c}1"], b[f"{c}1"]))
+    area = lambda x: F.greatest(F.lit(0.0), x["x2"] - x["x1"]) * F.greatest(F.lit(0.0), x["y2"] - x["y1"])
+    shared = side("x") * side("y")
+    whole = area(a) + area(b) - shared
+    return F.when(whole > 0, shared / whole).otherwise(F.lit(0.0))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        rows = frame.sort_values(["priority", "confidence", "detection_id"], ascending=[False, False, True]).reset_index(drop=True)
-        held = rows.to_dict("records")
-        for i, r in enumerate(held):
-            if not any(held[k]["label"] == r["label"] and iou(held[k], r) >= least_iou for k in kept):
-                kept.append(i)
-        return rows.loc[kept]
 
-    return detections.groupBy("frame_id").applyInPandas(run, detections.schema)
+def merge_detections(detections: DataFrame, least_iou: float = 0.55) -> DataFrame:
+    """One detection for those of a frame and family that overlap, in the order of priority, confidence and id.
+
+    Each joins the first kept one of its family that it overlaps enough; of the two the one that is a priority object, names a
+    family's member rather than something generic, has the longer label, or the higher confidence stays, with the priority
+    of either and the sources of both. A fold over a frame's detections in built-in functions.
+    detections: ``frame_id, detection_id, label, confidence, priority, x1, y1, x2, y2`` and maybe ``source``. Those without
+    a whole box go.
+    """
+    box = ["x1", "y1", "x2", "y2"]
+    rows = detections.dropna(subset=box) if "source" in detections.columns else detections.dropna(subset=box).withColumn("source", F.lit("").cast("string"))
+    other = [c for c in rows.columns if c not in ("frame_id", "priority", "confidence", "source")]
+    plain = plain_label(F.col("label"))
+    family = label_family(F.col("label"))
+    rows = rows.select("frame_id", F.struct(
+        F.coalesce(F.col("priority").cast("int"), F.lit(0)).alias("priority"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), *other,
+        F.filter(F.split(F.coalesce("source", F.lit("")), r"\+"), lambda x: F.trim(x) != "").alias("source"), family.alias("_family"),
+        (family.isin("firearm", "blade") | ~plain.isin(*GENERIC)).cast("int").alias("_names"), F.length(F.replace(plain, F.lit(" "), F.lit(""))).alias("_long"),
+    ).alias("d"))
+
+    def before(a: Column, b: Column) -> Column:
+        first = lambda x, y, then: F.when(x > y, -1).when(x < y, 1).otherwise(then)
+        return first(a["priority"], b["priority"], first(a["confidence"], b["confidence"], first(b["detection_id"], a["detection_id"], F.lit(0))))
+
+    def better(kept: Column, new: Column) -> Column:
+        order = lambda d: F.struct(F.when(d["priority"] > 0, 1).otherwise(0), d["_names"], d["_long"], d["confidence"])
+        sources = F.array_sort(F.array_union(kept["source"], new["source"]))
+        won = F.when(order(new) > order(kept), new).otherwise(kept)
+        return won.withField("source", sources).withField("priority", F.greatest(kept["priority"], new["priority"]))
+
+    def take(held: Column, new: Column) -> Column:
+        meets = F.transform(held, lambda k: (k["_family"] == new["_family"]) & (iou(k, new) >= least_iou))
+        at = F.coalesce(F.array_position(meets, F.lit(True)).cast("int"), F.lit(0))
+        return F.when(at == 0, F.concat(held, F.array(new))).otherwise(F.transform(held, lambda k, i: F.when(i == at - 1, better(k, new)).otherwise(k)))
+
+    lists = rows.groupBy("frame_id").agg(F.array_sort(F.collect_list("d"), before).alias("ds"))
+    merged = lists.select("frame_id", F.explode(F.aggregate("ds", F.slice("ds", 1, 0), take)).alias("d")).select("frame_id", "d.*")
+    types = dict(detections.dtypes)
+    out = merged.withColumns({"source": F.array_join("source", "+"), "priority": F.col("priority").cast(types["priority"])})
+    return out.select(*detections.columns)
 
 
 def spatial_relations(boxes: DataFrame, near: float = 0.22) -> DataFrame:
@@ -57,11 +110,38 @@ def position_text(x: Column, y: Column) -> Column:
     """Where a centre (in shares of the frame) lies, in thirds."""
     across = F.when(x < 0.34, "left").when(x > 0.66, "right").otherwise("centre")
     down = F.when(y < 0.34, "upper").when(y > 0.66, "lower").otherwise("middle")
-    return F.when((across == "centre") & (down == "middle"), F.lit("centre")).otherwise(F.concat_ws(" ", down, across))
+    return F.when((across == "centre") & (down == "middle"), F.lit("near the centre of the frame")).otherwise(F.concat(F.lit("in the "), down, F.lit(" "), across, F.lit(" of the frame")))
 
 
 def scale_text(share: Column) -> Column:
-    return F.when(share >= 0.30, "large").when(share >= 0.08, "medium").otherwise("small")
+    return F.when(share >= 0.30, "large").when(share >= 0.08, "medium-sized").otherwise("small")
+
+
+def describe_frames(frames: DataFrame, detections: DataFrame) -> DataFrame:
+    """``frame_id, description``: the four most frequent labels, priority items, and where the first three objects are.
+
+    frames: ``frame_id, media_name, frame_index, timestamp_seconds, width, height``; detections of a frame count in the order
+    of priority, confidence and id.
+    """
+    w, h = F.greatest(F.col("width").cast("double"), F.lit(1.0)), F.greatest(F.col("height").cast("double"), F.lit(1.0))
+    d = detections.join(frames.select("frame_id", "width", "height"), "frame_id")
+    share = F.greatest(F.lit(0.0), (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))) / F.greatest(F.lit(1.0), F.col("width").cast("double") * F.col("height").cast("double"))
+    kind = F.when(F.col("priority").cast("int") > 0, "priority object").otherwise("object")
+    source = F.coalesce(F.when(F.col("source") != "", F.col("source")), F.lit("unknown")) if "source" in detections.columns else F.lit("unknown")
+    where = position_text((F.col("x1") + F.col("x2")) / 2 / w, (F.col("y1") + F.col("y2")) / 2 / h)
+    label = F.coalesce(F.when(F.col("label") != "", F.col("label")), F.lit("object"))
+    fact = F.concat(label, F.lit(" ("), F.format_string("%.2f", F.bround(F.col("confidence").cast("double"), 2)), F.lit(", "), kind, F.lit(", "), scale_text(share), F.lit(", "), where, F.lit(", detector="), source, F.lit(")"))
+    d = d.select("frame_id", F.struct((-F.col("priority").cast("int")).alias("p"), (-F.col("confidence")).alias("c"), "detection_id", label.alias("label"), fact.alias("fact")).alias("d"))
+    per = d.groupBy("frame_id").agg(F.array_sort(F.collect_list("d")).alias("ds"))
+    labels = F.transform("ds", lambda x: x["label"])
+    counted = F.transform(F.array_distinct(labels), lambda x, i: F.struct((-F.size(F.filter(labels, lambda y: y == x))).alias("n"), i.alias("i"), x.alias("label")))
+    some = F.transform(F.slice(F.array_sort(counted), 1, 4), lambda x: F.concat((-x["n"]).cast("string"), F.lit(" "), x["label"], F.when(x["n"] == -1, "").otherwise("s")))
+    facts = F.transform(F.slice("ds", 1, 3), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["fact"]))
+    first = F.array_distinct(F.transform(F.filter("ds", lambda x: x["p"] < 0), lambda x: x["label"]))
+    named = F.concat(F.lit("Frame "), (F.col("frame_index") + 1).cast("string"), F.lit(" of "), F.col("media_name"), F.when(F.col("timestamp_seconds") > 0, F.concat(F.lit(" at "), F.format_string("%.1f", F.bround(F.col("timestamp_seconds").cast("double"), 1)), F.lit("s"))).otherwise(F.lit("")))
+    flagged = F.when(F.size(first) > 0, F.concat(F.lit(" Priority items noted: "), F.array_join(first, ", "), F.lit("."))).otherwise(F.lit(""))
+    shown = F.concat(named, F.lit(" shows "), F.array_join(some, ", "), F.lit("."), flagged, F.lit(" Key placements: "), F.array_join(facts, "; "), F.lit("."))
+    return frames.join(per, "frame_id", "left").select("frame_id", F.when(F.col("ds").isNull(), F.concat(named, F.lit(" contains no confident object detections."))).otherwise(shown).alias("description"))
 
 
 def media_graph(assets: DataFrame, frames: DataFrame, detections: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from casewright import config
+from casewright.session import written
 
 #: Plates, long numbers and case names that a query names exactly.
 EXACT = r"\b[A-Z]{2}\d{2}\s?[A-Z]{3}\b|\+?\d[\d\s]{8,}\d|OP[_\-\s]?[A-Z0-9]+\b"
@@ -46,6 +47,48 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = config.BM25_K1
     return _top(scored, "query_id", "score", "doc_id", k)
 
 
+def contained(items: DataFrame, docs: DataFrame, gram: int = 3, most_sent: int = 500_000) -> DataFrame:
+    """``query_id, doc_id``: the documents whose text contains an item's whole text. items: query_id, text; docs: doc_id, text.
+
+    Where an item occurs, its words but the first and last stand in the document as whole words. So each item is looked up by
+    ``gram`` consecutive inner words, of all its grams the one that the fewest documents have, and what is found is verified.
+    Items with fewer inner words are looked up by one; those without are short, and only they are held against
+    every text. An empty item is in no text.
+    """
+    words = lambda c: F.array_remove(F.split(F.coalesce(c, F.lit("")), r"\s+"), "")
+    asked = written(items.select("query_id", F.col("text").alias("whole")).where("whole != ''").withColumn("w", words(F.col("whole"))))
+    inner = F.slice("w", F.lit(2), F.greatest(F.lit(0), F.size("w") - 2))
+    asked = asked.select("query_id", "whole", inner.alias("w"))
+
+    def grams(of: DataFrame, w: Column, n: int) -> Column:
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
+
+    found = None
+    for n, part in ((gram, asked.where(F.size("w") >= gram)), (1, asked.where((F.size("w") > 0) & (F.size("w") < gram)))):
+        if part.isEmpty():
+            continue
+        keys = part.select("query_id", F.explode(F.array_distinct(grams(part, F.col("w"), n))).alias("gram"))
+        wanted = keys.select("gram").distinct()
+        wanted = F.broadcast(wanted) if wanted.count() <= most_sent else wanted
+        split = docs.select("doc_id", words(F.col("text")).alias("w"))
+        hits = written(split.select("doc_id", F.explode(F.array_distinct(grams(split, F.col("w"), n))).alias("gram")).join(wanted, "gram", "left_semi"))
+        often = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        # a gram that no document has rules its item out
+        rarest = keys.join(often, "gram", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+        met = rarest.where("r.n > 0").select("query_id", F.col("r.gram").alias("gram")).join(hits, "gram").select("query_id", "doc_id")
+        found = met if found is None else found.unionByName(met)
+    spark = docs.sparkSession
+    found = spark.createDataFrame([], items.select("query_id").join(docs.select("doc_id"), F.lit(False)).schema) if found is None else found
+    sure = found.distinct().join(asked.select("query_id", "whole"), "query_id").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("whole"))).select("query_id", "doc_id")
+    short = asked.where(F.size("w") == 0).select("query_id", "whole")
+    if short.isEmpty():
+        return sure
+    if short.count() > 10_000:
+        raise ValueError("over 10,000 items without an inner word")
+    return sure.unionByName(docs.select("doc_id", "text").join(F.broadcast(short), F.contains("text", F.col("whole"))).select("query_id", "doc_id"))
+
+
 def _top(scored: DataFrame, by: str, score: str, tie: str, k: int, ascending: bool = False) -> DataFrame:
     order = F.asc(score) if ascending else F.desc(score)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(order, tie))).where(F.col("rank") <= k)
@@ -136,14 +179,20 @@ def fuse(candidates: DataFrame, weights: dict[str, float] | None = None, k: int
     return merged.select("query_id", "key", rrf.alias("rank_score"), *plain, F.col("best.priority").alias("priority"), "evidence_count", "supporting_sources", features.alias("score_features"))
 
 
+def ranked_order() -> list[Column]:
+    """The order of what ``fuse`` returns: by rank_score, of equal ones by the source's priority, then base score, then key."""
+    return [F.desc("rank_score"), F.desc("priority"), F.desc("score"), F.asc("key")]
+
+
 def cover_documents(ranked: DataFrame, top_n: int, least_docs: int) -> DataFrame:
     """The top rows of each query, with rows of unseen documents put in for the lowest of documents that have several.
 
-    ranked: ``query_id, key, doc_id, rank_score`` of a bounded number of candidates a query.
+    ranked: ``query_id, key, doc_id, rank_score`` and maybe ``priority, score`` of a bounded number of candidates a query.
     """
+    ties = [c for c in ("priority", "score") if c in ranked.columns]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values(["rank_score", "key"], ascending=[False, True]).reset_index(drop=True)
+        rows = frame.sort_values(["rank_score", *ties, "key"], ascending=[False] * (1 + len(ties)) + [True]).reset_index(drop=True)
         chosen, rest = list(range(min(top_n, len(rows)))), list(range(top_n, len(rows)))
         doc, score = rows["doc_id"].tolist(), rows["rank_score"].tolist()
         for i in rest:
@@ -156,10 +205,10 @@ def cover_documents(ranked: DataFrame, top_n: int, least_docs: int) -> DataFrame
             if not many:
                 break
             chosen[chosen.index(min(many, key=lambda c: (score[c], -c)))] = i
-        return rows.loc[sorted(chosen, key=lambda c: (-score[c], rows["key"][c]))]
+        return rows.loc[sorted(chosen)].drop(columns=ties)
 
-    cols = ranked.select("query_id", "key", "doc_id", "rank_score")
-    return cols.groupBy("query_id").applyInPandas(run, cols.schema)
+    cols = ranked.select("query_id", "key", "doc_id", "rank_score", *ties)
+    return cols.groupBy("query_id").applyInPandas(run, cols.drop(*ties).schema)
 
 
 def recall_mode(mode: str, wants_recall: bool, default: str = "balanced") -> tuple[str, int, int]:

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from casewright.session import written
 
@@ -72,6 +73,54 @@ def entity_profile(entities: DataFrame, mentions: DataFrame, in_scope: DataFrame
     return entities.join(n, "entity_id", "left").fillna(0, ["mention_count", "doc_count"])
 
 
+def resolve_ids(entities: DataFrame, mentions: DataFrame, names: list[str]) -> DataFrame:
+    """``position, entity_id``: everything that the names stand for among the mentions in scope, in order, each entity once.
+
+    A name is an id, or a canonical name or alias in any case; one that is none of these stands for all entities whose name
+    or alias has it in it. Within a name by mentions, documents, id. names: the few that a user asks for.
+    entities: ``entity_id, canonical_name, mention_count``; mentions: ``entity_id, alias_text, doc_id``, in scope already.
+    """
+    asked = [(k, n.strip()) for k, n in enumerate(names) if n and n.strip()]
+    spark = entities.sparkSession
+    few = F.broadcast(spark.createDataFrame(asked, "position int, asked string"))
+    known = mentions.groupBy("entity_id", "alias_text").agg(F.collect_set("doc_id").alias("docs")).join(entities.select("entity_id", "canonical_name", "mention_count"), "entity_id")
+    low = F.lower("asked")
+    said = known.join(few, F.lower("canonical_name").contains(low) | F.lower("alias_text").contains(low) | (F.col("entity_id") == F.col("asked")))
+    exact = (F.col("entity_id") == F.col("asked")) | (F.lower("canonical_name") == low) | (F.lower("alias_text") == low)
+    per = said.groupBy("position", "entity_id", exact.alias("exact")).agg(F.first("mention_count").alias("mention_count"), F.size(F.array_distinct(F.flatten(F.collect_list("docs")))).alias("doc_count"))
+    sure = F.max("exact").over(Window.partitionBy("position"))
+    per = per.withColumn("sure", sure).where("exact = sure")
+    first = F.row_number().over(Window.partitionBy("entity_id").orderBy("position"))
+    per = per.withColumn("first", first).where("first = 1")
+    return per.orderBy("position", F.coalesce("mention_count", F.lit(0)).desc(), F.desc("doc_count"), "entity_id").select("position", "entity_id")
+
+
+def profile_in_scope(entities: DataFrame, mentions: DataFrame, documents: DataFrame, scope: Scope, most: int = 5, most_aliases: int = 10) -> DataFrame:
+    """Profiles of all entities that the scope mentions; one without a mention there has none.
+
+    ``entity_id, canonical_name, entity_type, mention_count, doc_count, first_seen_doc, first_seen_page, last_seen_doc,
+    last_seen_page, top_aliases, citations``. Citations are by page, nulls last and then 0, at most ``most``; first and last
+    seen are the first and last of them. mentions: ``entity_id, mention_id, alias_text, doc_id, page, chunk_id``.
+    """
+    m = scope.rows(mentions, documents)
+    n = m.groupBy("entity_id").agg(F.count_distinct("mention_id").alias("mention_count"), F.count_distinct("doc_id").alias("doc_count"))
+    once = m.select("entity_id", "alias_text").distinct()
+    by_name = F.row_number().over(Window.partitionBy("entity_id").orderBy("alias_text"))
+    aliases = once.where("alias_text is not null").withColumn("r", by_name).where(F.col("r") <= most_aliases).groupBy("entity_id").agg(F.array_sort(F.collect_list("alias_text")).alias("top_aliases"))
+    # the first rows of an entity are kept before the shuffle, so an entity of very many mentions is no large group
+    by_page = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.asc_nulls_last("page"), "doc_id", "mention_id"))
+    cited = m.join(documents.select("doc_id"), "doc_id", "left_semi").withColumn("r", by_page).where(F.col("r") <= most)
+    cited = cited.join(documents.select("doc_id", "filename"), "doc_id")
+    row = F.struct("r", "doc_id", F.col("filename").alias("doc_name"), F.coalesce(F.col("page").cast("int"), F.lit(0)).alias("page"), "chunk_id")
+    citations = cited.groupBy("entity_id").agg(F.array_sort(F.collect_list(row)).alias("c"))
+    out = entities.select("entity_id", "canonical_name", "entity_type").join(n, "entity_id").join(aliases, "entity_id", "left").join(citations, "entity_id", "left")
+    of = lambda at, c: F.try_element_at("c", F.lit(at))[c]
+    return out.select(
+        "entity_id", "canonical_name", "entity_type", "mention_count", "doc_count", of(1, "doc_name").alias("first_seen_doc"), of(1, "page").alias("first_seen_page"), of(-1, "doc_name").alias("last_seen_doc"), of(-1, "page").alias("last_seen_page"),
+        F.coalesce("top_aliases", F.array().cast("array<string>")).alias("top_aliases"), F.transform("c", lambda x: x.dropFields("r")).alias("citations"),
+    )
+
+
 def cooccurrence(mentions: DataFrame, a: str, b: str, unit: str = "doc_id") -> DataFrame:
     """The units where both entities are mentioned."""
     of = lambda e: mentions.where(F.col("entity_id") == e).select(unit).distinct()

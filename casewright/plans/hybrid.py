@@ -97,7 +97,7 @@ def candidates(spark, question: str, parsed: dict, store: Store, scope: tools.Sc
 
 def packet(ranked: DataFrame, store: Store, scope: tools.Scope) -> dict[str, DataFrame]:
     """The bounded evidence that an answer may use."""
-    order = [F.desc("rank_score"), F.asc("key")]
+    order = retrieve.ranked_order()
     of = lambda *sources: ranked.where(F.col("source").isin(list(sources))).orderBy(*order)
     rels = edges.edge_view(store.graph).select("rel_id", "source_name", "target_name", "relation_type", "confidence", "evidence_count")
     graph = of("graph").limit(50).join(rels, "rel_id")
@@ -117,7 +117,7 @@ def run_query(spark, question: str, store: Store, case_ref: str | None = None, d
     scope = tools.Scope("document", doc_ids=doc_ids) if doc_ids else tools.Scope("case", case_ref=case_ref) if case_ref else tools.Scope()
     _, times, least = retrieve.recall_mode(mode, parsed["recall_priority"])
     ranked = retrieve.fuse(candidates(spark, asked, parsed, store, scope, times, query_vector))
-    bounded = ranked.orderBy(F.desc("rank_score"), "key").limit(top_n * max(2, times))
+    bounded = ranked.orderBy(*retrieve.ranked_order()).limit(top_n * max(2, times))
     chosen = retrieve.cover_documents(bounded, top_n, least).select("query_id", "key")
     top = bounded.join(chosen, ["query_id", "key"], "left_semi")
     made = packet(top, store, scope)

@@ -103,4 +103,4 @@ def test_media(spark):
     assert sorted(r.detection_id for r in kept.collect()) == ["a", "c", "d"]
     rel = media.spatial_relations(kept.withColumn("width", F.lit(640.0)).withColumn("height", F.lit(480.0))).collect()
     assert [(r.a, r.b, r.relation_type, r.confidence) for r in rel] == [("a", "c", "CONTAINS", 0.7)]
-    assert spark.range(1).select(media.position_text(F.lit(0.1), F.lit(0.9)), media.position_text(F.lit(0.5), F.lit(0.5)), media.scale_text(F.lit(0.1))).first() == ("lower left", "centre", "medium")
+    assert spark.range(1).select(media.position_text(F.lit(0.1), F.lit(0.9)), media.position_text(F.lit(0.5), F.lit(0.5)), media.scale_text(F.lit(0.1))).first() == ("in the lower left of the frame", "near the centre of the frame", "medium-sized")
