@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,20 +14,38 @@ def read_documents(spark: SparkSession, folder: str, schema, files_per_batch: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def ingest_new(source: DataFrame, sink: str, checkpoint: str, key: str = "source_hash", transform: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Append rows whose key is not in the sink yet. A batch that runs again finds its own rows and adds nothing."""
+def ingest_new(source: DataFrame, sink: str, checkpoint: str, key: str = "source_hash", transform: Callable[[DataFrame], DataFrame] | None = None, ledger: str | None = None, buckets: int = 256) -> StreamingQuery:
+    """Append rows whose key is not in the sink yet; rows without a key are taken as they come.
 
-    def batch(rows: DataFrame, _: int) -> None:
-        spark = rows.sparkSession
-        fresh = rows.dropDuplicates([key])
+    The keys taken so far stand in a ledger beside the sink, by hash bucket, so a batch reads only the buckets that its own
+    keys fall in. Sink and ledger hold each batch under its own name, made of the checkpoint and the batch number: one that
+    runs again after a failure overwrites what it had written and is not held against itself, so nothing is lost or
+    taken twice; a stream with a new checkpoint adds to the same sink only what is new.
+    """
+    ledger = ledger or f"{sink.rstrip('/')}-ledger"
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+    def batch(rows: DataFrame, number: int) -> None:
+        spark, name = rows.sparkSession, f"{run}-{number}"
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        keyed = rows.where(F.col(key).isNotNull()).dropDuplicates([key]).withColumn("_bucket", bucket)
+        # at most ``buckets`` numbers
+        met = [r["_bucket"] for r in keyed.select("_bucket").distinct().collect()]
         try:
-            held = spark.read.parquet(sink).select(key)
+            held = spark.read.schema(f"`{key}` {dict(rows.dtypes)[key]}, batch string, _bucket int").parquet(ledger)
         except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            if "PATH_NOT_FOUND" not in str(e):
                 raise
         else:
-            fresh = fresh.join(held, key, "left_anti")
-        (transform(fresh) if transform else fresh).write.mode("append").parquet(sink)
+            taken = held.where(F.col("_bucket").isin(met) & (F.col("batch") != name)).select(key)
+            keyed = keyed.join(taken, key, "left_anti")
+        keyed = keyed.persist()
+        try:
+            fresh = keyed.drop("_bucket").unionByName(rows.where(F.col(key).isNull()))
+            (transform(fresh) if transform else fresh).write.mode("overwrite").parquet(f"{sink}/batch={name}")
+            keyed.select(key, "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{ledger}/batch={name}")
+        finally:
+            keyed.unpersist()
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
