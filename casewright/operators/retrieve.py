@@ -103,18 +103,79 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+def _apart(a: Column, b: Column) -> Column:
+    return F.sqrt(squared_l2(a, b))
+
+
+def balls(vectors: DataFrame, metric: str = "l2", centres: int = 32, seed: int = 17) -> tuple[DataFrame, DataFrame, list[list[float]]]:
+    """Vectors with their ``ball``, the balls (``ball, size, radius, n``), and the centres: seeded vectors, of any length.
+
+    Each vector belongs to the nearest centre of its own length (0 where there is none, which bounds nothing). For the cosine
+    vectors count as scaled to length 1, and those without a length are left out.
+    """
+    point = F.col("embedding").cast("array<double>")
+    if metric != "l2":
+        vectors = vectors.where(dot(F.col("embedding"), F.col("embedding")) > 0)
+        point = F.transform(point, lambda x: x / F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
+    # at most ``centres`` vectors
+    chosen = [list(r.p) for r in vectors.where("embedding is not null").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(centres).select(point.alias("p")).collect()]
+    placed = vectors.where("embedding is not null").withColumn("point", point)
+    far = F.array(*[F.when(F.size("point") == len(c), _apart(F.col("point"), F.lit(c))).otherwise(F.lit(float("inf"))) for c in chosen]) if chosen else F.array(F.lit(float("inf")))
+    placed = written(placed.withColumn("far", far).withColumn("gap", F.array_min("far")).withColumn("ball", F.when(F.col("gap") < float("inf"), F.array_position("far", F.col("gap")).cast("int")).otherwise(0)).drop("far"))
+    each = placed.groupBy("ball", F.size("point").alias("size")).agg(F.max("gap").alias("radius"), F.count(F.lit(1)).alias("n"))
+    return placed, written(each), chosen
+
+
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", centres: int = 32, part: int = 20_000) -> DataFrame:
     """``query_id, vec_id, distance, similarity, rank``: a stated set of query vectors against all vectors.
 
-    Vectors of another length than the query's are left out. Each task keeps its own best before the shuffle.
+    Vectors lie in balls around seeded centres. A query first meets the ball whose centre is nearest, which bounds its k-th
+    distance; then only balls that can reach inside that bound, by the triangle inequality. Balls of very many vectors are met
+    in parts of about ``part``. Vectors of another length than the query's are left out.
     """
-    pairs = vectors.join(F.broadcast(queries), F.size("embedding") == F.size("query"))
-    if metric == "l2":
-        distance = squared_l2(F.col("embedding"), F.col("query"))
-    else:
-        distance = 1 - dot(F.col("embedding"), F.col("query")) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("query"), F.col("query")))
-    scored = pairs.select("query_id", "vec_id", F.round(distance, 6).alias("distance"))
-    return _top(scored, "query_id", "distance", "vec_id", k, ascending=True).withColumn("similarity", F.round(1 / (1 + F.greatest("distance", F.lit(0.0))), 6))
+    placed, each, chosen = balls(vectors, metric, centres)
+    each = each.withColumn("parts", F.ceil(F.col("n") / part).cast("int"))
+    keyed = placed.withColumn("size", F.size("point")).join(F.broadcast(each.select("ball", "size", "parts")), ["ball", "size"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
+    asks = _bounds(queries, each, chosen, metric)
+
+    def meet(pairs: DataFrame) -> DataFrame:
+        dealt = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        both = dealt.join(keyed.select("ball", "size", "part", "vec_id", "embedding"), ["ball", "size", "part"])
+        if metric == "l2":
+            distance = squared_l2(F.col("embedding"), F.col("query"))
+        else:
+            distance = 1 - dot(F.col("embedding"), F.col("query")) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("query"), F.col("query")))
+        scored = both.select("query_id", "vec_id", F.round(distance, 6).alias("distance"))
+        return _top(scored, "query_id", "distance", "vec_id", k, ascending=True).drop("rank")
+
+    first = written(meet(asks.where("place = 1")))
+    rest = meet(remaining(asks, first, k, metric))
+    found = _top(first.unionByName(rest), "query_id", "distance", "vec_id", k, ascending=True)
+    return found.select("query_id", "vec_id", "distance", "rank").withColumn("similarity", F.round(1 / (1 + F.greatest("distance", F.lit(0.0))), 6))
+
+
+def _bounds(queries: DataFrame, each: DataFrame, chosen: list[list[float]], metric: str) -> DataFrame:
+    """``query_id, query, ball, size, parts, bound, place``: the least distance of a query to a ball's vectors, nearest centres first."""
+    point = F.col("query").cast("array<double>")
+    asked = queries.where("query is not null")
+    if metric != "l2":
+        asked = asked.where(dot(F.col("query"), F.col("query")) > 0)
+        point = F.transform(point, lambda x: x / F.sqrt(dot(F.col("query"), F.col("query"))))
+    far = F.array(F.lit(0.0), *[F.when(F.size("p") == len(c), _apart(F.col("p"), F.lit(c))).otherwise(F.lit(0.0)) for c in chosen])
+    # the balls are at most one for each centre, and one for each length without centre
+    asked = asked.withColumn("p", point).withColumn("far", far).withColumn("size", F.size("p")).join(F.broadcast(each), "size")
+    gap = F.get("far", F.col("ball"))
+    out = asked.withColumn("bound", F.when(F.col("ball") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), gap - F.col("radius"))))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(gap, "ball"))
+    return written(out.withColumn("place", place).select("query_id", "query", "ball", "size", "parts", "bound", "place"))
+
+
+def remaining(asks: DataFrame, first: DataFrame, k: int, metric: str) -> DataFrame:
+    """The further balls that a query has to meet: all while it has no k vectors, else those whose bound reaches its k-th distance."""
+    kth = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"), F.max("distance").alias("kth"))
+    # distances are rounded to six places; a cosine distance is half the square of the distance of the unit vectors
+    reach = F.sqrt(F.greatest(F.lit(0.0), F.col("kth") * (1.0 if metric == "l2" else 2.0)) + F.lit(2e-6)) + F.lit(1e-9) * (1 + F.col("bound"))
+    return asks.where("place > 1").join(kth, "query_id", "left").where((F.coalesce("have", F.lit(0)) < k) | (F.col("bound") <= reach))
 
 
 def result_key(source: Column, rel: Column, entity: Column, doc: Column, chunk: Column, ordinal: Column) -> Column:

@@ -62,3 +62,29 @@ def test_hash_tree(spark):
     assert root(df.unionByName(df.limit(1)))[0].corpus_hash != root(df)[0].corpus_hash and root(df.where("false")) == []
     many = df.limit(1).withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(20_000)))).select("k", "t")
     assert [r.n for r in tools.hash_tree(many, ["k", "t"], leaf=8).collect()] == [20_000]
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_balls_lose_no_neighbour(spark, metric):
+    from casewright.operators import retrieve
+
+    rnd = random.Random(3)
+    centre = [[rnd.gauss(0, 4) for _ in range(5)] for _ in range(6)]
+    rows = [(i, [x + rnd.gauss(0, 0.2) for x in centre[i % 6]]) for i in range(400)] + [(900, [1.0, 2.0]), (901, None), (902, [3.0, 1.0]), *((k, [1.0, 1.0, 1.0, 1.0, 1.0]) for k in range(500, 560))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    for part in (20_000, 25):
+        got = [(r.query_id, r.vec_id, r["rank"]) for r in retrieve.vector_top(vectors, queries, 7, metric, centres=12, part=part).collect()]
+        held = {r.vec_id: list(r.embedding) for r in vectors.where("embedding is not null").collect()}
+        dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+        far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b)) if metric == "l2" else 1 - dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5
+        want = []
+        for q in (v for v in held if v % 20 == 0):
+            near = sorted((round(far(held[v], held[q]), 6) + 0.0, v) for v in held if len(held[v]) == len(held[q]))[:7]
+            want += [(q, v, n) for n, (_, v) in enumerate(near, 1)]
+        assert sorted(got) == sorted(want)
+    # with clusters apart most balls are never met
+    _, each, chosen = retrieve.balls(vectors, metric, 12)
+    asks = retrieve._bounds(queries, each.withColumn("parts", F.lit(1)), chosen, metric)
+    first = retrieve.vector_top(vectors, queries, 7, metric, centres=12).select("query_id", "distance")
+    assert retrieve.remaining(asks, first, 7, metric).count() < 0.5 * asks.count()
