@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from casewright.llm import wordhash
 from casewright.llm.packing import SENT, blobs, exchange, lean, pack
 from casewright.llm.repeats import _by_target, _runs, _targets
-from casewright.llm.shared import broadcast_checked, cut, partitions
+from casewright.llm.shared import broadcast_checked, cut, fresh, partitions
 
 U = np.uint64
 #: Classes of a signature that are paired; more are listed under one class.
@@ -199,7 +199,9 @@ def _meet(sim: Similarity):
         keep = order[new]
         key, size, band, filled = key[keep], size[keep].astype(np.int64), band[keep].astype(np.int64), filled[keep].astype(np.int64)
         # one entry for a signature and class; an exact one goes before an additional one
-        packed = np.unique((sig.astype(U) << U(32)) | (rank[row].astype(U) << U(1)) | extra.astype(U)) if len(key) < 2**31 else None
+        if len(key) >= 2**31:
+            raise ValueError(f"{len(key)} classes in one partition; use more shuffle partitions")
+        packed = np.unique((sig.astype(U) << U(32)) | (rank[row].astype(U) << U(1)) | extra.astype(U))
         sig, who, extra = packed >> U(32), ((packed & U(0xFFFFFFFF)) >> U(1)).astype(np.int64), (packed & U(1)).astype(np.int64)
         one = np.concatenate([[True], (sig[1:] != sig[:-1]) | (who[1:] != who[:-1])])
         sig, who, extra = sig[one], who[one], extra[one]
@@ -429,5 +431,6 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     id. Documents without id stay.
     """
     got = jaccard_components(docs, doc_id, text, **options).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
-    gone = cut(got.where("not stays").select(F.col("doc_id").alias("_gone")))
-    return docs.join(broadcast_checked(gone, MOST_SENT), docs[doc_id] == F.col("_gone"), "left_anti")
+    name = fresh("_gone", docs.columns)
+    gone = cut(got.where("not stays").select(F.col("doc_id").alias(name)))
+    return docs.join(broadcast_checked(gone, MOST_SENT), docs[doc_id] == F.col(name), "left_anti")
