@@ -133,5 +133,5 @@ def test_clusters_with_common_classes_become_one_group_where_that_is_cheaper(spa
 def test_one_of_each_with_clashing_columns(spark):
     text = " ".join(f"w{i}" for i in range(30))
     docs = spark.createDataFrame([(1, text, "a", 0), (2, text, "b", 0), (3, "else", "c", 0)], "doc_id long, text string, _gone string, _GONE_ int")
-    got = jaccardjoin.one_of_each(docs)
+    got = J.one_of_each(docs)
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]
