@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from casewright import config, projection
 from casewright.functions import dates, normalise, text
 from casewright.operators import analytics, brokers, claims, communities, edges, enrich, extract, inventory, media, paths, profile, quantiles, resolve, retrieve, store, tools, walk
+from casewright.plans import report
 from casewright.projection import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -780,6 +781,23 @@ def upsert_last_wins(spark, sf_dir):
     return store.upsert(last(o.where("o_orderstatus = 'F'")), last(o.where("o_orderstatus != 'F'")), ["o_custkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
+@query(f"""WITH {GRAPH}, {MENTIONS}, d AS (SELECT case_ref, count(*) AS documents FROM doc GROUP BY 1),
+e AS (SELECT case_ref, count(DISTINCT entity_id) AS entities, count(DISTINCT entity_id) FILTER (upper(entity_type) = 'LOCATION') AS locations FROM men JOIN doc USING (doc_id) JOIN ent USING (entity_id) GROUP BY 1),
+r AS (SELECT case_ref, count(DISTINCT rel_id) AS relationships FROM ev JOIN doc USING (doc_id) GROUP BY 1)
+SELECT case_ref, documents, coalesce(entities, 0) AS entities, coalesce(relationships, 0) AS relationships, coalesce(locations, 0) AS locations FROM d LEFT JOIN e USING (case_ref) LEFT JOIN r USING (case_ref)""")
+def case_report_metrics(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return report.metrics_by_case(g, mentions(g))
+
+
+@query(f"""WITH {GRAPH}, {MENTIONS}, f AS (SELECT *, row_number() OVER (PARTITION BY case_ref ORDER BY filename, doc_id) AS place FROM doc QUALIFY place <= 24)
+SELECT case_ref, CAST(place AS INTEGER) AS place, f.doc_id, filename, 0 AS page_count, count(ev.evidence_id) AS chunk_count, count(DISTINCT men.entity_id) AS entity_count FROM f LEFT JOIN ev ON ev.doc_id = f.doc_id LEFT JOIN men ON men.doc_id = f.doc_id GROUP BY ALL""")
+def case_report_register(spark, sf_dir):
+    """The first documents of each case; evidence rows stand for chunks and count once for each mention, as in the joined form."""
+    g = graph(spark, sf_dir)
+    return report.register_by_case(g.documents, g.evidence.select("doc_id"), mentions(g))
+
+
 _BOX = "SELECT p_partkey // 10 AS frame_id, p_partkey AS id, (p_partkey * 37) % 400 AS x1, (p_partkey * 53) % 300 AS y1, (p_partkey * 37) % 400 + 20 + p_partkey % 180 AS x2, (p_partkey * 53) % 300 + 20 + p_partkey % 160 AS y2, (50 + p_partkey % 50) / 100.0::DOUBLE AS confidence FROM part"
 
 

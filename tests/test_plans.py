@@ -120,8 +120,26 @@ def test_answers():
 
 
 def test_report(spark, sf):
-    got = report.case_report(trade_graph(spark, sf), "1-urgent")
-    assert got["metrics"]["documents"] > 0 and len(got["register"]) == 24 and len(got["pagerank"]) == 8 and got["markdown"].startswith("# 1-urgent")
+    g = trade_graph(spark, sf)
+    mentions = g.evidence.select("doc_id", F.explode(F.split("rel_id", r"\|")).alias("entity_id"))
+    events = spark.createDataFrame([("1996-01-02", "it left", "order-1.txt", 3), ("1995-05-05", "it came", None, None)], "event_time string, text string, doc_name string, page int")
+    got = report.case_report(g, "1-urgent", mentions, g.evidence.select("doc_id"), events, case_name="Urgent", generated_at="today", answer=" All is well. ")
+    page = got["markdown"]
+    assert got["metrics"]["documents"] > 0 and got["metrics"]["locations"] == 0 and len(got["register"]) == 24 and len(got["pagerank"]) == 8 and len(got["facts"]) == 12
+    assert page.startswith("# Case Intelligence Report: 1-urgent\n\n- Generated: today\n- Case reference: 1-urgent\n- Case name: Urgent\n- Documents indexed: ")
+    heads = [line for line in page.splitlines() if line.startswith("#")]
+    assert heads[1:] == ["## Executive Briefing", "## Graph Overview", "### Central Actors", "### Communities", "## Timeline", "## Key Facts", "## Document Register"]
+    assert "\nAll is well.\n" in page and page.index("- 1995-05-05: it came\n") < page.index("- 1996-01-02: it left [order-1.txt, p.3]\n")
+    assert len(got["groups"]) <= 6 and all(f"- Cluster {x['community_id'] + 1}: {x['size']} members. " in page for x in got["groups"])
+    scores = [r.score for r in got["pagerank"]]
+    assert scores == sorted(scores, reverse=True) and got["graph"]["node_count"] > 8 and got["graph"]["edge_count"] > 8
+
+
+def test_report_of_a_case_without_anything(spark, sf):
+    g = trade_graph(spark, sf)
+    got = report.case_report(g, "nothing", g.evidence.select("doc_id", F.lit("x").alias("entity_id")), g.evidence.select("doc_id"))
+    assert got["metrics"] == {"documents": 0, "entities": 0, "relationships": 0, "locations": 0}
+    assert got["markdown"].count("No ") == 5 and got["markdown"].endswith("- No documents indexed for this case.\n")
 
 
 def test_evaluation(spark, tmp_path):
