@@ -58,7 +58,7 @@ def test_stages_keep_the_columns(spark, sf):
 
 def test_entry_lists_all():
     found = __spark_entry__.queries()
-    assert "pipeline" in found and {f"op{n}_" for n in range(1, 11)} <= {k[: k.index("_") + 1] for k in found if k.startswith("op")}
+    assert "pipeline" in found and {f"op{n}_" for n in range(1, 14)} <= {k[: k.index("_") + 1] for k in found if k.startswith("op")}
 
 
 @pytest.mark.parametrize("name", sorted(llm_sql.ORACLE))
@@ -66,7 +66,7 @@ def test_sql(spark, sf, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "conversations", "labels"):
+    for t in ("documents", "pages", "benchmark", "conversations", "labels", "embeddings"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     rel = con.sql(llm_sql.ORACLE[name])
     want = sorted(rel.fetchall(), key=repr)
