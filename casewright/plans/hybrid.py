@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import OrderedDict
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +33,7 @@ class Result:
     packet: dict[str, DataFrame] = field(default_factory=dict)
     answer: str = ""
     claims: list[dict] = field(default_factory=list)
+    cache_hit: bool = False
 
 
 class QueryCache:
@@ -110,9 +111,18 @@ def packet(ranked: DataFrame, store: Store, scope: tools.Scope) -> dict[str, Dat
     }
 
 
-def run_query(spark, question: str, store: Store, case_ref: str | None = None, doc_ids: tuple[str, ...] = (), mode: str = "auto", top_n: int = 20, history: list[tuple[str, str]] | None = None, query_vector: list[float] | None = None, answer: Callable[[str, dict], str] | None = None, strict: bool = True) -> Result:
-    """One question end to end; ``answer`` is the hook for a model, the built-in answers are deterministic."""
+def run_query(spark, question: str, store: Store, case_ref: str | None = None, doc_ids: tuple[str, ...] = (), mode: str = "auto", top_n: int = 20, history: list[tuple[str, str]] | None = None, query_vector: list[float] | None = None, answer: Callable[[str, dict], str] | None = None, strict: bool = True, cache: QueryCache | None = None, corpus: str = "") -> Result:
+    """One question end to end; ``answer`` is the hook for a model, the built-in answers are deterministic.
+
+    With a ``cache`` the same question under the same settings is answered from it, as long as ``corpus`` (a hash of the rows,
+    as ``tools.corpus_hash`` gives) is the same. Question and settings differ by more than case and space at the ends.
+    """
     asked = intents.with_history(question, history or [])
+    name = None
+    if cache is not None:
+        name = cache.key(" ".join(asked.split()), case_ref or "", ",".join(sorted(doc_ids)), mode, top_n, strict, query_vector, getattr(answer, "__qualname__", ""), corpus)
+        if (held := cache.get(name)) is not None:
+            return replace(held, cache_hit=True, claims=[dict(c) for c in held.claims])
     parsed = intents.parse(asked)
     scope = tools.Scope("document", doc_ids=doc_ids) if doc_ids else tools.Scope("case", case_ref=case_ref) if case_ref else tools.Scope()
     _, times, least = retrieve.recall_mode(mode, parsed["recall_priority"])
@@ -124,4 +134,7 @@ def run_query(spark, question: str, store: Store, case_ref: str | None = None, d
     rows = {k: [r.asDict(recursive=True) for r in v.collect()] for k, v in made.items()}
     said = answer(asked, rows) if answer else answers.deterministic(parsed, rows)
     checked = answers.validate(answers.claims_of(said, rows), rows)
-    return Result(parsed["intent"], scope.describe(), top, made, answers.render(said, checked, strict), checked)
+    got = Result(parsed["intent"], scope.describe(), top, made, answers.render(said, checked, strict), checked)
+    if cache is not None:
+        cache.put(name, got)
+    return got

@@ -55,6 +55,15 @@ def test_run_query(spark, evidence):
     assert model.answer == "no citations here" and model.claims == []
 
 
+def test_cached_answers(spark, evidence):
+    cache = hybrid.QueryCache(4)
+    ask = lambda q, **more: hybrid.run_query(spark, q, evidence, cache=cache, strict=False, **more)
+    first = ask("summary of two.pdf", doc_ids=("d2",), corpus="h1")
+    again = ask(" Summary  of two.PDF", doc_ids=("d2",), corpus="h1")
+    assert not first.cache_hit and again.cache_hit and again.answer == first.answer and again.claims == first.claims
+    assert not ask("summary of two.pdf", doc_ids=("d2",), corpus="h2").cache_hit
+
+
 def test_cache():
     c = hybrid.QueryCache(2)
     a, b, d = (c.key(q, "case", "hash") for q in ("Q ", "x", "y"))
