@@ -33,6 +33,8 @@ TERM = re.compile(rb"[a-z\x80-\xff]+")
 SCALE, PRIOR = 1_000_000_000, 5
 #: Parts counted in one task before they are sent on.
 FLUSH = 1_000_000
+#: Rows of a batch that leaves a task, so that the JVM never holds a large one outside its heap.
+SENT_ROWS = 20_000
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,12 +54,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 all_.update(set(found))
                 held += len(mine) + len(all_)
                 if held > FLUSH:
-                    yield _parts(uses, docs)
+                    yield from _parts(uses, docs)
                     uses, docs, held = {}, {}, 0
-        yield _parts(uses, docs)
+        yield from _parts(uses, docs)
 
 
-def _parts(uses: dict, docs: dict) -> pa.RecordBatch:
+def _parts(uses: dict, docs: dict) -> Iterator[pa.RecordBatch]:
     """One row a counter's entry; a group's first row has a null term, so that a group without terms occurs too."""
     lang, source, term, n = [], [], [], []
     for (g, s), terms in [*uses.items(), *(((g, None), c) for g, c in docs.items())]:
@@ -67,7 +69,9 @@ def _parts(uses: dict, docs: dict) -> pa.RecordBatch:
         term += first + list(terms)
         n += [0] * len(first) + list(terms.values())
     text = [pa.array(c, pa.binary()).cast(pa.string()) for c in (lang, source, term)]
-    return pa.RecordBatch.from_arrays([*text, pa.array(n, pa.int64())], names=["lang", "source", "term", "n"])
+    whole = pa.RecordBatch.from_arrays([*text, pa.array(n, pa.int64())], names=["lang", "source", "term", "n"])
+    for at in range(0, whole.num_rows, SENT_ROWS):
+        yield whole.slice(at, SENT_ROWS)
 
 
 def share(count: str, total: str, v: str):
