@@ -1,26 +1,26 @@
 """Substring dedup: words of every window of ``length`` words that also starts earlier in the corpus.
 
-Method: fixed-block anchors, with every rolling block as probe and index at once. With blocks of half the window's
-length, ``block = length // 2``, every repeated window holds a whole block that starts at a multiple of ``block`` in
-the earlier document: an anchor. An index of the anchors alone does not suffice for exact results: a window has to
-be compared with its first occurrence, which need not be where one of its anchors occurs first, and comparing it with
-all places of a frequent anchor gives pairs that grow with the square of its group. So every rolling window of ``block``
-words goes, packed, to the partition of its hash, with a mark where it is an anchor somewhere. Probes whose words
-occur once end; the others are hits, each with the first place (doc_id, start) where its words occur. Back with their
-documents, hits are put together around anchors: a window of ``length`` words is the hits at its start and its middle,
-so if both have their first places in one earlier stretch the window is a repeat. Where the two halves were first seen
-in different places the pair of first places names the window exactly, and a second exchange finds that window's
-first start. Overlapping repeated windows give the maximal repeats.
-
-"Earlier" is a smaller doc_id, or an earlier start in the same document; windows are judged on the input. Hashes
-have 32 bits and the partition's number as the filter; a pair of them names a window. Words are not compared again.
+Method: fixed-block anchors. With blocks of half the window's length, ``block = length // 2``, the index holds the
+non-overlapping blocks of every document, those that start at a multiple of ``block``: its anchors. Every rolling window
+of ``block`` words probes it, as a semi join on hashes: an anchor costs one entry however frequent it is, and no pair
+of places is made. A probe is a hit if it is some document's anchor and its words occur at a second place. Every
+repeated window of ``length`` words holds a hit, as its earlier place covers one anchor whole; so text that occurs once
+ends here, and only the hits' starts go back to their documents. There each hit is extended left and right over
+all windows of ``length`` words that hold it, which puts neighbouring hits together into stretches, the candidates for
+maximal repeats. Only windows inside stretches are named, by a hash of their words, and exchanged: of each name all
+but the first start are repeats. Overlapping repeated windows give the maximal exact repeats.
+
+"Earlier" is a smaller doc_id, or an earlier start in the same document; windows are judged on the input. In the index
+a hash has 32 bits and the partition's number; one that is shared by chance only makes a candidate. A name has 96
+bits (64 of the whole window, 32 of its first half) and is not compared with the words again: with 10^13
+named windows, two that differ share a name with a probability below 0.001.
 
 Null and empty texts have no words. Texts with fewer words than a window lose nothing. Very long texts are
 packed piece by piece. Rows that repeat a doc_id and its text are copies of one document's windows at the same
 starts, so neither removes the other. Rows of one doc_id with different texts are documents of their own, in the order
 of a hash of their texts. Extra columns pass through ``strip_repeats``.
-Rows with a null doc_id pass unchanged. All numbers travel packed (about six bytes a word). A window that a third
-of all documents share costs each send of half a million windows and more one entry, in both exchanges.
+Rows with a null doc_id pass unchanged. All numbers travel packed. A window that a third of all documents share costs
+each send of half a million windows and more one entry, in both exchanges.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm import wordhash
-from casewright.llm.packing import SENT, blobs, exchange, lean, pack
+from casewright.llm.packing import SENT, blobs, exchange, lean, pack, unpack
 from casewright.llm.shared import cut, fresh, partitions
 
 U = np.uint64
@@ -151,8 +151,8 @@ def _expand(got: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
     return h, doc, np.concatenate(start), home, marks
 
 
-def _find_hits(block: int, n: int):
-    """In a hash's partition: windows that occur again, with their first place, to the homes of their sends."""
+def _probe(n: int):
+    """In a hash's partition: the probes that are in the index and occur again, to the homes of their sends."""
 
     def work(got: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for g in got:
@@ -161,121 +161,155 @@ def _find_hits(block: int, n: int):
         got[:] = [g for g in got if g[0][0] == WINDOWS]
         if not got:
             return
-        h, doc, start, home, marks = _expand(got)
+        index = np.unique(np.concatenate([g[1][g[5] & 2 > 0] for g in got]))
+        for g in got:
+            # probes that meet no anchor end here
+            place = np.minimum(np.searchsorted(index, g[1]), max(len(index) - 1, 0))
+            g.append(index[place] == g[1] if len(index) else np.zeros(len(g[1]), bool))
+        met = np.concatenate([g.pop() for g in got])
+        h, doc, start, home, marks = (x[met] for x in _expand(got))
         got.clear()
         order = np.argsort(h)
         at, count = _runs(h[order])
-        many = np.repeat((count > 1) | (marks[order][at] & 1 > 0), count)
-        order = order[many]
-        h, doc, start, home, marks = (x[order] for x in (h, doc, start, home, marks))
-        order = np.lexsort((start, doc, h))
-        h, doc, start, home, marks = (x[order] for x in (h, doc, start, home, marks))
-        at, count = _runs(h)
         if not len(at):
             return
-        anchor = np.repeat(np.bitwise_or.reduceat(marks, at) >> 1, count)
-        first = np.repeat(at, count)
-        fdoc, fstart = doc[first], start[first]
+        several = (count > 1) | (np.bitwise_or.reduceat(marks[order], at) & 1 > 0)
+        order = order[np.repeat(several, count)]
+        doc, start, home = doc[order], start[order], home[order]
         to, data = [], []
         for k, pick in _by_target(home, n):
             pick = pick[np.lexsort((start[pick], doc[pick]))]
             at, count = _runs(doc[pick])
             to.append(k)
-            data.append(pack(_mark(WINDOWS, k), doc[pick][at], count.astype(np.uint32), start[pick].astype(np.uint32), fdoc[pick], fstart[pick].astype(np.uint32), anchor[pick].astype(np.uint8)))
-        yield blobs(to, data)
+            data.append(pack(_mark(WINDOWS, k), doc[pick][at], count.astype(np.uint32), start[pick].astype(np.uint32)))
+        if to:
+            yield blobs(to, data)
 
     return work
 
 
-def _gathered(got: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
-    """Places in order with first place and anchor mark; links take those of the place that they link to."""
-    ends = {}
-    for kind in (WINDOWS, LINKS):
-        mine = [g for g in got if g[0][0] == kind]
-        empty = [np.zeros(0, np.int64)] * 5
-        ends[kind] = [np.concatenate([np.repeat(g[1], g[2]) for g in mine]), *[np.concatenate([g[k] for g in mine]).astype(np.int64) for k in (3, 4, 5)], np.concatenate([g[6] for g in mine]).astype(np.int64) if kind == WINDOWS else None] if mine else empty
-    got.clear()
-    doc, start, fdoc, fstart, anchor = ends[WINDOWS]
-    ldoc, lstart, adoc, astart, _ = ends[LINKS]
-    if len(ldoc):
-        ids = np.unique(np.concatenate([doc, adoc]))
-        key = np.searchsorted(ids, doc).astype(np.int64) << 32 | start
-        order = np.argsort(key)
-        at = order[np.searchsorted(key[order], np.searchsorted(ids, adoc).astype(np.int64) << 32 | astart)]
-        doc, start, fdoc, fstart, anchor = (np.concatenate([x, y]) for x, y in ((doc, ldoc), (start, lstart), (fdoc, fdoc[at]), (fstart, fstart[at]), (anchor, anchor[at])))
-    order = np.lexsort((start, doc))
-    doc, start, fdoc, fstart, anchor = (x[order] for x in (doc, start, fdoc, fstart, anchor))
-    keep = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])]) if len(doc) else np.zeros(0, bool)
-    return doc[keep], start[keep], fdoc[keep], fstart[keep], anchor[keep] > 0
+PLACES = "doc_id long, blob binary"
 
 
-EXTENDED = "kind int, target int, doc_id long, blob binary"
+def _by_document(doc: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each document with its packed distinct starts in order."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    keep = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])]) if len(doc) else np.zeros(0, bool)
+    doc, start = doc[keep], start[keep].astype(np.uint32)
+    at, count = _runs(doc)
+    if len(at):
+        yield pa.RecordBatch.from_arrays([pa.array(doc[at], pa.int64()), pa.array([pack(start[a : a + c]) for a, c in zip(at, count, strict=True)], pa.binary())], names=["doc_id", "blob"])
 
 
-def _rows(kind: list[int], target: list[int], doc: list[int], data: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(target, pa.int32()), pa.array(doc, pa.int64()), pa.array(data, pa.binary())], names=["kind", "target", "doc_id", "blob"])
+def _at_home(got: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """At a send's home: starts of hits by document. Links are hits where the place that they link to is one."""
+    hits, links = ([g for g in got if g[0][0] == kind] for kind in (WINDOWS, LINKS))
+    got.clear()
+    if not hits:
+        return
+    doc = np.concatenate([np.repeat(g[1], g[2]) for g in hits])
+    start = np.concatenate([g[3] for g in hits]).astype(np.int64)
+    if links:
+        ldoc = np.concatenate([np.repeat(g[1], g[2]) for g in links])
+        lstart, adoc, astart = (np.concatenate([g[k] for g in links]).astype(np.int64) for k in (3, 4, 5))
+        ids = np.unique(doc)
+        key = np.sort(np.searchsorted(ids, doc).astype(np.int64) << 32 | start)
+        of = np.minimum(np.searchsorted(ids, adoc), len(ids) - 1)
+        asked = of.astype(np.int64) << 32 | astart
+        linked = (ids[of] == adoc) & (key[np.minimum(np.searchsorted(key, asked), len(key) - 1)] == asked)
+        doc, start = np.concatenate([doc, ldoc[linked]]), np.concatenate([start, lstart[linked]])
+    yield from _by_document(doc, start)
+
+
+def hits(docs: DataFrame, block: int, n: int, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, hits``: for documents with hits, packed arrays of the starts of blocks that are anchors and occur again."""
+    source = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).where(F.col(doc_id).isNotNull())
+    met = exchange(source.mapInArrow(_send_windows(block, n), SENT), n, _probe(n), SENT)
+    return exchange(met, n, _at_home, PLACES).groupBy("doc_id").agg(F.collect_list("blob").alias("hits"))
+
+
+def _stretches(found: list[bytes], n_words: int, length: int, block: int) -> np.ndarray:
+    """Starts of all windows of ``length`` words that hold a hit."""
+    edge = np.zeros(n_words + 1, np.int64)
+    for blob in found:
+        at = unpack(blob)[0].astype(np.int64)
+        np.add.at(edge, np.maximum(at + block - length, 0), 1)
+        np.add.at(edge, at + 1, -1)
+    return np.flatnonzero(np.cumsum(edge)[: max(n_words - length + 1, 0)] > 0)
+
+
+def _name_windows(place: int, key: int, held: int, length: int, block: int, n: int):
+    """Windows inside the stretches, to the partition of their name; of those that a send holds again it says so itself."""
+
+    def flush(docs: list, starts: list, names: list, halves: list) -> pa.RecordBatch:
+        doc, start, h, half = (np.concatenate(x) for x in (docs, starts, names, halves))
+        order = np.lexsort((start, doc, half, h))
+        doc, start, h, half = (x[order] for x in (doc, start, h, half))
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (half[1:] != half[:-1])])
+        first = np.flatnonzero(new)
+        lead = np.repeat(first, np.diff(np.append(first, len(h))))
+        again = np.flatnonzero((doc != doc[lead]) | (start != start[lead]))
+        others = dict(_by_target(_targets(h[again], n), n))
+        to, data = [], []
+        # a name's repeats go where its first place goes, so a task that runs again cannot divide them otherwise
+        for k, pick in _by_target(_targets(h[first], n), n):
+            parts = []
+            for i in (first[pick], again[others[k]] if k in others else again[:0]):
+                i = i[np.lexsort((start[i], doc[i]))]
+                at, count = _runs(doc[i])
+                parts.append((i, doc[i][at], count.astype(np.uint32), start[i].astype(np.uint32)))
+            i = parts[0][0]
+            to.append(k)
+            data.append(pack(h[i], half[i], *parts[0][1:], *parts[1][1:]))
+        return blobs(to, data)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with lean():
+            gathered, count = ([], [], [], []), 0
+            enough = min(max(SEND_AT, 50 * n), max(SEND_AT, SEND_MOST))
+            for batch in batches:
+                for part in wordhash.slices(batch, place):
+                    w = wordhash.read(part.column(place))
+                    names, halves = w.windows(length), w.windows(block)
+                    ids = np.asarray(part.column(key).to_numpy(zero_copy_only=False), np.int64)
+                    for k in range(part.num_rows):
+                        a, b = int(w.first[k]), int(w.first[k + 1])
+                        start = _stretches(part.column(held)[k].as_py(), b - a, length, block)
+                        if len(start):
+                            for x, y in zip(gathered, (np.full(len(start), ids[k]), start, names[a + start], (halves[a + start] & U(0xFFFFFFFF)).astype(np.uint32)), strict=True):
+                                x.append(y)
+                            count += len(start)
+                    if count >= enough:
+                        yield flush(*gathered)
+                        gathered, count = ([], [], [], []), 0
+            if count:
+                yield flush(*gathered)
 
-def _extend(length: int, block: int, n: int):
-    """At a send's home: kind 0, starts of repeated windows by document; kind 1, windows still to decide, each once."""
-    gap = length - block
+    return run
 
-    def work(got: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        doc, start, fdoc, fstart, anchor = _gathered(got)
-        if not len(doc):
-            return
-        at, count = _runs(doc)
-        place = start + np.repeat(np.concatenate([[0], np.cumsum(np.maximum.reduceat(start, at) + 2 * length)[:-1]]), count)
-        other = np.searchsorted(place, place + gap)
-        safe = np.minimum(other, len(place) - 1)
-        anchors = np.concatenate([[0], np.cumsum(anchor)])
-        both = (other < len(place)) & (place[safe] == place + gap) & (anchors[safe + 1] > anchors[:-1])
-        same = both & (fdoc[safe] == fdoc) & (fstart[safe] == fstart + gap)
-        # a place is no repeat of itself, also where a doc_id occurs twice
-        one = same & ((fdoc != doc) | (fstart != start))
-        open_ = np.flatnonzero(both & ~same)
-        if len(open_):
-            # of windows that are here several times the later ones are repeats already
-            i, j = open_, safe[open_]
-            order = np.lexsort((start[i], doc[i], fstart[j], fdoc[j], fstart[i], fdoc[i]))
-            i, j = i[order], j[order]
-            new = np.concatenate([[True], (fdoc[i][1:] != fdoc[i][:-1]) | (fstart[i][1:] != fstart[i][:-1]) | (fdoc[j][1:] != fdoc[j][:-1]) | (fstart[j][1:] != fstart[j][:-1])])
-            one[i[~new]] = True
-            i, j = i[new], j[new]
-            key = wordhash.mix(wordhash.mix(fdoc[i].view(U) + fstart[i].view(U) * U(0x9E3779B97F4A7C15)) + fdoc[j].view(U) * U(0xC2B2AE3D27D4EB4F) + fstart[j].view(U))
-            to, data = [], []
-            for k, pick in _by_target(_targets(key, n), n):
-                a, b = i[pick], j[pick]
-                to.append(k)
-                data.append(pack(fdoc[a], fstart[a].astype(np.uint32), fdoc[b], fstart[b].astype(np.uint32), doc[a], start[a].astype(np.uint32)))
-            yield _rows([1] * len(to), to, [0] * len(to), data)
-        names, packed = [], []
-        for a, c in zip(at, count, strict=True):
-            found = start[a : a + c][one[a : a + c]]
-            if len(found):
-                names.append(int(doc[a]))
-                packed.append(pack(found.astype(np.uint32)))
-        if names:
-            yield _rows([0] * len(names), [0] * len(names), names, packed)
 
-    return work
+def named(docs: DataFrame, doc_id: str, text: str, length: int, n: int) -> DataFrame:
+    """The windows inside stretches, packed by the partition of their name: all that is left of the corpus for the last step."""
+    block = length // 2
+    key, held = fresh("repeats_hit_id", docs.columns), fresh("repeats_hits", docs.columns)
+    found = hits(docs, block, n, doc_id, text).withColumnsRenamed({"doc_id": key, "hits": held})
+    both = docs.join(found, docs[doc_id] == found[key]).drop(key).sortWithinPartitions(doc_id)
+    return both.mapInArrow(_name_windows(both.columns.index(text), both.columns.index(doc_id), len(both.columns) - 1, length, block, n), SENT)
 
 
 def _settle(got: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """Of equal windows all but the first, by document."""
-    fd, fs, gd, gs, doc, start = (np.concatenate([g[k] for g in got]) for k in range(6))
+    h, half, start = (np.concatenate([g[k] for g in got]) for k in (0, 1, 4))
+    doc = np.concatenate([np.repeat(g[2], g[3]) for g in got])
+    known = np.concatenate([np.repeat(g[5], g[6]) for g in got]), np.concatenate([g[7] for g in got])
     got.clear()
-    order = np.lexsort((start, doc, gs, gd, fs, fd))
-    fd, fs, gd, gs, doc, start = (x[order] for x in (fd, fs, gd, gs, doc, start))
-    new = np.concatenate([[True], (fd[1:] != fd[:-1]) | (fs[1:] != fs[:-1]) | (gd[1:] != gd[:-1]) | (gs[1:] != gs[:-1])])
-    first = np.repeat(np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(new))))
-    later = (doc != doc[first]) | (start != start[first])
-    doc, start = doc[later], start[later]
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    found = [(int(doc[a]), pack(start[a : a + c])) for a, c in zip(*_runs(doc), strict=True)]
-    if found:
-        yield _rows([0] * len(found), [0] * len(found), [d for d, _ in found], [p for _, p in found])
+    order = np.lexsort((start, doc, half, h))
+    h, half, doc, start = (x[order] for x in (h, half, doc, start))
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (half[1:] != half[:-1])]))
+    lead = np.repeat(first, np.diff(np.append(first, len(h))))
+    later = (doc != doc[lead]) | (start != start[lead])
+    yield from _by_document(np.concatenate([doc[later], known[0]]), np.concatenate([start[later], known[1]]))
 
 
 def numbered(docs: DataFrame, doc_id: str, text: str, name: str) -> DataFrame:
@@ -304,24 +338,16 @@ def numbered(docs: DataFrame, doc_id: str, text: str, name: str) -> DataFrame:
 def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 20) -> DataFrame:
     """``doc_id, found``: for documents with repeats, packed arrays of the starts of their repeated windows.
 
-    A doc_id must have one text; ``numbered`` gives such ids.
+    A doc_id must have one text and no null; ``numbered`` gives such ids.
     """
     if length % 2:
         raise ValueError("the window's length has to be even")
-    block = length // 2
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
-    n = partitions(source)
-    sent = source.mapInArrow(_send_windows(block, n), SENT)
-    hits = exchange(sent, n, _find_hits(block, n), SENT)
-    extended = cut(exchange(hits, n, _extend(length, block, n), EXTENDED))
-    settled = exchange(extended.where("kind = 1").select("target", "blob"), n, _settle, EXTENDED)
-    return extended.where("kind = 0").unionByName(settled).groupBy("doc_id").agg(F.collect_list("blob").alias("found"))
+    n = partitions(docs)
+    return exchange(named(docs, doc_id, text, length, n), n, _settle, PLACES).groupBy("doc_id").agg(F.collect_list("blob").alias("found"))
 
 
 def _removed(found: list[bytes], n_words: int, length: int) -> np.ndarray:
     """True for every word that a repeated window covers."""
-    from casewright.llm.packing import unpack
-
     edge = np.zeros(n_words + 1, np.int64)
     for blob in found:
         starts = unpack(blob)[0].astype(np.int64)
@@ -335,8 +361,11 @@ def _with_found(docs: DataFrame, doc_id: str, text: str, length: int) -> DataFra
     number = fresh("repeats_number", docs.columns)
     key, held = fresh("repeats_id", docs.columns), fresh("repeats_found", docs.columns)
     docs = numbered(docs, doc_id, text, number)
-    found = repeated_windows(docs, number, text, length).withColumnsRenamed({"doc_id": key, "found": held})
-    return docs.join(found, docs[number] == found[key], "left").drop(key, number)
+    # both joins with texts shuffle the same rows by the same key, so Spark makes that shuffle once
+    own = docs.where(docs[number].isNotNull())
+    found = repeated_windows(own, number, text, length).withColumnsRenamed({"doc_id": key, "found": held})
+    out = own.join(found, own[number] == found[key], "left").drop(key, number)
+    return out.unionByName(docs.where(docs[number].isNull()).drop(number).withColumn(held, F.lit(None).cast("array<binary>")))
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 20) -> DataFrame:

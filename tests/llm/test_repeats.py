@@ -35,6 +35,19 @@ def test_whole_table(spark, sf):
     assert {r[0]: tuple(r[1:]) for r in queries.op5_substring_dedup(spark, sf).collect()} == brute.repeats(rows)
 
 
+def test_text_that_occurs_once_ends_at_the_index(spark):
+    """Only windows around the shared passage are named; a passage in every document costs each send one entry."""
+    passage = [f"p{i}" for i in range(30)]
+    rows = [(d, " ".join([f"d{d}w{i}" for i in range(500)] + (passage if d < 3 else []) + [f"e{d}w{i}" for i in range(7 * d)])) for d in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: [s for b in r.hits for s in packing.unpack(b)[0].tolist()] for r in repeats.hits(docs, 10, 4, "doc_id", "text").collect()}
+    assert got == {d: [500, 510, 520] for d in range(3)}
+    sent = [packing.unpack(r.blob) for r in repeats.named(docs, "doc_id", "text", 20, 4).collect()]
+    assert sum(len(g[0]) for g in sent) < 3 * 32 and {d for g in sent for d in g[2].tolist() + g[5].tolist()} == {0, 1, 2}
+    docs = docs.repartition(5)
+    assert {r.doc_id: r.n_removed for r in repeats.digests(docs).collect()} == {d: 30 if d in (1, 2) else 0 for d in range(20)}
+
+
 def test_many_small_sends(spark, monkeypatch):
     monkeypatch.setattr(repeats, "SEND_AT", 50)
     monkeypatch.setattr(repeats, "SEND_MOST", 50)
