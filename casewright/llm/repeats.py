@@ -298,18 +298,37 @@ def named(docs: DataFrame, doc_id: str, text: str, length: int, n: int) -> DataF
     return both.mapInArrow(_name_windows(both.columns.index(text), both.columns.index(doc_id), len(both.columns) - 1, length, block, n), SENT)
 
 
-def _settle(got: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Of equal windows all but the first, by document."""
-    h, half, start = (np.concatenate([g[k] for g in got]) for k in (0, 1, 4))
-    doc = np.concatenate([np.repeat(g[2], g[3]) for g in got])
-    known = np.concatenate([np.repeat(g[5], g[6]) for g in got]), np.concatenate([g[7] for g in got])
+def _settle(n: int):
+    """Of equal windows all but the first, to the partitions of their documents."""
+
+    def work(got: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        h, half, start = (np.concatenate([g[k] for g in got]) for k in (0, 1, 4))
+        doc = np.concatenate([np.repeat(g[2], g[3]) for g in got])
+        known = np.concatenate([np.repeat(g[5], g[6]) for g in got]), np.concatenate([g[7] for g in got])
+        got.clear()
+        order = np.lexsort((start, doc, half, h))
+        h, half, doc, start = (x[order] for x in (h, half, doc, start))
+        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (half[1:] != half[:-1])]))
+        lead = np.repeat(first, np.diff(np.append(first, len(h))))
+        later = (doc != doc[lead]) | (start != start[lead])
+        doc, start = np.concatenate([doc[later], known[0]]), np.concatenate([start[later], known[1]])
+        to, data = [], []
+        for k, i in _by_target(_targets(wordhash.mix(doc.view(U)), n), n):
+            i = i[np.lexsort((start[i], doc[i]))]
+            at, count = _runs(doc[i])
+            to.append(k)
+            data.append(pack(doc[i][at], count.astype(np.uint32), start[i].astype(np.uint32)))
+        if to:
+            yield blobs(to, data)
+
+    return work
+
+
+def _together(got: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Everything of a document in one row, however many partitions its windows were named in."""
+    doc, start = np.concatenate([np.repeat(g[0], g[1]) for g in got]), np.concatenate([g[2] for g in got])
     got.clear()
-    order = np.lexsort((start, doc, half, h))
-    h, half, doc, start = (x[order] for x in (h, half, doc, start))
-    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (half[1:] != half[:-1])]))
-    lead = np.repeat(first, np.diff(np.append(first, len(h))))
-    later = (doc != doc[lead]) | (start != start[lead])
-    yield from _by_document(np.concatenate([doc[later], known[0]]), np.concatenate([start[later], known[1]]))
+    yield from _by_document(doc, start)
 
 
 def numbered(docs: DataFrame, doc_id: str, text: str, name: str) -> DataFrame:
@@ -343,7 +362,8 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     if length % 2:
         raise ValueError("the window's length has to be even")
     n = partitions(docs)
-    return exchange(named(docs, doc_id, text, length, n), n, _settle, PLACES).groupBy("doc_id").agg(F.collect_list("blob").alias("found"))
+    settled = exchange(named(docs, doc_id, text, length, n), n, _settle(n), SENT)
+    return exchange(settled, n, _together, PLACES).select("doc_id", F.array("blob").alias("found"))
 
 
 def _removed(found: list[bytes], n_words: int, length: int) -> np.ndarray:
