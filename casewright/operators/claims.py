@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright.functions import text
+from casewright.session import written
 
 
 def negative_evidence(rows: DataFrame, most: int | None = 20, pattern: str = text.DENIAL) -> DataFrame:
@@ -30,31 +31,43 @@ def validate(claims: DataFrame) -> DataFrame:
     return out.withColumn("status", F.col("_s.status")).withColumn("confidence", F.col("_s.confidence")).drop("_s")
 
 
-def overlapping(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """``left, right``: distinct texts of two one-column tables of which the right has at least ``least`` of the left's words.
+def _sharing(asked: DataFrame, held: DataFrame, claim: str, other: str, least: float, most_sent: int = 500_000) -> DataFrame:
+    """Rows of both tables side by side, where the text ``other`` has at least ``least`` of the words of the text ``claim``.
 
-    An inverted index in place of all pairs: of n words at least ceil(least * n) have to be in the right text, so one of any
-    n - ceil(least * n) + 1 is; the left text looks up its rarest ones, and only what meets is counted in full.
+    An inverted index in place of all pairs: of n words at least ceil(least * n) have to be in the other text, so one of any
+    n - ceil(least * n) + 1 is; a claim looks up its rarest ones, and only what meets is counted in full. Rows meet at the first
+    of these that the other text has, so a pair meets once. The words looked up are sent to the other texts where they are at most
+    ``most_sent``; the texts themselves stay where they are.
     """
     if least <= 0:
         raise ValueError("an overlap of 0 is every pair")
-    words = lambda df, name: df.select(F.col(df.columns[0]).alias(name)).where(F.col(name).isNotNull()).distinct().withColumn(f"{name}_words", text.word_set(F.col(name))).where(F.size(f"{name}_words") > 0)
-    asked, held = words(left, "left"), words(right, "right")
-    posted = held.select("right", F.explode("right_words").alias("word"))
-    often = posted.groupBy("word").agg(F.count(F.lit(1)).alias("often"))
-    ranked = asked.select("left", F.explode("left_words").alias("word")).join(often, "word", "left")
-    ranked = ranked.groupBy("left").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "word"))).alias("ranked"))
+    sent = lambda df: F.broadcast(df) if df.count() <= most_sent else df
+    asked = written(asked.withColumn("_asked", text.word_set(F.col(claim))).where(F.size("_asked") > 0))
+    sets = asked.select("_asked").distinct()
+    held = held.where(F.col(other).isNotNull()).withColumn("_held", text.word_set(F.col(other)))
+    vocabulary = written(sets.select(F.explode("_asked").alias("_word")).distinct())
+    often = held.select(F.explode("_held").alias("_word")).join(sent(vocabulary), "_word", "left_semi").groupBy("_word").agg(F.count(F.lit(1)).alias("often"))
+    ranked = sets.select("_asked", F.explode("_asked").alias("_word")).join(often, "_word", "left")
+    ranked = ranked.groupBy("_asked").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "_word"))).alias("ranked"))
     first = F.slice("ranked", F.lit(1), F.size("ranked") - F.ceil(F.lit(least) * F.size("ranked") - F.lit(1e-9)).cast("int") + 1)
-    met = ranked.select("left", F.explode(first).alias("r")).select("left", F.col("r.word").alias("word")).join(posted, "word").select("left", "right").distinct()
-    return met.where(text.overlap_ratio(F.col("left"), F.col("right")) >= least)
+    looked = asked.join(ranked.select("_asked", first["_word"].alias("_first")), "_asked")
+    looked = written(looked.select("*", F.explode("_first").alias("_word")))
+    met = held.select("*", F.explode("_held").alias("_word")).join(sent(looked), "_word")
+    enough = F.size(F.array_intersect("_asked", "_held")) / F.size("_asked") >= least
+    once = F.get(F.array_intersect("_first", "_held"), F.lit(0)) == F.col("_word")
+    return met.where(enough & once).drop("_word", "_asked", "_first", "_held")
+
+
+def overlapping(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """``left, right``: distinct texts of two one-column tables of which the right has at least ``least`` of the left's words."""
+    each = lambda df, name: df.select(F.col(df.columns[0]).alias(name)).distinct()
+    return _sharing(each(left, "left"), each(right, "right"), "left", "right", least).select("left", "right")
 
 
 def denied(claims: DataFrame, negatives: DataFrame, least: float = 0.45, carry: tuple[str, ...] = ()) -> DataFrame:
     """Denial claims with the negative rows that share enough of their words, as ``denial`` with the columns ``carry``."""
     asked = claims.where(F.col("claim").rlike(text.DENIAL_CLAIM))
-    held = negatives.select(F.col("text").alias("denial"), *carry)
-    met = overlapping(asked.select("claim"), held.select("denial"), least)
-    return asked.join(met.select(F.col("left").alias("claim"), F.col("right").alias("denial")), "claim").join(held, "denial").select(*claims.columns, "denial", *carry)
+    return _sharing(asked, negatives.select(F.col("text").alias("denial"), *carry), "claim", "denial", least).select(*claims.columns, "denial", *carry)
 
 
 def recall(expected: DataFrame, got: DataFrame) -> DataFrame:
