@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casewright.operators import communities, edges
+from casewright.operators import brokers, communities, edges
 from casewright.session import bucketed
 
 EDGES = [("b", "a", 1.0), ("c", "b", 2.0), ("C10", "C9", 1.0), (None, "a", 1.0), ("b", "é", 1.0)]
@@ -36,3 +36,12 @@ def test_louvain_deals_its_edges_once_a_level(spark, monkeypatch):
     for r in communities.louvain(e).collect():
         groups.setdefault(r.community, set()).add(r.node)
     assert groups == {"p0": {"p0", "p1", "p2", "p3"}, "q0": {"q0", "q1", "q2", "q3"}} and dealt and set(dealt) == {"neighbour"}
+
+
+def test_distances_of_sixteen_pivots_share_a_row(spark):
+    line = [(f"n{i:02}", f"n{i + 1:02}", 1.0) for i in range(19)]
+    e = spark.createDataFrame(line, "source_entity string, target_entity string, weight double")
+    got = {r.node: r.betweenness for r in brokers.betweenness(e).collect()}
+    assert got == {f"n{i:02}": round(2 * i * (19 - i) / (19 * 18), 6) for i in range(20)}
+    far = brokers._spread(bucketed(spark.createDataFrame([(0, 1, 5), (1, 0, 5), (2, 3, 1), (3, 2, 1)], "node long, neighbour long, w long"), "node"), spark.createDataFrame([(0, 0, 0), (0, 1, 1), (1, 0, 2)], "part int, slot int, node long"), 2)
+    assert sorted(tuple(r) for r in far.collect()) == [(0, 0, 0, 5), (0, 1, 5, 0), (1, 2, 0, None), (1, 3, 1, None)]
