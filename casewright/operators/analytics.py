@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.operators.components import stars
-from casewright.operators.edges import adjacency
-from casewright.session import cut_lineage
+from casewright.operators.edges import adjacency, numbered
+from casewright.session import bucketed, cut_lineage, written
 
 
 def degree_centrality(edges: DataFrame) -> DataFrame:
@@ -24,18 +24,18 @@ def pagerank(edges: DataFrame, rounds: int, damping: float = 0.85, mode: str = "
     edges: one row for each pair with ``weight``.
     """
     share = F.col("weight") if mode == "cost" else 1 / F.col("weight")
-    adj = adjacency(edges.select("source_entity", "target_entity", share.alias("w")))
+    ids, e = numbered(edges.select("source_entity", "target_entity", share.alias("w")))
+    adj = adjacency(e)
     total = adj.groupBy("node").agg(F.sum("w").alias("t"))
-    step = cut_lineage(adj.join(total, "node").select("node", "neighbour", (F.col("w") / F.col("t")).alias("p")))
-    nodes = total.select("node")
-    n = F.broadcast(nodes.agg(F.count(F.lit(1)).alias("n")))
-    rank = nodes.crossJoin(n).select("node", (1 / F.col("n")).alias("rank"), "n")
+    step = bucketed(adj.join(total, "node").select("node", "neighbour", (F.col("w") / F.col("t")).alias("p")), "node")
+    n = ids.count()
+    rank = ids.select(F.col("id").alias("node"), F.lit(1 / n if n else None).cast("double").alias("rank"))
     for k in range(rounds):
-        moved = rank.join(step, "node").groupBy(F.col("neighbour").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("rank"), F.first("n").alias("n"))
-        rank = moved.select("node", ((1 - damping) / F.col("n") + damping * F.col("rank")).alias("rank"), "n")
+        moved = rank.join(step, "node").groupBy(F.col("neighbour").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("rank"))
+        rank = moved.select("node", (F.lit((1 - damping) / n if n else None).cast("double") + damping * F.col("rank")).alias("rank"))
         if (k + 1) % cut_every == 0:
             rank = cut_lineage(rank)
-    return rank.select("node", "rank")
+    return rank.join(ids, rank["node"] == ids["id"]).select(F.col("name").alias("node"), "rank")
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
