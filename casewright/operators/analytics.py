@@ -51,14 +51,20 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
 
     Nodes take turns by the parity of their hash, so that two halves cannot swap labels for ever.
     """
-    adj = cut_lineage(adjacency(edges.select("source_entity", "target_entity", "weight")).where("node != neighbour"))
-    label = adj.select("node").distinct().withColumn("community", F.col("node"))
+    ids, e = numbered(edges.select("source_entity", "target_entity", "weight"))
+    turn = F.pmod(F.xxhash64("name"), F.lit(2))
+    adj = adjacency(e).where("node != neighbour")
+    # a round hears only those whose turn it is
+    heard = adj.join(ids.select(F.col("id").alias("node"), turn.alias("turn")), "node")
+    halves = [bucketed(heard.where(F.col("turn") == k).drop("turn"), "neighbour") for k in (0, 1)]
+    # a node with a loop alone has no neighbour
+    label = written(adj.select("node").distinct().withColumn("community", F.col("node")))
     for k in range(rounds):
-        votes = adj.join(label.withColumnRenamed("node", "neighbour"), "neighbour").groupBy("node", "community").agg(F.round(F.sum("weight"), 9).alias("w"))
+        votes = label.withColumnRenamed("node", "neighbour").join(halves[k % 2], "neighbour").repartition("node").groupBy("node", "community").agg(F.round(F.sum("weight"), 9).alias("w"))
         won = votes.groupBy("node").agg(F.min_by("community", F.struct(-F.col("w"), F.col("community"))).alias("won"))
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == k % 2
-        label = cut_lineage(label.join(won, "node").select("node", F.when(turn, F.col("won")).otherwise(F.col("community")).alias("community")))
-    return label
+        label = written(label.join(won, "node", "left").select("node", F.coalesce("won", "community").alias("community")))
+    named = lambda c: ids.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name"))
+    return label.join(named("node"), "node").join(named("community"), "community").select(F.col("node_name").alias("node"), F.col("community_name").alias("community"))
 
 
 def modularity(edges: DataFrame, communities: DataFrame, resolution: float = 1.0) -> DataFrame:
