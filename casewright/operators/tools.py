@@ -39,9 +39,11 @@ class Scope:
         return documents.where(F.col("case_ref") == self.case_ref) if self.mode == "case" else documents
 
     def rows(self, rows: DataFrame, documents: DataFrame, doc: str = "doc_id") -> DataFrame:
-        """``rows`` of documents in scope."""
+        """``rows`` of documents in scope; rows that carry the ``case_ref`` of their document are not joined with it."""
         if self.mode == "corpus":
             return rows
+        if self.mode == "case" and "case_ref" in rows.columns:
+            return rows.where(F.col("case_ref") == self.case_ref)
         if self.mode == "document":
             return rows.where(F.col(doc).isin(list(self.doc_ids)))
         return rows.join(self.documents(documents).select(F.col("doc_id").alias(doc)), doc, "left_semi")
@@ -66,10 +68,26 @@ def search_entities(mentions: DataFrame, entities: DataFrame, query: str, entity
     return out.orderBy(F.desc("mention_count"), F.desc("doc_count"), "entity_id").limit(max(1, min(limit, MOST)))
 
 
-def entity_profile(entities: DataFrame, mentions: DataFrame, in_scope: DataFrame) -> DataFrame:
-    """Each entity with the number of its mentions and documents in scope; entities without any count 0."""
-    m = mentions.join(in_scope.select("doc_id").distinct(), "doc_id", "left_semi")
-    n = m.groupBy("entity_id").agg(F.count_distinct("mention_id").alias("mention_count"), F.count_distinct("doc_id").alias("doc_count"), F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"))
+def _counts(mentions: DataFrame, **more: Column) -> DataFrame:
+    """``entity_id, mention_count, doc_count`` and ``more``, which has to be its own aggregate (min, max).
+
+    Mentions with ``doc_key`` are counted by document first, where they lie already; each then stands in that document alone.
+    """
+    extra = [c.alias(name) for name, c in more.items()]
+    if "doc_key" not in mentions.columns:
+        return mentions.groupBy("entity_id").agg(F.count_distinct("mention_id").alias("mention_count"), F.count_distinct("doc_id").alias("doc_count"), *extra)
+    per = mentions.groupBy("entity_id", "doc_key").agg(F.count_distinct("mention_id").alias("mention_count"), *extra)
+    again = [c.alias(name) for name, c in more.items()]
+    return per.groupBy("entity_id").agg(F.sum("mention_count").alias("mention_count"), F.count("doc_key").alias("doc_count"), *again)
+
+
+def entity_profile(entities: DataFrame, mentions: DataFrame, in_scope: DataFrame | None = None) -> DataFrame:
+    """Each entity with the number of its mentions and documents in scope; entities without any count 0.
+
+    in_scope: the documents, None where the mentions are in scope already.
+    """
+    m = mentions if in_scope is None else mentions.join(in_scope.select("doc_id").distinct(), "doc_id", "left_semi")
+    n = _counts(m.select("*", F.col("seen").alias("first_seen"), F.col("seen").alias("last_seen")), first_seen=F.min("first_seen"), last_seen=F.max("last_seen"))
     return entities.join(n, "entity_id", "left").fillna(0, ["mention_count", "doc_count"])
 
 
@@ -100,17 +118,19 @@ def profile_in_scope(entities: DataFrame, mentions: DataFrame, documents: DataFr
 
     ``entity_id, canonical_name, entity_type, mention_count, doc_count, first_seen_doc, first_seen_page, last_seen_doc,
     last_seen_page, top_aliases, citations``. Citations are by page, nulls last and then 0, at most ``most``; first and last
-    seen are the first and last of them. mentions: ``entity_id, mention_id, alias_text, doc_id, page, chunk_id``.
+    seen are the first and last of them. mentions: ``entity_id, mention_id, alias_text, doc_id, page, chunk_id``, and where the
+    source has them ``doc_key, case_ref, filename`` of the document, which is then not joined.
     """
     m = scope.rows(mentions, documents)
-    n = m.groupBy("entity_id").agg(F.count_distinct("mention_id").alias("mention_count"), F.count_distinct("doc_id").alias("doc_count"))
+    n = _counts(m)
     once = m.select("entity_id", "alias_text").distinct()
     by_name = F.row_number().over(Window.partitionBy("entity_id").orderBy("alias_text"))
     aliases = once.where("alias_text is not null").withColumn("r", by_name).where(F.col("r") <= most_aliases).groupBy("entity_id").agg(F.array_sort(F.collect_list("alias_text")).alias("top_aliases"))
     # the first rows of an entity are kept before the shuffle, so an entity of very many mentions is no large group
     by_page = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.asc_nulls_last("page"), "doc_id", "mention_id"))
-    cited = m.join(documents.select("doc_id"), "doc_id", "left_semi").withColumn("r", by_page).where(F.col("r") <= most)
-    cited = cited.join(documents.select("doc_id", "filename"), "doc_id")
+    known = m if "filename" in m.columns else m.join(documents.select("doc_id"), "doc_id", "left_semi")
+    cited = known.withColumn("r", by_page).where(F.col("r") <= most)
+    cited = cited if "filename" in m.columns else cited.join(documents.select("doc_id", "filename"), "doc_id")
     row = F.struct("r", "doc_id", F.col("filename").alias("doc_name"), F.coalesce(F.col("page").cast("int"), F.lit(0)).alias("page"), "chunk_id")
     citations = cited.groupBy("entity_id").agg(F.array_sort(F.collect_list(row)).alias("c"))
     out = entities.select("entity_id", "canonical_name", "entity_type").join(n, "entity_id").join(aliases, "entity_id", "left").join(citations, "entity_id", "left")
