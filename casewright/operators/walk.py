@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from casewright.operators.edges import adjacency
-from casewright.session import cut_lineage
+from casewright.session import cut_lineage, written
 
 
 def one_hop(edges: DataFrame, seeds: list[str]) -> DataFrame:
@@ -79,21 +79,27 @@ def resolve_entity(entities: DataFrame, aliases: DataFrame | None, name: str) ->
     return found.where("how is not null").orderBy(*order).limit(1).drop("how")
 
 
-def evidence_paths(edges: DataFrame, source: str, target: str, hops: int = 3, most: int = 5) -> DataFrame:
+def evidence_paths(edges: DataFrame, source: str, target: str, hops: int = 3, most: int = 5, most_sent: int = 100_000) -> DataFrame:
     """The first ``most`` paths of a breadth-first walk: ``path, rel_ids, hops``.
 
     A node is entered once, by its first edge in the order of the walk (parents in order, then confidence, then
-    rel_id); the target is never entered, so every edge that reaches it ends a path.
+    rel_id); the target is never entered, so every edge that reaches it ends a path. Paths of fewer hops come first, so the walk
+    ends with the level that has ``most``. The edges are written once, and stay where they are while a level is at most
+    ``most_sent`` nodes.
     """
-    adj = cut_lineage(adjacency(edges.select("rel_id", "source_entity", "target_entity", "confidence")))
-    spark = edges.sparkSession
+    adj = adjacency(written(edges.select("rel_id", "source_entity", "target_entity", "confidence")))
+    spark, last = edges.sparkSession, max(1, min(hops, 4))
     level = spark.createDataFrame([(source, 1, [source], [])], "node string, place long, path array<string>, rels array<string>")
     seen, done = level.select("node"), None
-    for depth in range(1, max(1, min(hops, 4)) + 1):
-        step = level.join(adj, "node").select("place", "confidence", "rel_id", F.col("neighbour").alias("node"), F.array_append("path", F.col("neighbour")).alias("path"), F.array_append("rels", F.col("rel_id")).alias("rels"))
-        step = cut_lineage(step)
-        hit = step.where(F.col("node") == target).withColumn("depth", F.lit(depth))
+    for depth in range(1, last + 1):
+        sent = F.broadcast(level) if level.count() <= most_sent else level
+        # the last level asks for the target alone
+        near = adj if depth < last else adj.where(F.col("neighbour") == target)
+        step = near.join(sent, "node").select("place", "confidence", "rel_id", F.col("neighbour").alias("node"), F.array_append("path", F.col("neighbour")).alias("path"), F.array_append("rels", F.col("rel_id")).alias("rels"))
+        hit = cut_lineage(step.where(F.col("node") == target).withColumn("depth", F.lit(depth)))
         done = hit if done is None else done.unionByName(hit)
+        if depth == last or done.count() >= most:
+            break
         new = step.where(F.col("node") != target).join(seen, "node", "left_anti")
         one = new.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("place", F.desc("confidence"), "rel_id"))).where("r = 1")
         # after a distributed sort these ids grow in its order, which is all that a level's order is needed for

@@ -3,8 +3,10 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
-from casewright.operators import tools
+from casewright.operators import inventory, profile, tools, walk
+from casewright.session import cut_lineage
 
 
 @pytest.fixture(scope="module")
@@ -21,3 +23,10 @@ def test_scope(spark, rows):
     scope = tools.Scope("case", case_ref="A")
     plain, carried = tools.profile_in_scope(ents, men, docs, scope), tools.profile_in_scope(ents, placed, None, scope)
     assert sorted(plain.collect()) == sorted(carried.collect()) and {(r.entity_id, r.mention_count, r.doc_count) for r in carried.collect()} == {("e1", 2, 2), ("e2", 1, 2)}
+
+
+def test_a_walk_ends_with_its_last_path(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(walk, "cut_lineage", lambda df: kept.append(1) or cut_lineage(df))
+    e = spark.createDataFrame([(f"r{k}{end}", end, f"m{k}", 0.5) for k in range(3) for end in "st"], "rel_id string, source_entity string, target_entity string, confidence double")
+    assert [r.path for r in walk.evidence_paths(e, "s", "t", 4, 3).collect()] == ["s>m0>t", "s>m1>t", "s>m2>t"] and len(kept) == 3
