@@ -25,6 +25,11 @@ def _first(rows: DataFrame, by: str, order: list[Column], most: int) -> DataFram
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= most)
 
 
+def _named(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """Rows with the ``filename`` of their document, which is not joined where they carry it."""
+    return rows if "filename" in rows.columns else rows.join(documents.select("doc_id", "filename"), "doc_id")
+
+
 def aliases(mentions: DataFrame, entity_id: str | None = None, most: int = 100) -> DataFrame:
     """``entity_id, alias_text, rank``: distinct aliases in alphabetical order."""
     one = _of(mentions, entity_id).where("alias_text is not null").select("entity_id", "alias_text").distinct()
@@ -34,10 +39,12 @@ def aliases(mentions: DataFrame, entity_id: str | None = None, most: int = 100)
 def entity_documents(mentions: DataFrame, documents: DataFrame, entity_id: str | None = None, most: int = 100) -> DataFrame:
     """``entity_id, doc_id, filename, first_page, mention_count, rank``: the documents that mention an entity most.
 
-    mentions: ``entity_id, doc_id, mention_id, page``. A mention that is there twice counts once.
+    mentions: ``entity_id, doc_id, mention_id, page``, and where the source has them ``doc_key, filename`` of the document, which
+    is then not joined. A mention that is there twice counts once.
     """
-    per = _of(mentions, entity_id).groupBy("entity_id", "doc_id").agg(F.min("page").alias("first_page"), F.count_distinct("mention_id").alias("mention_count"))
-    named = per.join(documents.select("doc_id", "filename"), "doc_id")
+    carried = [c for c in ("doc_key", "filename") if c in mentions.columns]
+    per = _of(mentions, entity_id).groupBy("entity_id", "doc_id", *carried).agg(F.min("page").alias("first_page"), F.count_distinct("mention_id").alias("mention_count"))
+    named = _named(per, documents)
     return _first(named, "entity_id", [F.desc("mention_count"), F.col("filename"), F.col("doc_id")], most)
 
 

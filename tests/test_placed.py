@@ -30,3 +30,9 @@ def test_a_walk_ends_with_its_last_path(spark, monkeypatch):
     monkeypatch.setattr(walk, "cut_lineage", lambda df: kept.append(1) or cut_lineage(df))
     e = spark.createDataFrame([(f"r{k}{end}", end, f"m{k}", 0.5) for k in range(3) for end in "st"], "rel_id string, source_entity string, target_entity string, confidence double")
     assert [r.path for r in walk.evidence_paths(e, "s", "t", 4, 3).collect()] == ["s>m0>t", "s>m1>t", "s>m2>t"] and len(kept) == 3
+
+
+def test_documents(rows):
+    _, men, docs, placed = rows
+    plain, carried = profile.entity_documents(men, docs), profile.entity_documents(placed, None)
+    assert sorted(plain.collect()) == sorted(carried.select(plain.columns).collect()) and carried.count() == 5
