@@ -36,3 +36,9 @@ def test_documents(rows):
     _, men, docs, placed = rows
     plain, carried = profile.entity_documents(men, docs), profile.entity_documents(placed, None)
     assert sorted(plain.collect()) == sorted(carried.select(plain.columns).collect()) and carried.count() == 5
+
+
+def test_entity_profile(rows):
+    ents, men, docs, placed = rows
+    plain, carried = tools.entity_profile(ents, men, docs.where("case_ref = 'A'")), tools.entity_profile(ents, tools.Scope("case", case_ref="A").rows(placed, None))
+    assert sorted(plain.collect()) == sorted(carried.collect()) and carried.where("mention_count = 0").count() == 1
