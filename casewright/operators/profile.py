@@ -68,9 +68,9 @@ def links(graph: Graph, entity_id: str | None = None, most: int = 300) -> DataFr
 def sightings(mentions: DataFrame, documents: DataFrame, entity_id: str | None = None, most: int = 30) -> DataFrame:
     """``entity_id, seen_at, doc_id, filename, page, excerpt``: the first ``most`` mentions by document and page, if dated.
 
-    mentions: ``entity_id, doc_id, page, text``. A mention whose text has no readable date gives no row.
+    mentions: ``entity_id, doc_id, page, text``, and ``filename`` where the source has it. A mention whose text has no readable date gives no row.
     """
-    named = _of(mentions, entity_id).join(documents.select("doc_id", "filename"), "doc_id")
+    named = _named(_of(mentions, entity_id), documents)
     first = _first(named, "entity_id", [F.col("doc_id"), F.asc_nulls_last("page"), F.col("text")], most)
     dated = first.withColumn("seen_at", dates.parse(dates.first_date(F.coalesce("text", F.lit("")))))
     return dated.where("seen_at is not null").select("entity_id", "seen_at", "doc_id", "filename", "page", F.substring("text", 1, 280).alias("excerpt"))

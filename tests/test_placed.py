@@ -42,3 +42,10 @@ def test_entity_profile(rows):
     ents, men, docs, placed = rows
     plain, carried = tools.entity_profile(ents, men, docs.where("case_ref = 'A'")), tools.entity_profile(ents, tools.Scope("case", case_ref="A").rows(placed, None))
     assert sorted(plain.collect()) == sorted(carried.collect()) and carried.where("mention_count = 0").count() == 1
+
+
+def test_sightings(rows):
+    _, men, docs, placed = rows
+    said = lambda df: df.withColumn("text", F.concat_ws(" ", "alias_text", F.lit("on 2021-05-02")))
+    plain, carried = profile.sightings(said(men), docs), profile.sightings(said(placed), None)
+    assert sorted(plain.collect()) == sorted(carried.collect()) and carried.count() == 6
