@@ -119,17 +119,27 @@ def vehicle_track(graph: Graph, vehicle: str | None = None, most: int = 500) ->
     return dated.select(F.col("node").alias("vehicle"), "doc_id", "filename", "page", excerpt.alias("excerpt"), F.col("neighbour").alias("place"), "place_name", "latitude", "longitude", "relation_type", "seen_at", position.alias("position"))
 
 
-def grouped_matches(matches: DataFrame) -> DataFrame:
+def grouped_matches(matches: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Exact matches by entity: best score, aliases, documents and counts, the best first.
 
-    matches: ``entity_id, mention_count, alias_text, doc_id, score``; those without entity go, missing scores count 0.
+    matches: ``entity_id, mention_count, alias_text, doc_id, score``; those without entity go, missing scores count 0. With
+    ``counts`` (``entity_id, mention_count``) the matches need no mention_count. Matches with ``doc_key`` are grouped by
+    document first, where they lie already.
     """
     known = matches.where("entity_id is not null and entity_id != ''")
-    per = known.groupBy("entity_id").agg(
-        F.max(F.coalesce("score", F.lit(0.0))).alias("score"), F.max(F.coalesce("mention_count", F.lit(0))).cast("long").alias("mention_count"),
-        F.array_sort(F.collect_set(F.when(F.col("alias_text") != "", F.col("alias_text")))).alias("aliases"),
-        F.count_distinct(F.coalesce("doc_id", F.lit("unknown"))).alias("doc_count"), F.count(F.lit(1)).alias("evidence_count"),
+    by = [c for c in ("doc_key",) if c in matches.columns]
+    said = None if counts is not None else F.max(F.coalesce("mention_count", F.lit(0)))
+    per = known.groupBy("entity_id", F.coalesce("doc_id", F.lit("unknown")).alias("doc_id"), F.when(F.col("alias_text") != "", F.col("alias_text")).alias("alias_text"), *by)
+    per = per.agg(F.max(F.coalesce("score", F.lit(0.0))).alias("score"), F.count(F.lit(1)).alias("n"), *([] if said is None else [said.alias("mention_count")]))
+    per = per.groupBy("entity_id", "doc_id", *by).agg(F.max("score").alias("score"), F.array_sort(F.collect_set("alias_text")).alias("said"), F.sum("n").alias("n"), *([] if said is None else [F.max("mention_count").alias("mention_count")]))
+    docs = F.count(F.lit(1)) if by else F.count_distinct("doc_id")
+    per = per.groupBy("entity_id").agg(
+        F.max("score").alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("said")))).alias("aliases"), docs.alias("doc_count"), F.sum("n").alias("evidence_count"),
+        *([] if said is None else [F.max("mention_count").cast("long").alias("mention_count")]),
     )
+    if counts is not None:
+        per = per.join(counts.select("entity_id", "mention_count"), "entity_id", "left").withColumn("mention_count", F.coalesce("mention_count", F.lit(0)).cast("long"))
+    per = per.select("entity_id", "score", "mention_count", "aliases", "doc_count", "evidence_count")
     return per.orderBy(F.desc("score"), F.desc("mention_count"), F.desc("doc_count"), F.desc("evidence_count"), "entity_id")
 
 

@@ -49,3 +49,11 @@ def test_sightings(rows):
     said = lambda df: df.withColumn("text", F.concat_ws(" ", "alias_text", F.lit("on 2021-05-02")))
     plain, carried = profile.sightings(said(men), docs), profile.sightings(said(placed), None)
     assert sorted(plain.collect()) == sorted(carried.collect()) and carried.count() == 6
+
+
+def test_matches(rows):
+    _, men, _, placed = rows
+    n = men.groupBy("entity_id").agg(F.count("*").alias("mention_count"))
+    plain = profile.grouped_matches(men.join(n, "entity_id").withColumn("score", F.col("page") / 10)).collect()
+    assert plain == profile.grouped_matches(placed.withColumn("score", F.col("page") / 10), n).collect()
+    assert [tuple(r) for r in plain] == [("e1", 0.2, 4, ["x", "y"], 3, 4), ("e2", 0.1, 2, ["z"], 2, 2)]
