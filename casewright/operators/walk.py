@@ -21,10 +21,10 @@ def two_stage(edges: DataFrame, seeds: list[str], limit: int) -> DataFrame:
     edges: with ``rel_id, confidence``; each stage takes ``limit`` edges by confidence, then rel_id.
     """
     order = [F.desc("confidence"), F.asc("rel_id")]
-    first = one_hop(edges, seeds).orderBy(*order).limit(limit)
-    ends = first.select(F.explode(F.array("source_entity", "target_entity")).alias("node")).distinct().where(~F.col("node").isin(seeds))
-    touching = adjacency(edges).join(F.broadcast(ends), "node", "left_semi").select("rel_id").distinct()
-    second = edges.join(touching, "rel_id", "left_semi").orderBy(*order).limit(limit)
+    first = cut_lineage(one_hop(edges, seeds).orderBy(*order).limit(limit))
+    # at most two nodes for each of ``limit`` edges, so a list: a filter goes below every join that made the edges
+    ends = [r.node for r in first.select(F.explode(F.array("source_entity", "target_entity")).alias("node")).distinct().where(F.col("node").isNotNull() & ~F.col("node").isin(seeds)).collect()]
+    second = one_hop(edges, ends).orderBy(*order).limit(limit)
     both = first.withColumn("hop", F.lit(1)).unionByName(second.withColumn("hop", F.lit(2)))
     return both.withColumn("r", F.row_number().over(Window.partitionBy("rel_id").orderBy(F.desc("hop")))).where("r = 1").drop("r").orderBy(*order).limit(2 * limit)
 

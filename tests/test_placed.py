@@ -57,3 +57,9 @@ def test_matches(rows):
     plain = profile.grouped_matches(men.join(n, "entity_id").withColumn("score", F.col("page") / 10)).collect()
     assert plain == profile.grouped_matches(placed.withColumn("score", F.col("page") / 10), n).collect()
     assert [tuple(r) for r in plain] == [("e1", 0.2, 4, ["x", "y"], 3, 4), ("e2", 0.1, 2, ["z"], 2, 2)]
+
+
+def test_the_second_stage_joins_nothing(spark):
+    e = spark.createDataFrame([("r1", "a", "b", 0.9), ("r2", "b", "c", 0.8), ("r3", "c", "d", 0.7), ("r4", "b", None, 0.6)], "rel_id string, source_entity string, target_entity string, confidence double")
+    got = walk.two_stage(e, ["a"], 5)
+    assert {(r.rel_id, r.hop) for r in got.collect()} == {("r1", 2), ("r2", 2), ("r4", 2)} and "Join" not in got._jdf.queryExecution().executedPlan().toString()
