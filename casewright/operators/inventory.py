@@ -55,7 +55,10 @@ def associations(relationships: DataFrame, evidence: DataFrame, entities: DataFr
     """What each entity of ``of`` is linked to: confidence and citations by other end and type, persons first."""
     from pyspark.sql.window import Window
 
-    near = edges.adjacency(relationships).join(of.select(F.col("entity_id").alias("node")), "node", "left_semi").join(evidence.select("rel_id", "doc_id", "page", "evidence_id"), "rel_id", "left")
+    near = edges.adjacency(relationships).join(of.select(F.col("entity_id").alias("node")), "node", "left_semi")
+    # every relationship has a row at least, so the first rows are those of the first relationships: only these meet the evidence
+    first = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("confidence"), "rel_id"))
+    near = near.withColumn("r", first).where(F.col("r") <= most_rows).drop("r").join(evidence.select("rel_id", "doc_id", "page", "evidence_id"), "rel_id", "left")
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("confidence"), "rel_id", F.asc_nulls_last("evidence_id")))
     top = near.withColumn("r", rank).where(F.col("r") <= most_rows).join(entities.select(F.col("entity_id").alias("neighbour"), "canonical_name", "entity_type"), "neighbour")
     out = top.groupBy("node", "neighbour", "canonical_name", "entity_type", "relation_type").agg(F.max("confidence").alias("confidence"), F.array_sort(F.collect_set(F.struct("doc_id", "page"))).alias("citations"))

@@ -63,3 +63,12 @@ def test_the_second_stage_joins_nothing(spark):
     e = spark.createDataFrame([("r1", "a", "b", 0.9), ("r2", "b", "c", 0.8), ("r3", "c", "d", 0.7), ("r4", "b", None, 0.6)], "rel_id string, source_entity string, target_entity string, confidence double")
     got = walk.two_stage(e, ["a"], 5)
     assert {(r.rel_id, r.hop) for r in got.collect()} == {("r1", 2), ("r2", 2), ("r4", 2)} and "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_associations_rank_before_the_evidence(spark):
+    ents = spark.createDataFrame([(e, e, "PERSON") for e in ("o", "a", "b", "c")], "entity_id string, canonical_name string, entity_type string")
+    rels = spark.createDataFrame([(f"r{e}", "o", e, "KNOWS", 0.5) for e in "abc"], "rel_id string, source_entity string, target_entity string, relation_type string, confidence double")
+    seen = spark.createDataFrame([("ra", "d1", 1, "e1"), ("rb", "d2", None, "e2"), ("rb", "d1", 1, "e3"), ("rc", "d1", 2, "e4")], "rel_id string, doc_id string, page int, evidence_id string")
+    got = inventory.associations(rels, seen, ents, ents.where("entity_id = 'o'"), 2)
+    assert [(r.neighbour, [tuple(c) for c in r.citations]) for r in got.collect()] == [("a", [("d1", 1)]), ("b", [("d2", None)])]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Window [row_number") == 2
