@@ -56,6 +56,11 @@ class Scope:
         return {"document": f"{len(self.doc_ids)} document(s)", "case": f"case {self.case_ref}", "corpus": "all documents"}[self.mode]
 
 
+def _sent(rows: DataFrame, most_sent: int = 500_000) -> DataFrame:
+    """Rows to be broadcast where they are at most ``most_sent``."""
+    return F.broadcast(rows) if rows.count() <= most_sent else rows
+
+
 def search_entities(mentions: DataFrame, entities: DataFrame, query: str, entity_type: str | None = None, limit: int = MOST) -> DataFrame:
     """Entities whose name or alias has ``query`` in it in any case; counts are over the mentions that passed.
 
@@ -63,7 +68,10 @@ def search_entities(mentions: DataFrame, entities: DataFrame, query: str, entity
     """
     named = entities if entity_type is None else entities.where(F.col("entity_type") == entity_type)
     low = query.lower()
-    hit = mentions.join(named, "entity_id").where(F.lower("canonical_name").contains(low) | F.lower("alias_text").contains(low))
+    # a name or an alias: two joins of few rows each, not one of all mentions that is looked through after it
+    in_name, in_alias = F.coalesce(F.contains(F.lower("canonical_name"), F.lit(low)), F.lit(False)), F.contains(F.lower("alias_text"), F.lit(low))
+    by_name = mentions.join(_sent(named.where(in_name)), "entity_id")
+    hit = by_name.unionByName(named.where(~in_name).join(mentions.where(in_alias), "entity_id").select(by_name.columns))
     out = hit.groupBy("entity_id", "canonical_name", "entity_type").agg(F.count(F.lit(1)).alias("mention_count"), F.count_distinct("doc_id").alias("doc_count"), F.slice(F.array_sort(F.collect_set("alias_text")), 1, 5).alias("aliases"))
     return out.orderBy(F.desc("mention_count"), F.desc("doc_count"), "entity_id").limit(max(1, min(limit, MOST)))
 

@@ -72,3 +72,12 @@ def test_associations_rank_before_the_evidence(spark):
     got = inventory.associations(rels, seen, ents, ents.where("entity_id = 'o'"), 2)
     assert [(r.neighbour, [tuple(c) for c in r.citations]) for r in got.collect()] == [("a", [("d1", 1)]), ("b", [("d2", None)])]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Window [row_number") == 2
+
+
+def test_search_deals_no_mentions_by_name(spark):
+    ents = spark.createDataFrame([("e1", "Bob", "PERSON"), ("e2", None, "PERSON"), ("e3", "Eve", "PERSON")], "entity_id string, canonical_name string, entity_type string")
+    men = spark.createDataFrame([("e1", "x", "d1"), ("e1", "bobby", "d1"), ("e2", "Bob", "d2"), ("e2", "y", "d2"), ("e3", None, "d1")], "entity_id string, alias_text string, doc_id string")
+    got = tools.search_entities(men, ents, "BOB")
+    assert [(r.entity_id, r.mention_count, r.aliases) for r in got.collect()] == [("e1", 2, ["bobby", "x"]), ("e2", 1, ["Bob"])]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "rightHint=(strategy=broadcast)" in plan
