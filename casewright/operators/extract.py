@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casewright.registry import Registry, default_registry
+from casewright.registry import WORDS_OF, Registry, default_registry
 
 MENTION = "array<struct<text:string,entity_type:string,start:int,end:int,confidence:double>>"
 Span = tuple[str, str, int, int, float]
@@ -80,8 +80,11 @@ RELATION = "array<struct<source:string,target:string,relation_type:string,confid
 
 
 def pattern_relations(text: str | None, registry: Registry) -> list[tuple]:
+    """What the patterns find; one is tried where the words that it has to find are in the text."""
     out = []
     for kind, pattern in registry.relations:
+        if pattern in WORDS_OF and not re.search(WORDS_OF[pattern], text or "", re.IGNORECASE):
+            continue
         for m in re.finditer(pattern, text or "", re.IGNORECASE):
             s, t = m.group("source").strip(), m.group("target").strip()
             if s and t and s != t:

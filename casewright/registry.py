@@ -58,6 +58,17 @@ RELATIONS = [
     ("LINKED_TO", r"(?P<source>[A-Z][\w.'-]+(?:\s+[A-Z][\w.'-]+){0,3})'s\s+(?:phone|number|mobile)\s+\(?(?P<target>\+?\d[\d\s().-]{8,}\d)\)?\s+(?:was|is|were)\s+(?:in\s+)?contact(?:ing|ed)?\s+with"),
 ]
 
+# For each relation pattern the words between or after its names, which stand in every text that it matches.
+# A name is any run of words, so the whole pattern is tried at every word; these are found far quicker and are looked for first.
+RELATION_WORDS = [
+    r"\s(?:was|were|is|are)\s+(?:observed|seen|spotted|sighted|photographed|recorded)\s+(?:at|near|in|outside|inside)\s",
+    r"\s(?:is|was|are|were)\s+(?:known\s+to\s+)?(?:associate[ds]?|meet(?:s|ing)?|working|collaborat(?:e|ing|es))\s+(?:with)\s",
+    r"\s(?:were|are|was|is)\s+(?:together|seen together|present)",
+    r"\s(?:is|was|are|were)\s+(?:linked|tied|connected|related)\s+to\s",
+    r"\s(?:was|is|were)\s+(?:in\s+)?contact(?:ing|ed)?\s+with",
+]
+WORDS_OF = {pattern: words for (_, pattern), words in zip(RELATIONS, RELATION_WORDS, strict=True)}
+
 
 @dataclass(frozen=True)
 class EntityType:
