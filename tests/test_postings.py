@@ -1,5 +1,6 @@
 """Full-text scores: what is sent, and the same results by a broadcast and by a shuffle."""
 
+from casewright import catalog
 from casewright.operators import retrieve
 
 DOCS = [(1, "a b b c"), (2, "b"), (2, "b"), (3, None), (4, ""), (5, "c c d, A")]
@@ -18,3 +19,9 @@ def test_same_by_broadcast_and_shuffle(spark):
     docs, asked = frames(spark)
     few, many = (sorted(tuple(r) for r in retrieve.bm25(docs, asked, 3, most_sent=most).collect()) for most in (10**6, 0))
     assert few == many and [(r[0], r[1]) for r in few] == [(7, 1), (7, 2), (7, 5), (8, 1), (8, 5)]
+
+
+def test_recall_looks_its_texts_up_once(spark, sf, monkeypatch):
+    calls = []
+    monkeypatch.setattr(retrieve, "contained", lambda *a, f=retrieve.contained: calls.append(1) or f(*a))
+    assert catalog.eval_recall(spark, sf).count() > 0 and len(calls) == 1
