@@ -25,3 +25,12 @@ def test_recall_looks_its_texts_up_once(spark, sf, monkeypatch):
     calls = []
     monkeypatch.setattr(retrieve, "contained", lambda *a, f=retrieve.contained: calls.append(1) or f(*a))
     assert catalog.eval_recall(spark, sf).count() > 0 and len(calls) == 1
+
+
+def test_texts_of_claims_stay(spark, sf):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = catalog.claim_support_overlap(spark, sf)
+        assert "strategy=broadcast" in found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
