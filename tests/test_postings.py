@@ -34,3 +34,10 @@ def test_texts_of_claims_stay(spark, sf):
         assert "strategy=broadcast" in found._jdf.queryExecution().optimizedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_texts_that_may_hold_an_item_stay(spark):
+    docs = spark.createDataFrame([(1, "x one two three four y"), (2, "one two"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "one two three four y"), (8, "two three one two")], "query_id long, text string")
+    found = retrieve.contained(items, docs)
+    assert [tuple(r) for r in found.collect()] == [(7, 1)] and "strategy=broadcast" in found._jdf.queryExecution().optimizedPlan().toString()
