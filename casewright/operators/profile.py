@@ -48,18 +48,27 @@ def entity_documents(mentions: DataFrame, documents: DataFrame, entity_id: str |
     return _first(named, "entity_id", [F.desc("mention_count"), F.col("filename"), F.col("doc_id")], most)
 
 
+def _cited_ends(graph: Graph, entity_id: str | None) -> DataFrame:
+    """Relationships from both ends, or from that of one entity, with their evidence and its file names."""
+    rels = graph.relationships if entity_id is None else graph.relationships.where((F.col("source_entity") == entity_id) | (F.col("target_entity") == entity_id))
+    ends = _of(adjacency(rels.select("source_entity", "target_entity", "rel_id", "relation_type", "confidence")), entity_id, "node")
+    cited = graph.evidence.select("rel_id", "evidence_id", "doc_id", "page", "span_text").join(graph.documents.select("doc_id", "filename"), "doc_id", "left")
+    return ends.join(cited, "rel_id", "left")
+
+
 def links(graph: Graph, entity_id: str | None = None, most: int = 300) -> DataFrame:
     """``entity_id, rel_id, relation_type, confidence, linked_id, linked_name, linked_type, citations``.
 
     Of an entity's rows of relationship and evidence the ``most`` surest are taken, by page and file name; each
-    relationship then has those of its citations that are among them. One without evidence has none.
+    relationship then has those of its citations that are among them. One without evidence has none. Where the graph has
+    ``ends``, names are looked up for the rows that are taken.
     """
-    rels = graph.relationships if entity_id is None else graph.relationships.where((F.col("source_entity") == entity_id) | (F.col("target_entity") == entity_id))
-    ends = _of(adjacency(rels.select("source_entity", "target_entity", "rel_id", "relation_type", "confidence")), entity_id, "node")
-    linked = graph.entities.select(F.col("entity_id").alias("neighbour"), F.col("canonical_name").alias("linked_name"), F.col("entity_type").alias("linked_type"))
-    cited = graph.evidence.select("rel_id", "evidence_id", "doc_id", "page", "span_text").join(graph.documents.select("doc_id", "filename"), "doc_id", "left")
     order = [F.desc_nulls_last("confidence"), F.asc_nulls_last("page"), F.asc_nulls_last("filename"), F.col("rel_id"), F.col("evidence_id")]
-    rows = _first(ends.join(linked, "neighbour").join(cited, "rel_id", "left"), "node", order, most)
+    linked = graph.entities.select(F.col("entity_id").alias("neighbour"), F.col("canonical_name").alias("linked_name"), F.col("entity_type").alias("linked_type"))
+    if graph.ends is not None:
+        rows = _first(_of(graph.ends(), entity_id, "node"), "node", order, most).drop("evidence_id").join(linked, "neighbour")
+    else:
+        rows = _first(_cited_ends(graph, entity_id).join(linked, "neighbour"), "node", order, most)
     cite = F.when(F.col("doc_id").isNotNull(), F.struct("rank", "doc_id", "filename", "page", F.coalesce("span_text", F.lit("")).alias("span_text")))
     per = rows.groupBy(F.col("node").alias("entity_id"), "rel_id", "relation_type", "confidence", F.col("neighbour").alias("linked_id"), "linked_name", "linked_type")
     return per.agg(F.array_sort(F.collect_list(cite)).alias("citations"))

@@ -1,10 +1,12 @@
 """Mentions that carry what is known of their document: the same results, without joins with the documents."""
 
 import datetime as dt
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from casewright import catalog, projection
 from casewright.operators import inventory, profile, tools, walk
 from casewright.session import cut_lineage
 
@@ -81,3 +83,21 @@ def test_search_deals_no_mentions_by_name(spark):
     assert [(r.entity_id, r.mention_count, r.aliases) for r in got.collect()] == [("e1", 2, ["bobby", "x"]), ("e2", 1, ["Bob"])]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" in plan and "rightHint=(strategy=broadcast)" in plan
+
+
+def test_links_deal_lines_by_node_alone(spark, sf):
+    g = projection.trade_graph(spark, sf)
+    held = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    try:
+        for k in held:
+            spark.conf.set(k, "-1")
+        plan = catalog.profile_links(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        # lines and orders by order, both ends of a line by node, what is taken and the names by neighbour
+        assert plan.count("Exchange hashpartitioning") == 5 and "hashpartitioning(rel_id" not in plan
+        for entity, most in ((None, 3), ("S1", 7), ("C1", 300), ("N3", 2)):
+            plain, carried = profile.links(replace(g, ends=None), entity, most), profile.links(g, entity, most)
+            assert sorted(plain.collect()) == sorted(carried.select(plain.columns).collect())
+        assert 0 < sum(len(r.citations) for r in profile.links(g, "S1", 7).collect()) <= 7 and profile.links(g, "C999999999").count() == 0
+    finally:
+        for k in held:
+            spark.conf.unset(k)
