@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from casewright.operators.components import stars
 from casewright.operators.edges import adjacency, numbered
@@ -39,8 +40,15 @@ def pagerank(edges: DataFrame, rounds: int, damping: float = 0.85, mode: str = "
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """``node, component``: the smallest node that can be reached; an error if ``most_rounds`` do not settle it."""
-    held = cut_lineage(edges.select(F.greatest("source_entity", "target_entity").alias("a"), F.least("source_entity", "target_entity").alias("b")).distinct())
+    """``node, component``: the smallest node that can be reached; an error if ``most_rounds`` do not settle it.
+
+    edges may be there more than once. One with a missing end is a loop at the other. Before the rounds the targets of a source are
+    linked with the smallest of them, as the source is: the same components, and where sources share targets far fewer links.
+    """
+    ends = edges.select(F.coalesce("source_entity", "target_entity").alias("s"), F.coalesce("target_entity", "source_entity").alias("t"))
+    # the edge to the smallest target stays with its source, each other one goes from its target
+    ends = ends.withColumn("m", F.min("t").over(Window.partitionBy("s"))).select(F.when(F.col("t") == F.col("m"), F.col("s")).otherwise(F.col("t")).alias("x"), "m")
+    held = cut_lineage(ends.select(F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b")).distinct())
     found = stars(held.where("a != b"), most_rounds).select(F.col("a").alias("node"), F.col("b").alias("component"))
     nodes = held.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casewright import catalog, projection
-from casewright.operators import inventory, profile, tools, walk
+from casewright.operators import analytics, inventory, profile, tools, walk
 from casewright.session import cut_lineage
 
 
@@ -101,3 +101,16 @@ def test_links_deal_lines_by_node_alone(spark, sf):
     finally:
         for k in held:
             spark.conf.unset(k)
+
+
+def test_links_of_a_source_are_one_for_each_target_before_rounds(spark, sf, monkeypatch):
+    links, stars = [], analytics.stars
+    monkeypatch.setattr(analytics, "stars", lambda e, rounds: links.append(e.count()) or stars(e, rounds))
+    of = lambda rows: dict(analytics.components(spark.createDataFrame(rows, "source_entity string, target_entity string")).collect())
+    buys = [(f"c{k}", f"s{j}") for k in range(30) for j in range(10)]
+    got = of(buys + [("a", "b"), ("b", "d"), ("d", "a")])
+    # nine targets and thirty sources with s0, and the ring
+    assert links == [42] and len(got) == 43 and {got[n] for pair in buys for n in pair} == {"c0"} and {got[n] for n in "abd"} == {"a"}
+    assert of([("x", "x"), ("y", None), (None, "z"), (None, "w"), ("p", "q"), ("p", "q"), ("q", "p")]) == {"x": "x", "y": "y", "z": "z", "w": "w", "p": "p", "q": "p"}
+    g = projection.trade_graph(spark, sf)
+    assert sorted(g.pairs().distinct().collect()) == sorted(g.relationships.select("source_entity", "target_entity").collect())
