@@ -51,17 +51,32 @@ def best_citations(mentions: DataFrame, chunks: DataFrame, most: int = 3) -> Dat
     return one.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
-def associations(relationships: DataFrame, evidence: DataFrame, entities: DataFrame, of: DataFrame, most_rows: int = 12) -> DataFrame:
-    """What each entity of ``of`` is linked to: confidence and citations by other end and type, persons first."""
+def associated(relationships: DataFrame, evidence: DataFrame, of: DataFrame, most_rows: int | None = None, cited: DataFrame | None = None) -> DataFrame:
+    """``node, neighbour, relation_type, confidence, citations``: all that each entity of ``of`` is linked to, in no order.
+
+    ``most_rows``: only so many rows of an entity, surest first. cited: the relationships from both ends with their evidence, where
+    the source deals them by node (``projection.Graph.ends``), in place of the first two.
+    """
     from pyspark.sql.window import Window
 
-    near = edges.adjacency(relationships).join(of.select(F.col("entity_id").alias("node")), "node", "left_semi")
-    # every relationship has a row at least, so the first rows are those of the first relationships: only these meet the evidence
-    first = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("confidence"), "rel_id"))
-    near = near.withColumn("r", first).where(F.col("r") <= most_rows).drop("r").join(evidence.select("rel_id", "doc_id", "page", "evidence_id"), "rel_id", "left")
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("confidence"), "rel_id", F.asc_nulls_last("evidence_id")))
-    top = near.withColumn("r", rank).where(F.col("r") <= most_rows).join(entities.select(F.col("entity_id").alias("neighbour"), "canonical_name", "entity_type"), "neighbour")
-    out = top.groupBy("node", "neighbour", "canonical_name", "entity_type", "relation_type").agg(F.max("confidence").alias("confidence"), F.array_sort(F.collect_set(F.struct("doc_id", "page"))).alias("citations"))
+    held = of.select(F.col("entity_id").alias("node"))
+    if most_rows is None:
+        rows = edges.adjacency(relationships).join(evidence.select("rel_id", "doc_id", "page"), "rel_id", "left") if cited is None else cited
+        top = rows.join(held, "node", "left_semi")
+    else:
+        near = edges.adjacency(relationships).join(held, "node", "left_semi")
+        # every relationship has a row at least, so the first rows are those of the first relationships: only these meet the evidence
+        first = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("confidence"), "rel_id"))
+        near = near.withColumn("r", first).where(F.col("r") <= most_rows).drop("r").join(evidence.select("rel_id", "doc_id", "page", "evidence_id"), "rel_id", "left")
+        rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("confidence"), "rel_id", F.asc_nulls_last("evidence_id")))
+        top = near.withColumn("r", rank).where(F.col("r") <= most_rows)
+    return top.groupBy("node", "neighbour", "relation_type").agg(F.max("confidence").alias("confidence"), F.array_sort(F.collect_set(F.struct("doc_id", "page"))).alias("citations"))
+
+
+def associations(relationships: DataFrame, evidence: DataFrame, entities: DataFrame, of: DataFrame, most_rows: int | None = None) -> DataFrame:
+    """As ``associated``, with name and type of the other end, by confidence, persons first."""
+    out = associated(relationships, evidence, of, most_rows).join(entities.select(F.col("entity_id").alias("neighbour"), "canonical_name", "entity_type"), "neighbour")
+    out = out.select("node", "neighbour", "canonical_name", "entity_type", "relation_type", "confidence", "citations")
     return out.orderBy("node", (F.col("entity_type") != "PERSON"), F.desc("confidence"), "neighbour")
 
 
