@@ -79,8 +79,9 @@ def modularity(edges: DataFrame, communities: DataFrame, resolution: float = 1.0
     """One row: ``modularity``, rounded to 4 places."""
     of = lambda side: communities.select(F.col("node").alias(f"{side}_entity"), F.col("community").alias(f"{side}_c"))
     e = edges.select("source_entity", "target_entity", "weight").join(of("source"), "source_entity").join(of("target"), "target_entity")
-    inside = e.where("source_c = target_c").groupBy(F.col("source_c").alias("c")).agg(F.sum("weight").alias("inside"))
-    degree = e.select(F.explode(F.array("source_c", "target_c")).alias("c"), "weight").groupBy("c").agg(F.sum("weight").alias("degree"))
-    m = e.agg(F.sum("weight").alias("m"))
-    parts = degree.join(inside, "c", "left").crossJoin(F.broadcast(m))
-    return parts.agg(F.round(F.sum(F.coalesce("inside", F.lit(0.0)) / F.col("m") - resolution * F.pow(F.col("degree") / (2 * F.col("m")), 2)), 4).alias("modularity"))
+    inside = F.when(F.col("source_c") == F.col("target_c"), F.col("weight")).otherwise(F.lit(0.0))
+    ends = e.select("weight", F.explode(F.array(F.struct(F.col("source_c").alias("c"), inside.alias("inside")), F.struct(F.col("target_c").alias("c"), F.lit(0.0).alias("inside")))).alias("end"))
+    # one pass over the edges; every edge counts in two degrees
+    per = written(ends.groupBy("end.c").agg(F.sum("weight").alias("degree"), F.sum("end.inside").alias("inside")))
+    m = per.agg((F.sum("degree") / 2).alias("m"))
+    return per.crossJoin(F.broadcast(m)).agg(F.round(F.sum(F.col("inside") / F.col("m") - resolution * F.pow(F.col("degree") / (2 * F.col("m")), 2)), 4).alias("modularity"))
